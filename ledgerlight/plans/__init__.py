@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("relational",)
+AREAS = ("relational", "finance")
 
 
 def load_all():
