@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("relational", "finance")
+AREAS = ("relational", "finance", "documents", "retrieval")
 
 
 def load_all():
