@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("relational", "finance", "documents", "retrieval")
+AREAS = ("relational", "finance", "documents", "retrieval", "answers", "evaluation")
 
 
 def load_all():
