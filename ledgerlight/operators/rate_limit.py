@@ -9,7 +9,7 @@ hand their last admitted times on until nothing changes.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -70,7 +70,8 @@ def walk(times: np.ndarray, limit: int, window: int, before: list[int]) -> tuple
 def _sliced(events: DataFrame, key: str, id_: str, ts: str, slice_rows: int) -> DataFrame:
     """Requests as (_key, _id, _us, _slice); keys beyond ``slice_rows`` are cut by time."""
     base = events.select(F.col(key).alias("_key"), F.col(id_).alias("_id"), micros(ts).alias("_us"),
-                         "limit", (F.col("window_seconds").cast("bigint") * 1_000_000).alias("_window"))
+                         F.col("limit").cast("int").alias("_limit"),
+                         (F.col("window_seconds").cast("bigint") * 1_000_000).alias("_window"))
     spans = base.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_from"), F.max("_us").alias("_to"))
     busy = spans.where(F.col("_n") > slice_rows).select(
         "_key", "_from", F.ceil((F.col("_to") - F.col("_from") + 1) / F.ceil(F.col("_n") / F.lit(slice_rows))).alias("_width"))
@@ -79,6 +80,66 @@ def _sliced(events: DataFrame, key: str, id_: str, ts: str, slice_rows: int) ->
         .drop("_from", "_width")
 
 
+def _in_order(requests: DataFrame, starts: DataFrame | None) -> DataFrame:
+    """Requests laid out slice by slice in time order, each slice led by the admitted times it starts with."""
+    rows = requests.select("_key", "_slice", "_us", "_id", "_limit", "_window", F.lit(False).alias("_given"))
+    if starts is not None:
+        rows = rows.unionByName(starts.select(
+            "_key", "_slice", F.explode("_before").alias("_us"), F.lit(None).cast(rows.schema["_id"].dataType).alias("_id"),
+            F.lit(0).alias("_limit"), F.lit(0).cast("bigint").alias("_window"), F.lit(True).alias("_given")))
+    return rows.repartition("_key", "_slice").sortWithinPartitions("_key", "_slice", F.desc("_given"), "_us", "_id")
+
+
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame, bool]]:
+    """Runs of one slice in a partition's batches, with whether the run opens the slice."""
+    current = None
+    for batch in batches:
+        if batch.empty:
+            continue
+        keys, slices = batch["_key"].to_numpy(), batch["_slice"].to_numpy()
+        edges = np.flatnonzero((keys[1:] != keys[:-1]) | (slices[1:] != slices[:-1])) + 1
+        for low, high in zip([0, *edges], [*edges, len(batch)]):
+            name = (keys[low], slices[low])
+            yield name, batch.iloc[low:high], name != current
+            current = name
+
+
+def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: list[int] = []
+    out: list[pd.DataFrame] = []
+    size = 0
+    for _name, rows, opens in _slices(batches):
+        given = rows["_given"].to_numpy()
+        times = rows["_us"].to_numpy()
+        held = [*([] if opens else held), *times[given].tolist()]
+        asked = rows[~given]
+        if asked.empty:
+            continue
+        admitted, remaining, reset, held = walk(times[~given], int(asked["_limit"].iloc[0]), int(asked["_window"].iloc[0]), held)
+        out.append(pd.DataFrame({"_id": asked["_id"].to_numpy(), "admitted": admitted, "remaining": remaining, "reset_seconds": reset}))
+        size += len(asked)
+        if size > 10_000:
+            yield pd.concat(out)
+            out, size = [], 0
+    if out:
+        yield pd.concat(out)
+
+
+def _last_admitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: list[int] = []
+    done: dict[tuple, list[int]] = {}
+    for name, rows, opens in _slices(batches):
+        given = rows["_given"].to_numpy()
+        times = rows["_us"].to_numpy()
+        held = [*([] if opens else held), *times[given].tolist()]
+        asked = rows[~given]
+        if not asked.empty:
+            held = walk(times[~given], int(asked["_limit"].iloc[0]), int(asked["_window"].iloc[0]), held)[3]
+        done[name] = held
+    if done:
+        yield pd.DataFrame({"_key": [k for k, _s in done], "_slice": [s for _k, s in done], "_new": list(done.values())})
+
+
 def _hand_over(sliced: DataFrame) -> DataFrame | None:
     """Admitted times each slice of a busy key starts with: (_key, _slice, _before).
 
@@ -89,26 +150,16 @@ def _hand_over(sliced: DataFrame) -> DataFrame | None:
     if busy.isEmpty():
         return None
     ensure_checkpoint_dir(sliced.sparkSession)
-    key_type = sliced.schema["_key"].dataType
-    end_schema = T.StructType([T.StructField("_key", key_type), T.StructField("_slice", T.LongType()),
-                               T.StructField("_end", T.ArrayType(T.LongType()))])
-
-    def last_admitted(rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or starts.empty:
-            return pd.DataFrame({"_key": [], "_slice": [], "_end": []})
-        times = np.sort(rows["_us"].to_numpy())
-        end = walk(times, int(rows["limit"].iloc[0]), int(rows["_window"].iloc[0]), list(starts["_before"].iloc[0]))[3]
-        return pd.DataFrame({"_key": [rows["_key"].iloc[0]], "_slice": [rows["_slice"].iloc[0]], "_end": [end]})
-
+    end_schema = T.StructType([T.StructField("_key", sliced.schema["_key"].dataType), T.StructField("_slice", T.LongType()),
+                               T.StructField("_new", T.ArrayType(T.LongType()))])
     none = F.array().cast("array<bigint>")
     frames = (busy.groupBy("_key", "_slice").agg(F.min("_us").alias("_first"), F.max("_window").alias("_window"))
               .withColumn("_before", none).withColumn("_end", none).withColumn("_stale", F.lit(True)).checkpoint())
     while True:
         stale = frames.where("_stale").select("_key", "_slice", "_before")
-        ends = (busy.join(stale.select("_key", "_slice"), ["_key", "_slice"], "left_semi")
-                .groupBy("_key", "_slice").cogroup(stale.groupBy("_key", "_slice"))
-                .applyInPandas(last_admitted, end_schema).withColumnRenamed("_end", "_new"))
-        # Slices per key are few: rows over SLICE_ROWS.
+        again = busy.join(stale.select("_key", "_slice"), ["_key", "_slice"], "left_semi")
+        ends = _in_order(again, stale).mapInPandas(_last_admitted, end_schema)
+        # A key has one row per slice here, and a slice stands for many requests.
         previous = F.lag("_end").over(Window.partitionBy("_key").orderBy("_slice"))
         carried = F.filter(F.coalesce(previous, none), lambda t: t > F.col("_first") - F.col("_window"))
         frames = (frames.join(ends, ["_key", "_slice"], "left").withColumn("_end", F.coalesce("_new", "_end")).drop("_new")
@@ -127,24 +178,9 @@ def rate_limit(events: DataFrame, key: str = "client_key", ts: str = "ts", id_:
     """
     limited = events.where(F.col("limit").isNotNull())
     sliced = _sliced(limited, key, id_, ts, slice_rows)
-    starts = _hand_over(sliced)
-    if starts is None:
-        starts = sliced.sparkSession.createDataFrame([], T.StructType([
-            T.StructField("_key", sliced.schema["_key"].dataType), T.StructField("_slice", T.LongType()),
-            T.StructField("_before", T.ArrayType(T.LongType()))]))
     schema = T.StructType([T.StructField("_id", sliced.schema["_id"].dataType), T.StructField("admitted", T.BooleanType()),
                            T.StructField("remaining", T.IntegerType()), T.StructField("reset_seconds", T.IntegerType())])
-
-    def decide(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_us", "_id"])
-        before = [] if start.empty else list(start["_before"].iloc[0])
-        if rows.empty:
-            return pd.DataFrame({f.name: [] for f in schema})
-        admitted, remaining, reset, _end = walk(rows["_us"].to_numpy(), int(rows["limit"].iloc[0]),
-                                                int(rows["_window"].iloc[0]), before)
-        return pd.DataFrame({"_id": rows["_id"].to_numpy(), "admitted": admitted, "remaining": remaining, "reset_seconds": reset})
-
-    decided = sliced.groupBy("_key", "_slice").cogroup(starts.groupBy("_key", "_slice")).applyInPandas(decide, schema)
+    decided = _in_order(sliced, _hand_over(sliced)).mapInPandas(_decide, schema)
     free = events.where(F.col("limit").isNull()).select(
         F.col(id_).alias("_id"), F.lit(True).alias("admitted"), F.lit(0).alias("remaining"), F.lit(0).alias("reset_seconds"))
     return decided.unionByName(free).withColumnRenamed("_id", id_)
