@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlight.operators import dedup
 from ledgerlight.operators import documents as docs
 from ledgerlight.plans.registry import query
 
@@ -169,3 +170,28 @@ SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT conv_id FRO
 def cascade(t):
     removed = t.conversations.where("role = 'system'").select("conv_id")
     return docs.drop_documents(t.conversations.select("conv_id", "turn"), removed, "conv_id")
+
+
+COPIES_SQL = r"""
+w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM documents),
+s AS (SELECT MIN(doc_id) AS id, list_sort(w) AS w, len(any_value(w)) AS n FROM w WHERE len(w) > 0 GROUP BY list_sort(w)),
+c AS (SELECT a.id AS a, b.id AS b, a.n + b.n AS n2, len(list_intersect(a.w, b.w)) AS k
+  FROM s a JOIN s b ON a.id < b.id AND least(a.n, b.n) >= 0.9 * greatest(a.n, b.n) - 1e-9),
+e AS (SELECT a, b FROM c WHERE k / (n2 - k) >= 0.9 - 1e-9)
+"""
+
+
+@query("jn10_near_copies")
+def near(t):
+    return dedup.near_copies(t.documents, "doc_id", "text").withColumn("similarity", F.round("similarity", 6))
+
+
+@query("dd2_corpus_groups", "WITH RECURSIVE " + COPIES_SQL + r"""
+, links AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT id AS root, id FROM s UNION SELECT r.root, b.b FROM reach r JOIN links b ON b.a = r.id),
+g AS (SELECT id, MIN(root) AS group_id FROM reach GROUP BY id),
+own AS (SELECT d.doc_id, g.group_id FROM w d JOIN s ON s.w = list_sort(d.w) JOIN g ON g.id = s.id WHERE len(d.w) > 0)
+SELECT d.doc_id, coalesce(o.group_id, d.doc_id) AS group_id FROM documents d LEFT JOIN own o USING (doc_id)
+""")
+def copies(t):
+    return dedup.dedup_corpus(t.documents, "doc_id", "text")
