@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import text as tx
-from ledgerlight.session import ensure_checkpoint_dir
+from ledgerlight.session import cut_lineage
 
 THRESHOLD = 0.9
 # Words in more than one in this many word occurrences; there can be no more of them than this.
@@ -82,10 +82,10 @@ def similar_edges(sets: DataFrame, threshold: float = THRESHOLD, small: int = SM
     ``sets`` has id, words and n, each set once. Members of a pivot's group get an edge to the
     pivot and none among themselves.
     """
-    ensure_checkpoint_dir(sets.sparkSession)
     reach = 2 * threshold - 1
     rows = _prefixes(sets, threshold)
-    rows = rows.join(rows.groupBy("token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("token"), "token", "left_semi").checkpoint()
+    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("token")
+    rows = cut_lineage(rows.join(shared, "token", "left_semi"))
     edges: list[DataFrame] = []
     for _ in range(rounds):
         sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_c"), F.min("id").alias("pivot"))
@@ -97,8 +97,8 @@ def similar_edges(sets: DataFrame, threshold: float = THRESHOLD, small: int = SM
         met = rows.join(large.join(pivot_n, "pivot"), "token")
         asked = met.where((F.col("id") != F.col("pivot")) & _sizes_allow("n", "_pn", reach))
         near = _verified(asked.select(F.col("pivot").alias("a"), F.col("id").alias("b")), sets, reach)
-        near = near.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "similarity").checkpoint()
-        placed = met.join(near, ["pivot", "id"], "left").checkpoint()
+        near = cut_lineage(near.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "similarity"))
+        placed = cut_lineage(met.join(near, ["pivot", "id"], "left"))
         inside = placed.where(F.col("similarity") >= threshold - _SLACK)
         ring = placed.where(F.col("similarity") < threshold - _SLACK)
         edges.append(near.where(F.col("similarity") >= threshold - _SLACK)
@@ -108,7 +108,7 @@ def similar_edges(sets: DataFrame, threshold: float = THRESHOLD, small: int = SM
                     .where((F.abs(F.col("_sa") - F.col("_sb")) <= 1 - threshold + _SLACK) & _sizes_allow("_na", "_nb", threshold)))
         edges.append(_verified(crossing, sets, threshold))
         done = inside.select("token", "id").unionByName(large.select("token", F.col("pivot").alias("id")))
-        rows = rows.join(done, ["token", "id"], "left_anti").checkpoint()
+        rows = cut_lineage(rows.join(done, ["token", "id"], "left_anti"))
     a, b = rows.select("token", F.col("id").alias("a"), F.col("n").alias("_na")), rows.select("token", F.col("id").alias("b"), F.col("n").alias("_nb"))
     rest = a.join(b, "token").where((F.col("a") < F.col("b")) & _sizes_allow("_na", "_nb", threshold))
     edges.append(_verified(rest, sets, threshold))
@@ -123,8 +123,7 @@ def connected_groups(edges: DataFrame) -> DataFrame:
     chains instead of walking them. Per id only a minimum is taken, so a busy id is
     aggregated in parts.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    current = edges.select("a", "b").where(F.col("a") != F.col("b")).distinct().checkpoint()
+    current = cut_lineage(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct())
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("_m"))
@@ -132,9 +131,9 @@ def connected_groups(edges: DataFrame) -> DataFrame:
         down = upward.select(F.col("b").alias("u"), F.col("a").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("_m"))
         hooked = down.join(least, "u")
-        step = (hooked.select(F.col("_m").alias("a"), F.col("v").alias("b"))
-                .unionByName(least.select(F.col("_m").alias("a"), F.col("u").alias("b")))
-                .where(F.col("a") != F.col("b")).distinct().checkpoint())
+        step = cut_lineage(hooked.select(F.col("_m").alias("a"), F.col("v").alias("b"))
+                           .unionByName(least.select(F.col("_m").alias("a"), F.col("u").alias("b")))
+                           .where(F.col("a") != F.col("b")).distinct())
         # Both are sets of edges, so equal size and nothing left over means nothing moved.
         if step.count() == current.count() and step.join(current, ["a", "b"], "left_anti").isEmpty():
             break
@@ -151,7 +150,7 @@ def near_copies(df: DataFrame, id_: str, text: str, threshold: float = THRESHOLD
 def _representatives(sets: DataFrame) -> DataFrame:
     """Each distinct word set once, under its lowest id."""
     first = sets.groupBy("signature").agg(F.min("id").alias("id"))
-    return sets.join(first.select("id"), "id", "left_semi").select("id", "words", "n").checkpoint()
+    return cut_lineage(sets.join(first.select("id"), "id", "left_semi").select("id", "words", "n"))
 
 
 def dedup_corpus(df: DataFrame, id_: str, text: str, threshold: float = THRESHOLD, **tuning: int) -> DataFrame:
@@ -159,7 +158,6 @@ def dedup_corpus(df: DataFrame, id_: str, text: str, threshold: float = THRESHOL
 
     Texts without words are nobody's copy.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     sets = word_sets(df, id_, text)
     first = sets.groupBy("signature").agg(F.min("id").alias("first_id"))
     groups = connected_groups(similar_edges(_representatives(sets), threshold, **tuning))

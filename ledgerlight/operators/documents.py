@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlight.functions import text as tx
+from ledgerlight.functions.binding import bind
 
 # Limits and formats of an upload.
 MAX_DOCUMENT_BYTES = 50 * 1024 * 1024
@@ -142,8 +143,8 @@ def fixed_windows(text: Column | str, size: int = CHUNK_SIZE, overlap: int = CHU
     step = size - overlap
     steps = F.regexp_extract_all(c, F.lit(f"(?s)(.{{1,{step}}})"), F.lit(1))
     ahead = -(-overlap // step)
-    windows = F.transform(steps, lambda s, i: F.substring(
-        F.concat(s, *[F.coalesce(F.get(steps, i + j), F.lit("")) for j in range(1, ahead + 1)]), 1, size))
+    windows = bind(steps, lambda all_steps: F.transform(all_steps, lambda s, i: F.substring(
+        F.concat(s, *[F.coalesce(F.get(all_steps, i + j), F.lit("")) for j in range(1, ahead + 1)]), 1, size)))
     n = F.char_length(c)
     # A trailing step that lies wholly in the overlap adds nothing new.
     count = F.when(n <= size, F.least(n, F.lit(1))).otherwise(F.ceil((n - overlap) / F.lit(step)))

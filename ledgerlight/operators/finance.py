@@ -1,16 +1,18 @@
 """Project finance for whole tables of projects.
 
 A project is one row with ``cf array<double>``, the index being the period. Every model is a
-column expression over that array, so any number of projects runs in one pass with no
-shuffle. :func:`collect_cash_flows` builds the arrays from long rows.
+column over that array, so any number of projects runs in one pass with no shuffle. :func:`collect_cash_flows` builds the arrays from long rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlight.functions.formats import grouped, percent, plain
 
@@ -60,51 +62,59 @@ def npv(cf: Column | str, rate: Column | str | float) -> Column:
     return F.aggregate(F.reverse(_col(cf)), F.lit(0.0), lambda acc, x: acc / growth + x)
 
 
-def _polynomial(cf: Column, factor: Column) -> Column:
-    return F.aggregate(F.reverse(cf), F.lit(0.0), lambda acc, x: acc * factor + x)
+# Rates between which a root is looked for, closer together around zero.
+_RATE_GRID = np.array(
+    [-0.99, -0.95, -0.9, -0.8, -0.7] + [-0.6 + 0.05 * i for i in range(12)] + [0.025 * i for i in range(41)]
+    + [1.25, 1.5, 2.0, 3.0, 5.0, 10.0, 30.0, 100.0, 1e3, 1e4, 1e6, 1e9])
+
+
+def _discounted(flows: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """Sum of flows[:, i] * factor^i for a column of factors per project."""
+    total = np.zeros(np.broadcast_shapes((len(flows), 1), factor.shape))
+    for i in range(flows.shape[1] - 1, -1, -1):
+        total = total * factor + flows[:, i:i + 1]
+    return total
+
+
+def solve_irr(flows: np.ndarray) -> np.ndarray:
+    """Rates of many projects at once; ``flows`` is padded with zeros, NaN where there is no rate."""
+    factors = 1.0 / (1.0 + _RATE_GRID)[None, :]
+    signs = np.sign(_discounted(flows, factors))
+    crossing = (signs[:, :-1] == 0) | (signs[:, :-1] * signs[:, 1:] < 0)
+    away = np.minimum(np.abs(_RATE_GRID[:-1]), np.abs(_RATE_GRID[1:]))
+    at = np.argmin(np.where(crossing, away, np.inf), axis=1)
+    found = crossing[np.arange(len(flows)), at]
+    high, low = factors[0, at][:, None], factors[0, at + 1][:, None]
+    above = signs[np.arange(len(flows)), at][:, None]
+    for _ in range(_ROOT_STEPS):
+        middle = (low + high) / 2
+        same = np.sign(_discounted(flows, middle)) == above
+        low, high = np.where(same, low, middle), np.where(same, middle, high)
+    exact = above[:, 0] == 0
+    rate = np.where(exact, 1 / factors[0, at] - 1, 2 / (low + high)[:, 0] - 1)
+    return np.where(found & flows.any(axis=1), rate, np.nan)
 
 
 def irr(cf: Column | str) -> Column:
     """The rate at which NPV is zero; null when there is none.
 
     Solved for the discount factor v = 1 / (1 + rate): NPV is a polynomial in v, and v in
-    (0, 100] covers every rate above -99 %. The factors are tried on a grid that widens away
-    from rate 0; among the brackets with a sign change the one nearest to rate 0 is bisected.
+    (0, 100] covers every rate above -99 %. The factors are tried on a grid; among the
+    brackets with a sign change the one nearest to rate 0 is bisected. An iteration over a
+    whole Arrow batch in numpy is many times faster here than folding over arrays per row.
     """
-    c = F.filter(_col(cf), lambda x: x.isNotNull())
-    rates = ([-0.99, -0.95, -0.9, -0.8, -0.7] + [-0.6 + 0.05 * i for i in range(12)]
-             + [0.025 * i for i in range(41)] + [1.25, 1.5, 2.0, 3.0, 5.0, 10.0, 30.0, 100.0, 1e3, 1e4, 1e6, 1e9])
-    # An array literal is folded once; signs and brackets are then taken per project.
-    grid = F.array(*[F.lit(1.0 / (1.0 + r)) for r in rates])
-    points = F.transform(grid, lambda v: F.struct(v.alias("v"), F.signum(_polynomial(c, v)).alias("s")))
-
-    def bracket(p: Column) -> Column:
-        pairs = F.zip_with(F.slice(p, 1, len(rates) - 1), F.slice(p, 2, len(rates) - 1),
-                           lambda a, b: F.struct(
-                               F.least(F.abs(1 / a["v"] - 1), F.abs(1 / b["v"] - 1)).alias("away"),
-                               a["v"].alias("high"), b["v"].alias("low"), a["s"].alias("sh"), b["s"].alias("sl")))
-        # A sign of zero at the low end is left to the next pair, where it is the high end.
-        return F.array_min(F.filter(pairs, lambda q: (q["sh"] == 0) | (q["sh"] * q["sl"] < 0)))
-
-    def halve(acc: Column, _step: Column) -> Column:
-        mid = (acc["low"] + acc["high"]) / 2
-        above = F.signum(_polynomial(c, mid)) == acc["sh"]
-        return F.struct(F.when(above, acc["low"]).otherwise(mid).alias("low"),
-                        F.when(above, mid).otherwise(acc["high"]).alias("high"),
-                        acc["sh"].alias("sh"))
-
-    def solve(best: Column) -> Column:
-        start = F.struct(best["low"].alias("low"), best["high"].alias("high"), best["sh"].alias("sh"))
-        root = F.aggregate(F.sequence(F.lit(1), F.lit(_ROOT_STEPS)), start, halve,
-                           lambda acc: 2 / (acc["low"] + acc["high"]) - 1)
-        return F.when(best["sh"] == 0, 1 / best["high"] - 1).when(best.isNotNull(), root)
-
-    # A one-element transform names a value, so grid and bracket are worked out once per row.
-    return _bind(_bind(points, bracket), solve)
-
-
-def _bind(value: Column, fn) -> Column:
-    return F.transform(F.array(value), fn)[0]
+    @F.pandas_udf(T.DoubleType())
+    def rates(batch: pd.Series) -> pd.Series:
+        known = batch[batch.map(lambda x: x is not None and len(x) > 0)]
+        out = pd.Series(np.full(len(batch), np.nan), index=batch.index)
+        if len(known):
+            flows = np.zeros((len(known), max(map(len, known))))
+            for i, row in enumerate(known):
+                flows[i, :len(row)] = row
+            out[known.index] = solve_irr(np.nan_to_num(flows))
+        return out
+
+    return F.nullif(rates(_col(cf)), F.lit(float("nan")))
 
 
 def payback(cf: Column | str) -> Column:

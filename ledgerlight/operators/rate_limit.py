@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlight.session import ensure_checkpoint_dir
+from ledgerlight.session import cut_lineage
 
 # Fixed values: (requests, window in seconds) per class of endpoint.
 DEFAULT_LIMITS = {
@@ -149,12 +149,11 @@ def _hand_over(sliced: DataFrame) -> DataFrame | None:
     busy = sliced.where(F.col("_slice") >= 0)
     if busy.isEmpty():
         return None
-    ensure_checkpoint_dir(sliced.sparkSession)
     end_schema = T.StructType([T.StructField("_key", sliced.schema["_key"].dataType), T.StructField("_slice", T.LongType()),
                                T.StructField("_new", T.ArrayType(T.LongType()))])
     none = F.array().cast("array<bigint>")
-    frames = (busy.groupBy("_key", "_slice").agg(F.min("_us").alias("_first"), F.max("_window").alias("_window"))
-              .withColumn("_before", none).withColumn("_end", none).withColumn("_stale", F.lit(True)).checkpoint())
+    frames = cut_lineage(busy.groupBy("_key", "_slice").agg(F.min("_us").alias("_first"), F.max("_window").alias("_window"))
+                         .withColumn("_before", none).withColumn("_end", none).withColumn("_stale", F.lit(True)))
     while True:
         stale = frames.where("_stale").select("_key", "_slice", "_before")
         again = busy.join(stale.select("_key", "_slice"), ["_key", "_slice"], "left_semi")
@@ -162,9 +161,10 @@ def _hand_over(sliced: DataFrame) -> DataFrame | None:
         # A key has one row per slice here, and a slice stands for many requests.
         previous = F.lag("_end").over(Window.partitionBy("_key").orderBy("_slice"))
         carried = F.filter(F.coalesce(previous, none), lambda t: t > F.col("_first") - F.col("_window"))
-        frames = (frames.join(ends, ["_key", "_slice"], "left").withColumn("_end", F.coalesce("_new", "_end")).drop("_new")
-                  .withColumn("_start", carried).withColumn("_stale", F.col("_start") != F.col("_before"))
-                  .withColumn("_before", F.col("_start")).drop("_start").checkpoint())
+        frames = cut_lineage(
+            frames.join(ends, ["_key", "_slice"], "left").withColumn("_end", F.coalesce("_new", "_end")).drop("_new")
+            .withColumn("_start", carried).withColumn("_stale", F.col("_start") != F.col("_before"))
+            .withColumn("_before", F.col("_start")).drop("_start"))
         if frames.where("_stale").isEmpty():
             return frames.select("_key", "_slice", "_before")
 

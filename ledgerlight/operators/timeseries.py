@@ -79,12 +79,13 @@ def resample(df: DataFrame, freq: str, agg: str = "sum") -> DataFrame:
 
 def interpolate_time(df: DataFrame) -> DataFrame:
     """Fills gaps in proportion to time; after the last value it stays, before the first it is null."""
-    w = Window.partitionBy("series_id").orderBy("ds")
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    # Both frames grow with the row; a frame that shrinks would be rebuilt for every row.
+    by_series = Window.partitionBy("series_id")
+    back = by_series.orderBy("ds").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = by_series.orderBy(F.desc("ds")).rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col("y").isNotNull(), F.struct("ds", "y"))
     marked = df.withColumn("_before", F.last(known, ignorenulls=True).over(back)) \
-        .withColumn("_after", F.first(known, ignorenulls=True).over(ahead))
+        .withColumn("_after", F.last(known, ignorenulls=True).over(ahead))
     b, a = F.col("_before"), F.col("_after")
     share = F.date_diff(F.col("ds"), b["ds"]) / F.date_diff(a["ds"], b["ds"])
     filled = F.coalesce(F.col("y"), b["y"] + (a["y"] - b["y"]) * share, b["y"])

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "ledgerlight", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,3 +47,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         shared = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(shared)
     return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The same rows read back from a table written beside the checkpoints.
+
+    For loops whose result feeds the next round. Besides the lineage it also resets the size
+    estimate, which would otherwise grow with every join of every round.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
