@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+import threading
+import uuid
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
+from typing import TypeVar
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 
 MAX_ROWS = 1000
 MAX_QUERY_CHARS = 50_000
+TIMEOUT_SECONDS = 30
+Result = TypeVar("Result")
 
 # Functions a question may not call. The first group are database file and
 # sleep functions, the second reach arbitrary JVM code from Spark SQL.
@@ -200,3 +205,31 @@ def cost_gate(df: DataFrame, max_bytes: int) -> DataFrame:
     if estimate.status == "blocked":
         raise GuardError("cost", f"query cost {estimate.size_bytes} exceeds limit {max_bytes}")
     return df
+
+
+def within_time(spark: SparkSession, action: Callable[[], Result], seconds: float = TIMEOUT_SECONDS) -> Result:
+    """Runs an action and cancels its Spark jobs when the time is up."""
+    sc, tag = spark.sparkContext, f"timeout-{uuid.uuid4().hex}"
+    done, expired = threading.Event(), threading.Event()
+
+    def watch() -> None:
+        wait = seconds
+        # An action may start jobs one after the other, so cancelling goes on until it ends.
+        while not done.wait(wait):
+            expired.set()
+            sc.cancelJobsWithTag(tag)
+            wait = 0.2
+
+    sc.addJobTag(tag)
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        return action()
+    except Exception as error:
+        if expired.is_set():
+            raise GuardError("timeout", f"query timed out after {seconds} s") from error
+        raise
+    finally:
+        done.set()
+        watcher.join()
+        sc.removeJobTag(tag)

@@ -85,57 +85,55 @@ def _in_order(requests: DataFrame, starts: DataFrame | None) -> DataFrame:
     rows = requests.select("_key", "_slice", "_us", "_id", "_limit", "_window", F.lit(False).alias("_given"))
     if starts is not None:
         rows = rows.unionByName(starts.select(
-            "_key", "_slice", F.explode("_before").alias("_us"), F.lit(None).cast(rows.schema["_id"].dataType).alias("_id"),
+            "_key", "_slice", F.explode("_before").alias("_us"), F.lit("0").cast(rows.schema["_id"].dataType).alias("_id"),
             F.lit(0).alias("_limit"), F.lit(0).cast("bigint").alias("_window"), F.lit(True).alias("_given")))
     return rows.repartition("_key", "_slice").sortWithinPartitions("_key", "_slice", F.desc("_given"), "_us", "_id")
 
 
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame, bool]]:
-    """Runs of one slice in a partition's batches, with whether the run opens the slice."""
-    current = None
-    for batch in batches:
-        if batch.empty:
-            continue
-        keys, slices = batch["_key"].to_numpy(), batch["_slice"].to_numpy()
+class _Walk:
+    """Walks a partition's batches in order; a slice may span batches."""
+
+    def __init__(self) -> None:
+        self.name: tuple | None = None
+        self.held: list[int] = []
+
+    def batch(self, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[tuple, list[int]]]]:
+        """Decisions of one batch, and the admitted times at the end of each slice in it."""
+        keys, slices, times, given = (rows[c].to_numpy() for c in ("_key", "_slice", "_us", "_given"))
+        limits, windows = rows["_limit"].to_numpy(), rows["_window"].to_numpy()
+        admitted = np.zeros(len(rows), dtype=bool)
+        remaining, reset = np.zeros(len(rows), dtype=np.int32), np.zeros(len(rows), dtype=np.int32)
         edges = np.flatnonzero((keys[1:] != keys[:-1]) | (slices[1:] != slices[:-1])) + 1
-        for low, high in zip([0, *edges], [*edges, len(batch)]):
+        ends = []
+        for low, high in zip([0, *edges], [*edges, len(rows)]):
             name = (keys[low], slices[low])
-            yield name, batch.iloc[low:high], name != current
-            current = name
+            if name != self.name:
+                self.name, self.held = name, []
+            first = low + int(given[low:high].sum())  # handed-over times lead their slice
+            self.held = [*self.held, *times[low:first].tolist()]
+            if first < high:
+                admitted[first:high], remaining[first:high], reset[first:high], self.held = walk(
+                    times[first:high], int(limits[first]), int(windows[first]), self.held)
+            ends.append((name, self.held))
+        return admitted, remaining, reset, ends
 
 
 def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: list[int] = []
-    out: list[pd.DataFrame] = []
-    size = 0
-    for _name, rows, opens in _slices(batches):
-        given = rows["_given"].to_numpy()
-        times = rows["_us"].to_numpy()
-        held = [*([] if opens else held), *times[given].tolist()]
-        asked = rows[~given]
-        if asked.empty:
-            continue
-        admitted, remaining, reset, held = walk(times[~given], int(asked["_limit"].iloc[0]), int(asked["_window"].iloc[0]), held)
-        out.append(pd.DataFrame({"_id": asked["_id"].to_numpy(), "admitted": admitted, "remaining": remaining, "reset_seconds": reset}))
-        size += len(asked)
-        if size > 10_000:
-            yield pd.concat(out)
-            out, size = [], 0
-    if out:
-        yield pd.concat(out)
+    state = _Walk()
+    for rows in batches:
+        if not rows.empty:
+            admitted, remaining, reset, _ends = state.batch(rows)
+            asked = ~rows["_given"].to_numpy()
+            yield pd.DataFrame({"_id": rows["_id"].to_numpy()[asked], "admitted": admitted[asked],
+                                "remaining": remaining[asked], "reset_seconds": reset[asked]})
 
 
 def _last_admitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: list[int] = []
+    state = _Walk()
     done: dict[tuple, list[int]] = {}
-    for name, rows, opens in _slices(batches):
-        given = rows["_given"].to_numpy()
-        times = rows["_us"].to_numpy()
-        held = [*([] if opens else held), *times[given].tolist()]
-        asked = rows[~given]
-        if not asked.empty:
-            held = walk(times[~given], int(asked["_limit"].iloc[0]), int(asked["_window"].iloc[0]), held)[3]
-        done[name] = held
+    for rows in batches:
+        if not rows.empty:
+            done.update(state.batch(rows)[3])
     if done:
         yield pd.DataFrame({"_key": [k for k, _s in done], "_slice": [s for _k, s in done], "_new": list(done.values())})
 

@@ -103,3 +103,13 @@ def test_cost_gate(spark, sample):
 def test_row_cap_reports_the_uncut_count(spark):
     rows, count = guard.capped(spark.range(2500), ["id"], 1000)
     assert rows.count() == 1000 and count.first()["row_count"] == 2500
+
+
+def test_time_limit(spark):
+    slow = spark.range(0, 1_000_000_000, numPartitions=64).selectExpr("sum(pow(sin(id), 2)) AS s")
+    with pytest.raises(guard.GuardError) as stopped:
+        guard.within_time(spark, slow.collect, 1.0)
+    assert stopped.value.rule == "timeout"
+    assert guard.within_time(spark, spark.range(3).count, 30) == 3
+    with pytest.raises(ZeroDivisionError):
+        guard.within_time(spark, lambda: 1 // 0, 30)
