@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlight.llm import op2, op9, op10  # noqa: F401
+from ledgerlight.llm import op2, op3, op4, op9, op10  # noqa: F401
 from ledgerlight.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
