@@ -204,7 +204,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
                                    "source string, place long, source_size long, target double")
     placed = rows.alias("r").join(places.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")), "left").select(
         "r.*", "p.place", "p.source_size", "p.target")
-    return Mix(placed, deal_slots(spark, plans, seed, block_words), plans)
+    # Written, so that joins go by the real size of the slots and not by that of the few rows they are made from.
+    return Mix(placed, cut_lineage(deal_slots(spark, plans, seed, block_words)), plans)
 
 
 def _blocks_of(rows: DataFrame, block_words: int) -> DataFrame:
