@@ -25,7 +25,7 @@ from ledgerlight.session import cut_lineage
 BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
 #: Rows of a source between two running sums. Only these sums are put in order source by source.
-ORDER_ROWS = 20_000
+ORDER_ROWS = 2_000
 
 
 class Plan(NamedTuple):
