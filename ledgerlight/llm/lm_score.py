@@ -114,7 +114,7 @@ def blocks(docs: DataFrame, order: int, ranges: int, bits: int, block_bytes: int
                                               "lists array<struct<part: bigint, keys: binary, times: binary>>")
 
 
-def _answer(group: pd.DataFrame) -> pd.DataFrame:
+def answer_lists(group: pd.DataFrame) -> pd.DataFrame:
     """The count table of one hash range, and each block's counts from it, in the order of its list."""
     lists = [unpack_sorted(k) for k in group["keys"]]
     keys = np.concatenate(lists)
@@ -159,7 +159,7 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, block
     bits = min(63, max(32, math.ceil(math.log2(max(2, size * order))) + SPARE_BITS))
     made = cut_lineage(blocks(docs, order, ranges, bits, block_bytes))
     lists = made.select("block", F.explode("lists").alias("l")).select("block", "l.*")
-    answers = lists.groupBy("part").applyInPandas(_answer, "block string, part long, counts binary")
+    answers = lists.groupBy("part").applyInPandas(answer_lists, "block string, part long, counts binary")
     # A block's answers are as many as its own n-grams.
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias("answers"))
     count = F.udf(lambda body: int(unpack_counts(body).sum()), "long")
