@@ -234,24 +234,40 @@ def taken_words(mixed: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def packed_blocks(docs: DataFrame, mixed: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The mix itself: one row per slot with ``shard``, ``source``, ``block`` and ``text``, its words with single blanks.
+    """The mix itself: one row per slot with ``shard``, ``source``, ``block``, ``n_words`` and ``text``, single-blanked.
 
-    Words of a document are cut to its blocks where it stands; only blocks that the mix takes are put together.
+    A document is cut into the parts of its blocks where it stands; a block has a few parts at most.
     """
-    keyed = docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("finger"))
+    keyed = docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("finger")).dropDuplicates(
+        ["doc_id", "finger"])
     rows = mixed.rows.filter(F.col("size") > 0).alias("r").join(
-        keyed.dropDuplicates(["doc_id", "finger"]).alias("d"),
-        F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("r.finger") == F.col("d.finger"))).select(
-        "r.doc_id", "r.finger", "r.place", "r.source", "r.offset", "r.size",
-        F.filter(F.split("d.text", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"))
-    last = F.expr(f"(offset + size - 1) div {block_words}")
-    pieces = rows.withColumn("block", F.explode(F.sequence(F.expr(f"offset div {block_words}"), last)))
-    begin = F.greatest(F.col("block") * block_words - F.col("offset"), F.lit(0))
-    end = F.least((F.col("block") + 1) * block_words - F.col("offset"), F.col("size"))
-    pieces = pieces.select("place", "source", "block", "offset",
-                           F.slice("words", (begin + 1).cast("int"), (end - begin).cast("int")).alias("words"))
+        keyed.alias("d"), F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("r.finger") == F.col("d.finger"))).select(
+        "r.place", "r.source", "r.offset", "r.size", "d.text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in slices(batches):
+            place, source, offset = (texts.rows.column(i) for i in (0, 1, 2))
+            whose, blocks, offsets, parts = [], [], [], []
+            for i, first in enumerate(offset.to_pylist()):
+                own = texts.text(i).split()  # bytes.split cuts at the same blanks
+                for block in range(first // block_words, (first + len(own) - 1) // block_words + 1):
+                    begin = max(block * block_words - first, 0)
+                    part = own[begin:(block + 1) * block_words - first]
+                    whose.append(i)
+                    blocks.append(block)
+                    offsets.append(first)
+                    parts.append(b" ".join(part))
+            take = pa.array(whose, pa.int64())
+            yield pa.record_batch([place.take(take), source.take(take), pa.array(blocks, pa.int64()),
+                                   pa.array(offsets, pa.int64()), pa.array(parts, pa.binary())],
+                                  names=["place", "source", "block", "offset", "part"])
+
+    pieces = binary_text(rows.select("place", "source", "offset", "text")).mapInArrow(
+        cut, "place long, source string, block long, offset long, part binary")
     blocks = pieces.groupBy("place", "source", "block").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "words"))), lambda x: x["words"])).alias("words"))
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", F.col("part").cast("string").alias("part")))),
+                                 lambda x: x["part"]), " ").alias("text"))
+    short = F.col("length") < F.size(F.split("text", " "))
     return mixed.slots.join(blocks, ["place", "block"]).select(
         "shard", "source", "block", F.col("length").alias("n_words"),
-        F.array_join(F.slice("words", 1, F.col("length").cast("int")), " ").alias("text"))
+        F.when(short, F.expr("substring_index(text, ' ', CAST(length AS INT))")).otherwise(F.col("text")).alias("text"))
