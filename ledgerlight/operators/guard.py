@@ -13,8 +13,12 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlight.session import cut_lineage
+
 MAX_ROWS = 1000
 MAX_QUERY_CHARS = 50_000
+#: Bytes a query may read or make, by the optimiser's estimate.
+MAX_QUERY_BYTES = 1 << 40
 TIMEOUT_SECONDS = 30
 Result = TypeVar("Result")
 
@@ -99,6 +103,39 @@ def _nodes(plan):
             stack.extend(group.apply(i) for i in range(group.size()) if hasattr(group.apply(i), "children"))
 
 
+def _each(group) -> Iterable:
+    return (group.apply(i) for i in range(group.size()))
+
+
+def check_tables(plan, allowed: Iterable[str]) -> None:
+    """Refuse a parsed plan that names a table other than an allowed one or a CTE in scope there.
+
+    Qualified names reach other catalogs, global views and saved tables, so none is allowed.
+    """
+    names = frozenset(name.lower() for name in allowed)
+
+    def check(node, scope: frozenset[str]) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedRelation":
+            parts = [str(part) for part in _each(node.multipartIdentifier())]
+            if len(parts) != 1 or parts[0].lower() not in names | scope:
+                raise GuardError("table", f"table not in the allowed list: {'.'.join(parts)}")
+        inner = [n for n in _each(node.subqueries()) if hasattr(n, "children")]
+        if kind == "UnresolvedWith":
+            for relation in _each(node.cteRelations()):
+                name, own = str(relation.productElement(0)).lower(), scope
+                if node.allowRecursion():
+                    own = scope | {name}
+                check(relation.productElement(1), own)
+                scope = scope | {name}
+        else:
+            inner += [n for n in _each(node.innerChildren()) if hasattr(n, "children")]
+        for child in (*_each(node.children()), *inner):
+            check(child, scope)
+
+    check(plan, frozenset())
+
+
 def _called(node):
     """Lower-case names of the functions a logical node calls."""
     if node.getClass().getSimpleName() == "UnresolvedTableValuedFunction":
@@ -142,10 +179,9 @@ def validate_sql(spark: SparkSession, sql: str, max_chars: int = MAX_QUERY_CHARS
 
 
 def isolated_session(spark: SparkSession, sources: Mapping[str, str]) -> SparkSession:
-    """A session whose only tables are the allowed Parquet sources.
+    """A session whose only temporary views are the allowed Parquet sources; files cannot be read by path.
 
-    Name resolution is what enforces the allow-list, so aliases, shadowing CTEs and scalar
-    subqueries need no special case. Reading a file by path is switched off.
+    The second line of defence: the catalog behind it is shared, so :func:`check_tables` goes first.
     """
     session = spark.newSession()
     for key in _COPIED_CONF:
@@ -159,25 +195,45 @@ def isolated_session(spark: SparkSession, sources: Mapping[str, str]) -> SparkSe
 
 
 def guarded_query(spark: SparkSession, sql: str, sources: Mapping[str, str],
-                  max_bytes: int | None = None, blocked: Iterable[str] = BLOCKED_FUNCTIONS) -> DataFrame:
-    """The query's rows if it passes every rule, else ``GuardError``.
+                  max_bytes: int | None = MAX_QUERY_BYTES, blocked: Iterable[str] = BLOCKED_FUNCTIONS) -> DataFrame:
+    """The query's rows if it passes every rule and the cost gate, else ``GuardError``. Nothing runs yet.
 
     ``sources`` maps the allowed table names to Parquet paths.
     """
     body = strip_fences_text(sql)
-    validate_sql(spark, body, blocked=blocked)
+    check_tables(validate_sql(spark, body, blocked=blocked), sources)
     session = isolated_session(spark, sources)
     try:
         df = session.sql(body.rstrip(";"))
     except AnalysisException as error:
         if error.getCondition() and "TABLE_OR_VIEW_NOT_FOUND" in error.getCondition():
             raise GuardError("table", f"table not in the allowed list: {error}") from error
-        if "UNSUPPORTED_DATASOURCE_FOR_DIRECT_QUERY" in str(error) or "runSQLOnFiles" in str(error):
-            raise GuardError("table", f"files cannot be queried by path: {error}") from error
         raise GuardError("analysis", f"SQL validation failed: {error}") from error
-    if max_bytes is not None:
-        cost_gate(df, max_bytes)
-    return df
+    return df if max_bytes is None else cost_gate(df, max_bytes)
+
+
+@dataclass(frozen=True)
+class GuardedResult:
+    """At most ``max_rows`` rows of a query, and how many it has."""
+
+    rows: DataFrame
+    row_count: int
+    truncated: bool
+
+
+def run_guarded(spark: SparkSession, sql: str, sources: Mapping[str, str], max_bytes: int = MAX_QUERY_BYTES,
+                seconds: float = TIMEOUT_SECONDS, max_rows: int = MAX_ROWS) -> GuardedResult:
+    """The one way to run a user's query: rules, cost gate, time limit, row cap, in this order.
+
+    Both the cut rows and the uncut count are worked out within the time limit.
+    """
+    df = guarded_query(spark, sql, sources, max_bytes)
+
+    def run() -> GuardedResult:
+        cut, count = cut_lineage(df.limit(max_rows), into=spark), df.count()
+        return GuardedResult(cut, count, count > max_rows)
+
+    return within_time(spark, run, seconds)
 
 
 def capped(df: DataFrame, order: list[str | Column], max_rows: int = MAX_ROWS) -> tuple[DataFrame, DataFrame]:

@@ -13,17 +13,10 @@ FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
 GROUP BY c.c_mktsegment"""
 
 
-@query("src1_table_scan", """
-SELECT CAST('orders' AS VARCHAR) AS table_name, COUNT(*) AS row_count FROM orders
-UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem
-UNION ALL SELECT 'customer', COUNT(*) FROM customer
-UNION ALL SELECT 'part', COUNT(*) FROM part
-UNION ALL SELECT 'events', COUNT(*) FROM events
-UNION ALL SELECT 'documents', COUNT(*) FROM documents
-""")
+@query("src1_table_scan", "\nUNION ALL ".join(
+    f"SELECT CAST('{name}' AS VARCHAR) AS table_name, COUNT(*) AS row_count FROM {name}" for name in catalog.TABLES))
 def table_scan(t):
-    names = ("orders", "lineitem", "customer", "part", "events", "documents")
-    return catalog.row_counts(catalog.register(t.spark, t.folder, names))
+    return catalog.row_counts(catalog.register(t.spark, t.folder, catalog.TABLES))
 
 
 @query("src5_sample_rows", """
@@ -37,7 +30,7 @@ def sample(t):
 @query("flt1_guarded_query", AOV_SQL)
 def guarded(t):
     sources = {name: f"{t.folder}/{name}.parquet" for name in ("orders", "customer")}
-    return guard.guarded_query(t.spark, f"```sql\n{AOV_SQL};\n```", sources)
+    return guard.run_guarded(t.spark, f"```sql\n{AOV_SQL};\n```", sources).rows
 
 
 @query("flt2_row_cap", """
@@ -52,11 +45,21 @@ def row_cap(t):
 
 
 @query("flt3_cost_gate", """
-SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus
+SELECT 'within the limit' AS query_name, 'success' AS status, COUNT(*) AS row_count FROM orders
+UNION ALL SELECT 'over the limit', 'blocked', NULL
 """)
 def cost_gated(t):
-    df = t.orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-    return guard.cost_gate(df, max_bytes=1 << 50)
+    """One query within its limit, which runs, and the same query with a limit below the size of its table."""
+    sources, out = {"orders": f"{t.folder}/orders.parquet"}, []
+    for name, limit in (("within the limit", guard.MAX_QUERY_BYTES), ("over the limit", 1)):
+        try:
+            result = guard.run_guarded(t.spark, "SELECT o_orderkey FROM orders", sources, max_bytes=limit)
+            out.append((name, "success", result.row_count))
+        except guard.GuardError as refused:
+            if refused.rule != "cost":
+                raise
+            out.append((name, "blocked", None))
+    return t.spark.createDataFrame(out, "query_name string, status string, row_count long")
 
 
 @query("flt4_strip_fences", r"""

@@ -49,12 +49,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The same rows read back from a table written beside the checkpoints.
+def cut_lineage(df: DataFrame, into: SparkSession | None = None) -> DataFrame:
+    """The same rows read back from a table written beside the checkpoints, by ``into`` if another session is to read.
 
     For loops whose result feeds the next round. Besides the lineage it also resets the size
     estimate, which would otherwise grow with every join of every round.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (into or df.sparkSession).read.schema(df.schema).parquet(path)

@@ -28,6 +28,14 @@ def sources(sample):
     ("WITH part AS (SELECT * FROM part) SELECT * FROM part", "table"),
     ("SELECT (SELECT count(*) FROM part) AS n FROM orders", "table"),
     ("SELECT * FROM orders WHERE EXISTS (SELECT 1 FROM part)", "table"),
+    ("SELECT * FROM global_temp.hidden", "table"),
+    ("SELECT * FROM saved_hidden", "table"),
+    ("SELECT * FROM default.saved_hidden", "table"),
+    ("SELECT * FROM spark_catalog.default.saved_hidden", "table"),
+    ("SELECT * FROM default.orders", "table"),
+    ("WITH a AS (SELECT * FROM b), b AS (SELECT 1 AS x) SELECT * FROM a", "table"),
+    ("SELECT * FROM (WITH c AS (SELECT 1 AS x) SELECT * FROM c) JOIN c", "table"),
+    ("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT x FROM saved_hidden)", "table"),
     ("SELECT pg_sleep(10)", "function"),
     ("SELECT lo_import('/etc/passwd')", "function"),
     ("SELECT * FROM dblink('x')", "function"),
@@ -38,6 +46,8 @@ def sources(sample):
     ("SELECT no_such_column FROM orders", "analysis"),
 ])
 def test_refused(spark, sources, sql, rule):
+    spark.range(3).createOrReplaceGlobalTempView("hidden")
+    spark.sql("CREATE TABLE IF NOT EXISTS saved_hidden USING parquet AS SELECT 1 AS x")
     with pytest.raises(guard.GuardError) as refused:
         guard.guarded_query(spark, sql, sources)
     assert refused.value.rule == rule
@@ -52,6 +62,9 @@ def test_files_by_path_are_refused(spark, sources, sample):
     "SELECT o_orderkey FROM orders LIMIT 5",
     "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 100) SELECT count(*) AS n FROM big",
     "SELECT c_name, o_totalprice FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey",
+    "WITH orders AS (SELECT 7 AS x) SELECT x FROM orders",
+    "WITH a AS (SELECT * FROM orders), b AS (SELECT * FROM a) SELECT * FROM b WHERE EXISTS (SELECT 1 FROM a)",
+    "SELECT * FROM ORDERS o WHERE o_custkey IN (WITH c AS (SELECT c_custkey FROM customer) SELECT c_custkey FROM c)",
     "SELECT o_orderkey FROM orders UNION SELECT c_custkey FROM customer",
     "SELECT 'drop table orders; reflect(' AS text FROM orders",
     "SELECT o_custkey, sum(o_totalprice) OVER (PARTITION BY o_custkey) AS s FROM orders ORDER BY 1",
@@ -113,3 +126,15 @@ def test_time_limit(spark):
     assert guard.within_time(spark, spark.range(3).count, 30) == 3
     with pytest.raises(ZeroDivisionError):
         guard.within_time(spark, lambda: 1 // 0, 30)
+
+
+def test_one_path_gates_times_and_caps(spark, sources):
+    result = guard.run_guarded(spark, "SELECT o_orderkey FROM orders", sources, max_rows=10)
+    assert (result.rows.count(), result.row_count, result.truncated) == (10, 1500, True)
+    whole = guard.run_guarded(spark, "SELECT o_orderkey FROM orders WHERE o_orderkey < 0", sources)
+    assert (whole.rows.count(), whole.row_count, whole.truncated) == (0, 0, False)
+    for limits, rule in (({"max_bytes": 1}, "cost"), ({"seconds": 0.0}, "timeout")):
+        slow = "SELECT sum(a.o_totalprice * sin(b.o_totalprice) * cos(c.c_acctbal)) AS s FROM orders a, orders b, customer c"
+        with pytest.raises(guard.GuardError) as stopped:
+            guard.run_guarded(spark, slow, sources, **limits)
+        assert stopped.value.rule == rule
