@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20  # text worked on at once in a task; a longer text is a slice of its own
 
 _BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[int, np.ndarray] = {}
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_VALUES = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -106,10 +107,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int, base: int = _BASE) -> np.ndarray:
-    """base ** 0 to base ** n, modulo 2 ** 64."""
-    out = np.full(n + 1, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """base ** 0 to base ** n, modulo 2 ** 64; kept for the next slice of the task."""
+    if len(_POWERS.get(base, ())) <= n:
+        out = np.full(max(n, SLICE_BYTES) + 1, base, dtype=np.uint64)
+        out[0] = 1
+        _POWERS[base] = np.cumprod(out, dtype=np.uint64)
+    return _POWERS[base][:n + 1]
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The values in order, each once. Sorts, which for 64-bit values is many times faster than np.unique."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -121,6 +130,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(own + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
 
 
+def span_sums(data: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` bytes that start at each place."""
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * powers(len(data))[:-1], out=sums[1:])
+    count = max(len(data) - length + 1, 0)
+    return mix((sums[length:length + count] - sums[:count]) * powers(len(data), _INVERSE)[:count])
+
+
 def word_hashes(texts: Texts, kind: str, lower: bool = True) -> tuple[Words, np.ndarray]:
     found = words(texts, kind)
     return found, span_hashes(LOWER[texts.data] if lower else texts.data, found.starts, found.ends)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlight.llm.batches import Texts, binary_text, gram_hashes, mix, slices, within, word_hashes
+from ledgerlight.llm.batches import Texts, binary_text, distinct, gram_hashes, mix, slices, within, word_hashes
 from ledgerlight.session import cut_lineage
 
 #: Of each of two tables, 2 ** 22 at most. An n-gram has the milder ratio of its two buckets, so that the odd ordinary
@@ -57,7 +57,7 @@ def distinct_buckets(texts: Texts, buckets: int, grams: tuple[tuple[str, int], .
                 same = np.logical_and.reduce([hashes[where] == hashes[where + k] for k in range(1, n)])
                 hashed, owner = np.zeros(int(same.sum()), np.uint64), owner[same]
             keys.append((owner.astype(np.uint64) << np.uint64(44)) | (hashed >> np.uint64(20)))
-    keys = np.unique(np.concatenate(keys))
+    keys = distinct(np.concatenate(keys))
     first, second = keys & np.uint64((1 << 22) - 1), (keys >> np.uint64(22)) & np.uint64((1 << 22) - 1)
     return ((keys >> np.uint64(44)).astype(np.int64), (first % np.uint64(buckets)).astype(np.int64),
             (second % np.uint64(buckets) + np.uint64(buckets)).astype(np.int64))
