@@ -18,6 +18,7 @@ CONFIDENCE_THRESHOLD = 0.4
 EMPTY_CONFIDENCE = 0.3
 FINANCIAL_CONFIDENCE = 0.9
 FORECAST_CONFIDENCE = 0.85
+UNKNOWN_TITLE = "Unknown"
 MAX_CITATIONS = 5
 RULE_CONFIDENCE = 0.8
 
@@ -154,7 +155,7 @@ def evidence(df: DataFrame, sql_rows: str = "sql_rows", sql_columns: str = "sql_
     sql = F.concat(F.lit("Query returned "), F.col("sql_row_count").cast("string"), F.lit(" rows.\nColumns: "),
                    F.array_join(sql_columns, ", "), F.lit("\n"), F.coalesce(sample, F.lit("")))
     shown = F.transform(F.slice(documents, 1, 3), lambda d, i: F.concat(
-        (i + 1).cast("string"), F.lit(". ["), d["title"], F.lit("] (score: "), plain(d["score"]), F.lit("): "),
+        (i + 1).cast("string"), F.lit(". ["), F.coalesce(d["title"], F.lit(UNKNOWN_TITLE)), F.lit("] (score: "), plain(d["score"]), F.lit("): "),
         snippet(d["chunk_content"], 200), F.lit("...\n")))
     found = F.concat(F.lit("Found "), F.size(documents).cast("string"), F.lit(" relevant document chunks:\n"),
                      F.array_join(shown, ""))

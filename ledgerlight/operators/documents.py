@@ -36,6 +36,8 @@ EMBEDDING_MODELS = {
     "text-embedding-3-large": {"dimension": 3072, "max_tokens": 8191},
 }
 HASH_DIMENSION = 256
+# Kinds of files whose bytes are text.
+TEXT_EXTENSIONS = (".txt", ".md", ".csv")
 
 
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -62,7 +64,10 @@ def admission_reason(filename: str = "filename", content: str = "content", text:
     reason = (F.when(~suffix(filename).isin(*extensions), F.concat(F.lit("unsupported file type: "), suffix(filename)))
               .when(F.octet_length(content) > max_bytes, F.lit("file too large")))
     if text is not None:
-        reason = reason.when(tx.strip(F.coalesce(F.col(text), F.lit(""))) == "", F.lit("no text content"))
+        readable = suffix(filename).isin(*TEXT_EXTENSIONS)
+        reason = (reason.when(F.col(text).isNull() & ~readable, F.concat(F.lit("no extractor for "), suffix(filename)))
+                  .when(F.col(text).isNull() & F.col(content).isNotNull(), F.lit("not valid UTF-8"))
+                  .when(tx.strip(F.coalesce(F.col(text), F.lit(""))) == "", F.lit("no text content")))
     return reason
 
 
@@ -75,13 +80,13 @@ def admit_documents(df: DataFrame, text: str | None = None, **limits) -> tuple[D
 def decode_text(df: DataFrame, content: str = "content", name: str = "text") -> DataFrame:
     """Adds the text of plain files: UTF-8 for .txt and .md, a Markdown table for .csv.
 
-    Formats that need a parser of their own stay null; an extractor for them is a pandas UDF
-    that fills the same column.
+    Formats that need a parser of their own stay null, and so do files that are not UTF-8; an
+    extractor for the former is a pandas UDF that fills the same column.
     """
     kind = suffix("filename")
+    body = F.try_validate_utf8(F.col(content).cast("string"))
     return df.withColumn(
-        name, F.when(kind.isin(".txt", ".md"), F.decode(content, "UTF-8"))
-        .when(kind == ".csv", csv_to_markdown_text(F.decode(content, "UTF-8"))))
+        name, F.when(kind.isin(".txt", ".md"), body).when(kind == ".csv", csv_to_markdown_text(F.when(kind == ".csv", body))))
 
 
 @F.pandas_udf(T.StringType())

@@ -91,27 +91,58 @@ def solve_irr(flows: np.ndarray) -> np.ndarray:
         same = np.sign(_discounted(flows, middle)) == above
         low, high = np.where(same, low, middle), np.where(same, middle, high)
     exact = above[:, 0] == 0
-    rate = np.where(exact, 1 / factors[0, at] - 1, 2 / (low + high)[:, 0] - 1)
-    return np.where(found & flows.any(axis=1), rate, np.nan)
+    rate = np.where(found, np.where(exact, 1 / factors[0, at] - 1, 2 / (low + high)[:, 0] - 1), np.nan)
+    # One change of sign has one root. The grid may miss it beyond its ends, and of several roots two in one cell.
+    for i in range(len(flows)):
+        known = flows[i][flows[i] != 0]
+        changes = int((np.sign(known[1:]) != np.sign(known[:-1])).sum())
+        if changes == 0:
+            rate[i] = np.nan
+        elif changes > 1 or not found[i]:
+            rate[i] = _nearest_root(flows[i])
+    return rate
+
+
+def _nearest_root(flows: np.ndarray) -> float:
+    """The rate nearest zero among all positive real roots of the discounting polynomial."""
+    ends = np.flatnonzero(flows)
+    own = flows[ends[0]:ends[-1] + 1]  # leading zeros only delay, trailing ones add nothing
+    roots = np.roots(own[::-1])
+    factors = roots.real[(np.abs(roots.imag) <= 1e-6 * np.abs(roots)) & (roots.real > 0)]
+    powers, rates = np.arange(len(own)), []
+    for factor in factors:
+        for _ in range(50):  # polish: roots of a companion matrix are good to a few digits where they lie close
+            terms = own * factor ** powers
+            slope = (terms[1:] * powers[1:]).sum() / factor
+            step = terms.sum() / slope if slope else 0.0
+            factor -= step if abs(step) < factor / 2 else np.sign(step) * factor / 2
+            if abs(step) <= 1e-15 * factor:
+                break
+        if abs((own * factor ** powers).sum()) <= 1e-9 * np.abs(own * factor ** powers).sum():
+            rates.append(1 / factor - 1)
+    return min(rates, key=abs, default=np.nan)
 
 
 def irr(cf: Column | str) -> Column:
     """The rate at which NPV is zero; null when there is none.
 
     Solved for the discount factor v = 1 / (1 + rate): NPV is a polynomial in v, and v in
-    (0, 100] covers every rate above -99 %. The factors are tried on a grid; among the
-    brackets with a sign change the one nearest to rate 0 is bisected. An iteration over a
-    whole Arrow batch in numpy is many times faster here than folding over arrays per row.
+    (0, inf) stands for the rates above -100 %. The factors are tried on a grid and the
+    bracket nearest to rate 0 is bisected, for a whole Arrow batch at once; flows whose sign
+    changes more than once, or whose root is off the grid, have all roots isolated one by one.
+    Null where a flow is missing or not a number.
     """
     @F.pandas_udf(T.DoubleType())
     def rates(batch: pd.Series) -> pd.Series:
-        known = batch[batch.map(lambda x: x is not None and len(x) > 0)]
+        known = batch[batch.map(lambda x: x is not None and len(x) > 0 and bool(np.isfinite(np.asarray(x, dtype=float)).all()))]
         out = pd.Series(np.full(len(batch), np.nan), index=batch.index)
         if len(known):
-            flows = np.zeros((len(known), max(map(len, known))))
-            for i, row in enumerate(known):
-                flows[i, :len(row)] = row
-            out[known.index] = solve_irr(np.nan_to_num(flows))
+            # Projects of like length go together, so a long one does not pad all others.
+            for _, like in known.groupby(known.map(lambda x: len(x).bit_length())):
+                flows = np.zeros((len(like), max(map(len, like))))
+                for i, row in enumerate(like):
+                    flows[i, :len(row)] = row
+                out[like.index] = solve_irr(flows)
         return out
 
     return F.nullif(rates(_col(cf)), F.lit(float("nan")))
@@ -220,7 +251,7 @@ def run_models(df: DataFrame, model: str = "model_type", cf: str = "cf",
     dcf_rate = F.coalesce(F.try_element_at(used, F.lit("discount_rate")), F.lit(0.12))
     growth = F.coalesce(F.try_element_at(used, F.lit("terminal_growth")), F.lit(0.03))
     grid = F.array(*[F.lit(v) for v in linspace(low, high, steps)])
-    solved = (df.withColumn("irr", F.when(m == "irr", irr(c)))
+    solved = (df.withColumn("irr", irr(F.when(m == "irr", c)))
               .withColumn("payback_period", F.when(m == "payback", payback(c)))
               .withColumn("dcf_value", F.when(m == "dcf", dcf(c, dcf_rate, growth)["dcf_value"]))
               .withColumn("sensitivity_npvs",

@@ -17,7 +17,8 @@ from ledgerlight.functions import fits
 from ledgerlight.functions.formats import grouped
 from ledgerlight.operators import timeseries as ts
 
-MODELS = ("prophet", "arima", "ets", "naive")
+# Names a request may give, and the model each stands for; any other name takes the additive one.
+MODELS = {"additive": "additive", "prophet": "additive", "arima": "arima", "ets": "ets", "naive": "naive"}
 POINTS = ("series_id string, model string, step int, ds date, label string, yhat double, yhat_lower double, "
           "yhat_upper double, aic double, bic double, p int, d int, q int")
 # The range a fit may leave a failed candidate with: it is never chosen.
@@ -71,12 +72,13 @@ def select_order(df: DataFrame, candidates: tuple = fits.CANDIDATE_ORDERS) -> Da
 
     Every series is unfolded into its candidates, each fitted on its own row.
     """
-    return _select(ts.to_arrays(df), candidates)
+    return _select(ts.to_arrays(ts.interpolate_time(df)), candidates)
 
 
 def _select(arrays: DataFrame, candidates: tuple = fits.CANDIDATE_ORDERS) -> DataFrame:
     orders = F.array(*[F.array(*map(F.lit, o)) for o in candidates])
     rows = arrays.select("series_id", "y", F.explode(orders).alias("order"))
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id", "order")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -107,18 +109,22 @@ def _fit(arrays: DataFrame, confidence: float, holidays: bool, order: tuple | No
         arrays = arrays.join(orders, "series_id", "left")
     else:
         arrays = arrays.withColumn("order", fixed)
-    known = F.when(F.col("model").isin(*MODELS), F.col("model")).otherwise("prophet")
-    return (arrays.withColumn("model", known).select("series_id", "model", "ds", "y", "future", "order")
+    models = F.create_map(*[F.lit(x) for pair in MODELS.items() for x in pair])
+    known = F.coalesce(F.try_element_at(models, F.col("model")), F.lit("additive"))
+    # Fits take their time from the processor, not from bytes, so partitions follow the series.
+    tasks = int(arrays.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (arrays.withColumn("model", known).select("series_id", "model", "ds", "y", "future", "order").repartition(tasks, "series_id")
             .mapInPandas(_points(confidence, holidays), POINTS))
 
 
-def forecast(df: DataFrame, freq: str, periods: int, model: str = "prophet", confidence: float = 0.95,
+def forecast(df: DataFrame, freq: str, periods: int, model: str = "additive", confidence: float = 0.95,
              holidays: bool = False, order: tuple | None = None, models: DataFrame | None = None) -> DataFrame:
     """The next ``periods`` of every series: step, date, label, yhat with bounds, fit figures.
 
     ``models`` (series_id, model) picks a model per series; unknown names take the additive one.
+    Series are put on their grid first, and gaps between known values are filled in time.
     """
-    arrays = ts.to_arrays(df)
+    arrays = ts.to_arrays(ts.interpolate_time(ts.as_freq(df, freq)))
     if models is None:
         arrays = arrays.withColumn("model", F.lit(model))
     else:
@@ -136,7 +142,7 @@ def forecast_arima(df: DataFrame, freq: str, periods: int, order: tuple | None =
 
 
 def forecast_additive(df: DataFrame, freq: str, periods: int, confidence: float = 0.95, holidays: bool = False) -> DataFrame:
-    return forecast(df, freq, periods, "prophet", confidence, holidays)
+    return forecast(df, freq, periods, "additive", confidence, holidays)
 
 
 def _held_out(arrays: DataFrame, model: str, confidence: float, holidays: bool, order: tuple | None) -> DataFrame:
@@ -151,21 +157,24 @@ def _held_out(arrays: DataFrame, model: str, confidence: float, holidays: bool,
     return predicted.join(actual.withColumn("step", F.col("_pos") + 1).drop("_pos"), ["series_id", "step"])
 
 
-def backtest(df: DataFrame, model: str = "prophet", test_periods: int = 6, confidence: float = 0.95,
+def backtest(df: DataFrame, model: str = "additive", test_periods: int = 6, confidence: float = 0.95,
              holidays: bool = False, order: tuple | None = None) -> DataFrame:
-    """Actual and predicted of the last ``test_periods``, for series with three more periods than that."""
-    arrays = ts.to_arrays(df).where(F.size("y") >= test_periods + 3)
+    """Actual and predicted of the last ``test_periods``, for series with three more periods than that.
+
+    ``df`` has a row for every period; gaps are filled in time.
+    """
+    arrays = ts.to_arrays(ts.interpolate_time(df)).where(F.size("y") >= test_periods + 3)
     arrays = arrays.withColumn("cut", F.size("y") - test_periods).withColumn("horizon", F.lit(test_periods))
     return _held_out(arrays, model, confidence, holidays, order)
 
 
-def rolling_backtest(df: DataFrame, model: str = "prophet", periods: int = 6, order: tuple | None = None) -> DataFrame:
+def rolling_backtest(df: DataFrame, model: str = "additive", periods: int = 6, order: tuple | None = None) -> DataFrame:
     """Mean errors per series over rolling cut-offs; zeros for series shorter than two horizons.
 
     Cut-offs run back from one horizon before the end by half a horizon, and every training
     part keeps at least one horizon.
     """
-    arrays = ts.to_arrays(df).withColumn("series_id", F.col("series_id").cast("string"))
+    arrays = ts.to_arrays(ts.interpolate_time(df)).withColumn("series_id", F.col("series_id").cast("string"))
     step = max(periods // 2, 1)
     cuts = F.sequence(F.size("y") - periods, F.lit(periods), F.lit(-step))
     # Each cut-off is a series of its own while it is fitted.

@@ -60,7 +60,11 @@ def index_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     offset = F.col("at") - F.col("below")
     picked = ranked.where((F.col("_upto") > offset) & (F.col("_upto") - F.col("_m") <= offset))
     p_of = F.array(*[F.lit(float(p)) for p in probs])
-    return picked.select(*keys, F.element_at(p_of, F.col("i") + 1).alias("p"), F.col("_v").alias("value"))
+    # A bracket holds its position by the sketch's error bound; if it ever does not, that is an error and no value.
+    missed = F.raise_error(F.lit("a percentile lies outside its bracket")).cast("double")
+    wanted = targets.where("at >= 0").select(*keys, "i")  # without values there is no position
+    return wanted.join(picked.select(*keys, "i", "_v"), [*keys, "i"], "left").select(
+        *keys, F.element_at(p_of, F.col("i") + 1).alias("p"), F.coalesce("_v", missed).alias("value"))
 
 
 def median_of_counts(counts: DataFrame, keys: Sequence[str], value: str, n: str = "n") -> DataFrame:

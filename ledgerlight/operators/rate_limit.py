@@ -1,7 +1,7 @@
 """Sliding-window rate limits over tables of requests.
 
-A request is admitted when fewer than ``limit`` admitted requests of its key lie in the
-``window`` before it. Whether one is admitted depends on those before it, so a key is walked in
+A request is admitted when fewer than ``limit`` admitted requests of its key, a client and a
+class of limit, lie in the ``window`` before it. Whether one is admitted depends on those before it, so a key is walked in
 time order; a key with many requests is cut into time slices that are walked side by side and
 hand their last admitted times on until nothing changes.
 """
@@ -67,9 +67,15 @@ def walk(times: np.ndarray, limit: int, window: int, before: list[int]) -> tuple
     return admitted, remaining, reset, [t for t in held if t > last - window]
 
 
+def limit_key(events: DataFrame, key: str = "client_key", limit_class: str = "limit_class") -> Column:
+    """What a limit counts by: the client, within the class of limit where rows name one."""
+    named = F.col(limit_class) if limit_class in events.columns else F.lit(None)
+    return F.concat_ws("\u0001", F.coalesce(named.cast("string"), F.lit("")), F.col(key).cast("string"))
+
+
 def _sliced(events: DataFrame, key: str, id_: str, ts: str, slice_rows: int) -> DataFrame:
     """Requests as (_key, _id, _us, _slice); keys beyond ``slice_rows`` are cut by time."""
-    base = events.select(F.col(key).alias("_key"), F.col(id_).alias("_id"), micros(ts).alias("_us"),
+    base = events.select(limit_key(events, key).alias("_key"), F.col(id_).alias("_id"), micros(ts).alias("_us"),
                          F.col("limit").cast("int").alias("_limit"),
                          (F.col("window_seconds").cast("bigint") * 1_000_000).alias("_window"))
     spans = base.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_from"), F.max("_us").alias("_to"))
@@ -171,11 +177,11 @@ def rate_limit(events: DataFrame, key: str = "client_key", ts: str = "ts", id_:
                slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The decision on each request: (id, admitted, remaining, reset_seconds).
 
-    ``events`` has limit and window_seconds, the same for all requests of a key. Requests of a
-    class with no limit are admitted. Equal times are taken in id order.
+    ``events`` has limit and window_seconds, the same for all requests of a client and class.
+    Requests of a class with no limit are admitted. Equal times are taken in id order.
     """
     limited = events.where(F.col("limit").isNotNull())
-    sliced = _sliced(limited, key, id_, ts, slice_rows)
+    sliced = cut_lineage(_sliced(limited, key, id_, ts, slice_rows))  # every round reads it
     schema = T.StructType([T.StructField("_id", sliced.schema["_id"].dataType), T.StructField("admitted", T.BooleanType()),
                            T.StructField("remaining", T.IntegerType()), T.StructField("reset_seconds", T.IntegerType())])
     decided = _in_order(sliced, _hand_over(sliced)).mapInPandas(_decide, schema)

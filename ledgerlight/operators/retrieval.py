@@ -133,11 +133,17 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, query_id: str = "
     ])
     usable = queries.where(F.size(query_vector) > 0)
     chunks = chunks.where(F.size(vector) > 0)
-    one = usable.select(F.size(query_vector)).first()
-    if one is None:
+    width, widest = usable.agg(F.min(F.size(query_vector)), F.max(F.size(query_vector))).first()
+    if width is None:
         found = queries.sparkSession.createDataFrame([], schema)
+    elif width != widest:
+        raise ValueError(f"query vectors of widths {width} to {widest}")
     else:
-        fits = broadcast_bytes // (8 * one[0])
+        # Vectors of another width come from another model; a score against them means nothing.
+        other = F.raise_error(F.concat(F.lit(f"vector of a width other than {width}: "), F.size(vector).cast("string")))
+        kind = chunks.schema[vector].dataType
+        chunks = chunks.withColumn(vector, F.when(F.size(vector) == width, F.col(vector)).otherwise(other.cast(kind)))
+        fits = broadcast_bytes // (8 * width)
         head = usable.select(query_id, query_vector).limit(fits + 1).collect()
         if len(head) <= fits:
             found = _search_small(head, chunks, k, chunk_id, vector, schema)
@@ -193,7 +199,8 @@ def dedup_hits(hits: DataFrame, threshold: float = DEDUP_THRESHOLD, query_id: st
     others = [c for c in hits.columns if c != query_id]
     words = tx.word_set(content)
     gathered = hits.withColumn("_words", words).groupBy(query_id).agg(
-        F.array_sort(F.collect_list(F.struct("rank", *[c for c in others if c != "rank"], "_words"))).alias("_hits"))
+        F.array_sort(F.collect_list(F.struct("rank", *[c for c in others if c != "rank"], "_words")),
+                     lambda a, b: a["rank"] - b["rank"]).alias("_hits"))
     first = F.slice("_hits", 1, 1)
 
     def walk(kept: Column, hit: Column) -> Column:
@@ -237,10 +244,10 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: RetrievalConfig = Re
     """Search, snippet, threshold, de-duplication, optional re-ranking and cut, for all queries.
 
     ``queries`` has query_id, question and query_vector; ``chunks`` has chunk_id, document_id,
-    title, content and embedding.
+    title, content, embedding and whatever else hits are to carry, metadata for one.
     """
     found = knn(queries, chunks, config.top_k, where=where)
-    texts = chunks.select("chunk_id", "document_id", "title", "content")
+    texts = chunks.drop("embedding")
     hits = min_score(to_hits(found.join(texts, "chunk_id")).drop("content"), config.min_score)
     if config.dedup:
         hits = dedup_hits(hits, config.dedup_threshold)

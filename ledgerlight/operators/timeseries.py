@@ -144,8 +144,11 @@ def to_arrays(df: DataFrame) -> DataFrame:
 
 
 def forecast_naive(df: DataFrame, freq: str, periods: int, season: int = 12) -> DataFrame:
-    """Two baselines per step: last season's value, and the straight line from first to last."""
-    arrays = to_arrays(df)
+    """Two baselines per step: last season's value, and the straight line from first to last.
+
+    Series are put on their grid first, and gaps between known values are filled in time.
+    """
+    arrays = to_arrays(interpolate_time(as_freq(df, freq)))
     n = F.size("y")
     back = F.least(F.lit(season), n)
     last, first = F.element_at("y", -1), F.element_at("y", 1)

@@ -124,14 +124,14 @@ WITH {RESPONSES_SQL}
 SELECT event_id,
   CASE WHEN sql_row_count IS NULL THEN 'No SQL results.' ELSE 'Query returned ' || sql_row_count || E' rows.\\nColumns: user_id, value\\nSample data: [('
     || user_id || ', ' || format('{{:.2f}}', value) || E')]\\n' END AS sql_evidence,
-  CASE WHEN NOT has_docs THEN 'No document results.' ELSE E'Found 1 relevant document chunks:\\n1. [doc ' || user_id || '] (score: '
-    || format('{{:.2f}}', value / 500) || '): chunk of ' || event_type || E'...\\n' END AS document_evidence
+  CASE WHEN NOT has_docs THEN 'No document results.' ELSE E'Found 2 relevant document chunks:\\n1. [doc ' || user_id || '] (score: '
+    || format('{{:.2f}}', value / 500) || '): chunk of ' || event_type || E'...\\n2. [Unknown] (score: '
+    || format('{{:.2f}}', value / 1000) || E'): ...\\n' END AS document_evidence
 FROM resp
 """)
 def evidence(t):
     from ledgerlight.functions.formats import plain
     shown = (responses(t)
-             .withColumn("documents", F.filter("documents", lambda d: d["title"].isNotNull()))
              .withColumn("sql_columns", F.array(F.lit("user_id"), F.lit("value")))
              .withColumn("sql_rows", F.array(F.concat(F.lit("("), F.col("user_id").cast("string"), F.lit(", "), plain("value"), F.lit(")")))))
     return ans.evidence(shown).select("event_id", "sql_evidence", "document_evidence")

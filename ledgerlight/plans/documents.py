@@ -49,7 +49,7 @@ SELECT doc_id AS document_id, text FROM documents WHERE lang IN ('en', 'de')
 """)
 def decoded(t):
     plain = files(t).where(docs.suffix("filename").isin(".txt", ".md"))
-    return plain.select("document_id", F.decode("content", "UTF-8").alias("text"))
+    return docs.decode_text(plain).select("document_id", "text")
 
 
 @query("src9_csv_to_markdown", r"""

@@ -229,10 +229,10 @@ def admitted(t):
     return limits.rate_limit(limited(t.events))
 
 
-@query("str1_rate_limit_stream", ADMISSION_SQL.split("UNION ALL SELECT event_id, true")[0])
+@query("str1_rate_limit_stream", ADMISSION_SQL)
 def admitted_stream(t):
     stream = jobs.read_stream(t.spark, f"{t.folder}/events*.parquet", t.events.schema)
-    decided = jobs.rate_limit_stream(limited(stream).where(F.col("limit").isNotNull()))
+    decided = jobs.rate_limit_stream(limited(stream))
     return jobs.run_available(decided, jobs.scratch(t.spark, "admitted"), jobs.scratch(t.spark, "progress"))
 
 
@@ -253,12 +253,12 @@ w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, * FROM log)
 SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, operation, COUNT(*) AS calls, COUNT(*) FILTER (WHERE status = 'error') AS errors,
   CAST(SUM(total_tokens) AS BIGINT) AS tokens, ROUND(AVG(latency_ms), 6) AS avg_ms, MAX(latency_ms) AS max_ms
 FROM w GROUP BY window_start, operation
-HAVING window_start + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', MAX(ts)) FROM log) - INTERVAL 1 MINUTE
 """)
 def telemetry_windows(t):
     stream = jobs.read_stream(t.spark, f"{t.folder}/events*.parquet", t.events.schema)
     windows = jobs.telemetry_stream(as_log(stream), window="1 hour")
     out = jobs.run_available(windows, jobs.scratch(t.spark, "telemetry"), jobs.scratch(t.spark, "progress"))
+    out = jobs.with_open_windows(out, as_log(t.events), window="1 hour")
     return out.withColumn("avg_ms", F.round("avg_ms", 6))
 
 
@@ -348,12 +348,13 @@ def report_rows(t):
 
 
 @query("src15_report_sources", """
-SELECT doc_id, substring(text, 1, 300) || '...' AS snippet, format('{:.0f}', (quality * 0.5 + toxic * 0.25 + 0.2) * 100) || '%' AS relevance
-FROM documents JOIN labels USING (doc_id)
+SELECT doc_id, substring(text, 1, 300) || '...' AS snippet,
+  format('{:.0f}', (coalesce(quality, 0) * 0.5 + coalesce(toxic, 0) * 0.25 + 0.2) * 100) || '%' AS relevance
+FROM documents LEFT JOIN labels USING (doc_id)
 """)
 def report_hits(t):
-    hits = (t.documents.select("doc_id", F.col("text").alias("chunk_content")).join(t.labels, "doc_id")
-            .withColumn("score", F.col("quality") * 0.5 + F.col("toxic") * 0.25 + 0.2))
+    hits = (t.documents.select("doc_id", F.col("text").alias("chunk_content")).join(t.labels, "doc_id", "left")
+            .withColumn("score", F.coalesce("quality", F.lit(0)) * 0.5 + F.coalesce("toxic", F.lit(0)) * 0.25 + 0.2))
     return reports.report_sources(hits).select("doc_id", "snippet", "relevance")
 
 

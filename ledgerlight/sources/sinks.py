@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUESTIONS = ("id string, question string, intent string, expected_sql string, relevant_doc_ids array<string>")
+FILE_ROWS = 1_000_000
 CSV_PREFACE = "# SQL Results"
 
 
@@ -19,10 +20,12 @@ def read_questions(spark: SparkSession, path: str, limit: int | None = None) ->
 def write_chunks(chunks: DataFrame, path: str, mode: str = "append") -> None:
     """Chunk store as Parquet, one folder per source, so a source filter reads only its own.
 
-    Rows are spread by source and a hash of the chunk, so a source holding most chunks is
-    written by many tasks.
+    Rows are spread by source and a hash of the chunk into as many groups as the largest source
+    needs at ``FILE_ROWS`` a file, so a source holding most chunks is written by many tasks.
     """
-    spread = chunks.repartition("source", F.pmod(F.xxhash64("chunk_id"), F.lit(32)))
+    largest = chunks.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    writers = max(1, -(-largest // FILE_ROWS))
+    spread = chunks.repartition("source", F.pmod(F.xxhash64("chunk_id"), F.lit(writers)))
     spread.write.mode(mode).partitionBy("source").parquet(path)
 
 
@@ -32,7 +35,7 @@ def write_csv(df: DataFrame, path: str, preface: bool = True, mode: str = "overw
     Returns whether rows were written.
     """
     df.write.mode(mode).option("header", True).csv(path)
-    rows = not df.isEmpty()
+    rows = not df.sparkSession.read.schema(df.schema).option("header", True).csv(path).isEmpty()
     if rows and preface:
         spark = df.sparkSession
         spark.createDataFrame([(CSV_PREFACE,)], "value string").coalesce(1).write.mode(mode).text(f"{path}_preface")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ledgerlight.operators.rate_limit import micros, walk
+from ledgerlight.operators.rate_limit import limit_key, micros, walk
 from ledgerlight.session import ensure_checkpoint_dir
 
 AUDIT_TRIGGER = "5 seconds"
@@ -47,12 +47,12 @@ def rate_limit_stream(requests: DataFrame, key: str = "client_key", ts: str = "t
                       idle: str | None = None) -> DataFrame:
     """Admission decisions on a stream of requests with ``limit`` and ``window_seconds``.
 
-    The state of a key is its admitted times of one window, at most ``limit`` of them; with
+    Limits count by client and class; requests of a class with no limit are admitted. The state of a key is its admitted times of one window, at most ``limit`` of them; with
     ``idle``, a watermark delay, keys that went quiet are forgotten. Requests are walked in
     time order inside a batch; across batches files must arrive in time order.
     """
     stream = requests.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, idle) if idle else requests
-    base = stream.select(F.col(key).alias("client_key"), F.col(id_).alias("_id"), micros(ts).alias("_us"), F.col(ts).alias("_ts"),
+    base = stream.select(limit_key(stream, key).alias("_key"), F.col(id_).alias("_id"), micros(ts).alias("_us"), F.col(ts).alias("_ts"),
                          F.col("limit").cast("int").alias("limit"),
                          (F.col("window_seconds").cast("bigint") * 1_000_000).alias("_window"))
     out = T.StructType([T.StructField("_id", base.schema["_id"].dataType), T.StructField("admitted", T.BooleanType()),
@@ -64,6 +64,9 @@ def rate_limit_stream(requests: DataFrame, key: str = "client_key", ts: str = "t
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values(["_us", "_id"])
+        if rows["limit"].isna().all():  # a class without a limit
+            yield pd.DataFrame({"_id": rows["_id"].to_numpy(), "admitted": True, "remaining": np.int32(0), "reset_seconds": np.int32(0)})
+            return
         before = list(state.get[0]) if state.exists else []
         window = int(rows["_window"].iloc[0])
         admitted, remaining, reset, after = walk(rows["_us"].to_numpy(), int(rows["limit"].iloc[0]), window, before)
@@ -75,7 +78,7 @@ def rate_limit_stream(requests: DataFrame, key: str = "client_key", ts: str = "t
                             "remaining": remaining.astype(np.int32), "reset_seconds": reset.astype(np.int32)})
 
     timeout = GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    return base.groupBy("client_key").applyInPandasWithState(decide, out, held, "append", timeout) \
+    return base.groupBy("_key").applyInPandasWithState(decide, out, held, "append", timeout) \
         .withColumnRenamed("_id", id_)
 
 
@@ -97,6 +100,7 @@ def telemetry_stream(events: DataFrame, ts: str = "ts", window: str = TELEMETRY_
     """Calls, errors, tokens and latency per operation and tumbling window.
 
     Events later than ``delay`` are dropped; a window is written once the watermark passes it.
+    Over a table of finished input it gives every window, see :func:`with_open_windows`.
     """
     kind = events.schema[ts].dataType
     return (events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
@@ -106,3 +110,12 @@ def telemetry_stream(events: DataFrame, ts: str = "ts", window: str = TELEMETRY_
                  F.max("latency_ms").alias("max_ms"))
             .select(F.col("w.start").cast(kind).alias("window_start"), F.col("w.end").cast(kind).alias("window_end"), "operation",
                     "calls", "errors", "tokens", "avg_ms", "max_ms"))
+
+
+def with_open_windows(written: DataFrame, events: DataFrame, **options: str) -> DataFrame:
+    """What a stream wrote, and the windows that were still open when its input ended.
+
+    ``events`` is the finished input as a table.
+    """
+    return written.unionByName(telemetry_stream(events, **options).join(written, ["window_start", "operation"], "left_anti")
+                               .select(*written.columns))

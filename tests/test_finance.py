@@ -123,3 +123,22 @@ def test_params_from_text(spark):
 ])
 def test_formats(one, fn, value, want):
     assert one(fn("v0"), schema="v0 double", v0=value) == want
+
+
+@pytest.mark.parametrize("flows,want", [
+    ([-1.0, 0.001], -0.999), ([-100.0, 222.0, -123.2075], 0.105), ([-100.0, 230.0, -132.0], 0.1), ([-1.0, 3e9], 3e9 - 1),
+    ([1.0, 2.0], None), ([0.0, 0.0], None), ([-100.0, 50.0, 40.0], None), ([0.0, -100.0, 110.0], 0.1),
+])
+def test_irr_off_the_grid(spark, flows, want):
+    from ledgerlight.operators import finance
+    got = spark.createDataFrame([(flows,)], "cf array<double>").select(finance.irr("cf").alias("r")).first()["r"]
+    if flows == [-100.0, 50.0, 40.0]:
+        assert got == pytest.approx(-0.0698, abs=1e-3)
+    else:
+        assert (got is None) if want is None else got == pytest.approx(want, rel=1e-6)
+
+
+def test_irr_of_missing_flows_is_null(spark):
+    from ledgerlight.operators import finance
+    rows = [([-1.0, None, 2.0],), ([-1.0, float("nan")],), ([-1.0, float("inf")],), (None,), ([],)]
+    assert [r["r"] for r in spark.createDataFrame(rows, "cf array<double>").select(finance.irr("cf").alias("r")).collect()] == [None] * 5

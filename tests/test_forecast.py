@@ -72,7 +72,7 @@ def test_forecast_shape(monthly, model):
     assert len(rows) == 12 and [r.step for r in rows[:6]] == [1, 2, 3, 4, 5, 6]
     assert rows[0].ds == dt.date(2025, 1, 31) and rows[0].label == "Period_1"
     assert all(r.yhat_lower <= r.yhat <= r.yhat_upper for r in rows)
-    assert rows[0].model == ("prophet" if model == "something else" else model)
+    assert rows[0].model == ("additive" if model in ("something else", "prophet") else model)
     if model == "ets":
         assert all(r.yhat_upper == pytest.approx(r.yhat * 1.1) and r.aic is not None for r in rows)
     if model == "arima":
@@ -139,3 +139,15 @@ def test_holidays_move_a_daily_forecast():
     future = [dt.date(2024, 7, 3), dt.date(2024, 7, 4)]
     yhat = fits.fit_additive(days, y, future, holidays=True)[0]
     assert yhat[1] - yhat[0] == pytest.approx(50, abs=5)
+
+
+@pytest.mark.parametrize("model", ["ets", "naive"])
+def test_gaps_are_filled_and_not_closed(spark, model):
+    wave = [(str(month_end(i)), 100 + 50 * math.sin(2 * math.pi * i / 12)) for i in range(48)]
+    whole = series(spark, wave)
+    for gaps in ({5, 18, 31}, {7, 8}):
+        holes = series(spark, [p for i, p in enumerate(wave) if i not in gaps])
+        got, want = ([r.yhat for r in fc.forecast(d, "M", 6, model).orderBy("step").collect()] for d in (holes, whole))
+        assert got == pytest.approx(want, rel=0.06)
+    last_gap = series(spark, [(d, None if i == 30 else y) for i, (d, y) in enumerate(wave)])
+    assert [r.step for r in fc.backtest(last_gap, "naive", 6).orderBy("step").collect()] == [1, 2, 3, 4, 5, 6]

@@ -55,6 +55,14 @@ def test_unknown_class_is_admitted(spark):
     assert decisions(limits.rate_limit(limited)) == {1: (True, 0, 0), 2: (True, 9, 300)}
 
 
+def test_classes_of_a_client_are_counted_apart(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, "k", start + dt.timedelta(seconds=i), "auth" if i % 2 else "api") for i in range(30)]
+    df = limits.with_limits(spark.createDataFrame(rows, "event_id long, client_key string, ts timestamp_ntz, limit_class string"))
+    denied = [r.event_id for r in limits.rate_limit(df).where("not admitted").collect()]
+    assert sorted(denied) == [21, 23, 25, 27, 29]
+
+
 def test_usage(requests):
     rows, df = requests
     got = {r.event_id: r.usage for r in limits.usage(df, 120, stretch=2).collect()}

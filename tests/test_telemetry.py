@@ -65,4 +65,4 @@ def test_report_rows_are_cut_and_counted(spark):
 def test_reports_are_written_per_report(spark, tmp_path):
     tables = {"rows": spark.createDataFrame([("a", 1), ("b", 2)], ["report_id", "v"])}
     reports.write_reports(tables, str(tmp_path))
-    assert (tmp_path / "rows" / "report_id=a").is_dir() and spark.read.parquet(str(tmp_path / "rows")).count() == 2
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == [("a", 1), ("b", 2)]
