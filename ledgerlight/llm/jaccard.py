@@ -8,9 +8,10 @@ linked, with nothing left to check.
 *Heavy sets* are cut into hash parts, one more than two linked sets can differ in, so some part is the same in both.
 An inverted list holds the sets with one and the same part: unlike the list of a single shingle, it holds hardly
 anything but near copies, even where a passage stands in a third of all documents. A list is scanned from its least
-member; its pairs are checked on the texts. Lists whose members are not one group by then are scanned from ever more
-members, four times as many each round, but only for pairs of different groups: every pair that could join two groups
-is checked, and a list of n near copies costs about n checks.
+member, whose pairs are checked on the texts. Where members are still in several groups, all pairs of different groups
+are compared by sketches, bits that differ in no more places than the sets do in elements: first as many pairs are
+checked on the texts as would join the groups, then those that remain between groups. Every pair that could join two
+groups is checked, and a list of n near copies costs about n checks.
 
 The size where heavy begins is the one with the least cost over the sizes found: subsets listed by light sets, list
 entries and checks of heavy ones.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlight.llm.batches import Texts, binary_text, gram_hashes, mix, slices, within, word_hashes
+from ledgerlight.llm.batches import Texts, binary_text, distinct, gram_hashes, mix, slices, within, word_hashes
 from ledgerlight.llm.components import connected
 from ledgerlight.session import cut_lineage
 
@@ -40,6 +41,8 @@ from ledgerlight.session import cut_lineage
 LIGHT_END = 64
 #: Cost of a list entry, with its share of checks, against a listed subset.
 ENTRY_COST = 3
+#: Members of a list that meet as many others in one task.
+LIST_BLOCK = 1024
 
 
 class Rule(NamedTuple):
@@ -95,7 +98,7 @@ def shingle_sets(texts: Texts, width: int) -> list[np.ndarray]:
     out = []
     for i in range(len(texts)):
         if ends[i + 1] > ends[i]:
-            out.append(np.unique(grams[ends[i]:ends[i + 1]]))
+            out.append(distinct(grams[ends[i]:ends[i + 1]]))
         else:
             own = hashes[found.before[i]:found.before[i + 1]]
             out.append(gram_hashes(own, len(own)) if len(own) else own)
@@ -204,18 +207,78 @@ def entries(docs: DataFrame, rule: Rule, steps: list[Level], heavy: int) -> Data
     return binary_text(docs.select("text")).mapInArrow(work, "key long, kind int, node long, n long")
 
 
-def checked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs of nodes whose texts' sets do link."""
+def sketch(elements: np.ndarray, level: int, bits: int) -> bytes:
+    """Parities of the numbers of elements in ``bits`` cells. Each element that is in one of two sets only changes one."""
+    cell = (mix(elements ^ np.uint64(0x5851F42D4C957F2D + level)) % np.uint64(bits)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def sketch_bits(step: Level) -> int:
+    """So many cells that few differences fall on one another."""
+    return 1 << max(6, (16 * step.parts - 1).bit_length())
+
+
+def node_texts(nodes: DataFrame, reps: DataFrame, docs: DataFrame, rule: Rule, steps: list[Level]) -> DataFrame:
+    """Per node ``n``, ``level``, its sketches for its own level and the next, and ``body``, a text it stands for."""
     texts = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("mark"),
-                        F.col("text").cast("binary").alias("body"))
+                        F.col("text").cast("binary").alias("text"))
+    named = nodes.join(reps.select("node", "rep"), "node").join(
+        texts, (F.col("mark") == F.col("rep.finger")) & F.col("id").eqNullSafe(F.col("rep.doc_id")))
+    lows = np.array([x.low for x in steps])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in slices(batches):
+            sizes, at, own, above = [], [], [], []
+            for shingles in shingle_sets(texts, rule.width):
+                level = int(np.searchsorted(lows, len(shingles), "right")) - 1
+                sizes.append(len(shingles))
+                at.append(level)
+                own.append(sketch(shingles, level, sketch_bits(steps[level])))
+                above.append(sketch(shingles, level + 1, sketch_bits(steps[level + 1])))
+            yield pa.record_batch([texts.rows.column(0), pa.array(sizes, pa.int64()), pa.array(at, pa.int64()),
+                                   pa.array(own, pa.binary()), pa.array(above, pa.binary()), texts.rows.column(1)],
+                                  names=["node", "n", "level", "own", "above", "body"])
+
+    found = named.select("node", "text").mapInArrow(work, "node long, n long, level long, own binary, above binary, body binary")
+    return found.dropDuplicates(["node"])
+
+
+def _cells(own: pa.Array, above: pa.Array, level: np.ndarray, at: int) -> np.ndarray:
+    """Sketches for level ``at`` as rows of 64-bit words."""
+    rows = [(a if x == at else b).as_py() for a, b, x in zip(own, above, level.tolist(), strict=True)]
+    return np.frombuffer(b"".join(rows), dtype=np.uint64).reshape(len(rows), -1)
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs whose sketches differ in no more cells than two linked sets may differ in elements."""
     named = pairs
     for side in ("a", "b"):
-        own = reps.select(F.col("node").alias(side), F.col("rep").alias(f"rep_{side}"))
-        named = named.join(own, side)
+        named = named.join(nodes.select(F.col("node").alias(side), F.struct("n", "level", "own", "above").alias(f"of_{side}")), side)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (na, la, oa, ua), (nb, lb, ob, ub) = (
+                [batch.column(f"of_{s}").field(f) for f in ("n", "level", "own", "above")] for s in ("a", "b"))
+            la, lb = la.to_numpy(), lb.to_numpy()
+            keep, level = np.zeros(batch.num_rows, dtype=bool), np.maximum(la, lb)
+            for at in np.unique(level):
+                rows = np.flatnonzero((level == at) & (np.abs(la - lb) < 2))
+                if len(rows):
+                    take = pa.array(rows)
+                    x, y = (_cells(o.take(take), u.take(take), own[rows], at) for o, u, own in ((oa, ua, la), (ob, ub, lb)))
+                    apart = np.bitwise_count(x ^ y).sum(axis=1)
+                    most = (na.to_numpy()[rows] + nb.to_numpy()[rows]) * (rule.den - rule.num) // (rule.den + rule.num)
+                    keep[rows] = apart <= most
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return named.select("a", "b", "of_a", "of_b").mapInArrow(work, "a long, b long")
+
+
+def checked(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs of nodes whose texts' sets do link."""
+    named = pairs
     for side in ("a", "b"):
-        own = texts.select("id", "mark", F.col("body").alias(f"text_{side}"))
-        named = named.join(own, (F.col("mark") == F.col(f"rep_{side}.finger"))
-                           & F.col("id").eqNullSafe(F.col(f"rep_{side}.doc_id"))).drop("id", "mark", f"rep_{side}")
+        named = named.join(nodes.select(F.col("node").alias(side), F.col("body").alias(f"text_{side}")), side)
 
     def sets(rows: pa.RecordBatch, column: str) -> list[np.ndarray]:
         return [s for texts in slices(iter([rows]), column) for s in shingle_sets(texts, rule.width)]
@@ -226,41 +289,89 @@ def checked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, rule: Rule) -> D
                 rows = batch.slice(at, 128)
                 keep = []
                 for x, y in zip(sets(rows, "text_a"), sets(rows, "text_b"), strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    both = len(x) + len(y) - len(distinct(np.concatenate((x, y))))
                     keep.append(rule.den * both >= rule.num * (len(x) + len(y) - both))
                 yield rows.select(["a", "b"]).filter(pa.array(keep))
 
-    # Rows of one pair only: a pair found again by another repeated document is the same pair.
-    return named.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long").distinct()
+    return named.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
 
 
 def _pairs(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def scan_lists(lists: DataFrame, links: DataFrame, check) -> DataFrame:
-    """All links between nodes of different groups: rounds over lists that still span several groups."""
-    counts = lists.groupBy("key").agg(F.count("*").alias("members"))
-    ranked = lists.join(counts, "key").withColumn(
-        "place", F.shiftrightunsigned(F.xxhash64("key", "node"), 11) / F.lit(float(1 << 53)) * F.col("members"))
-    ranked = cut_lineage(ranked)
-    done, pivots = 0.0, 4.0
-    groups = connected(links)
-    while True:
-        named = ranked.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        spread = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"),
-                                          F.max("members").alias("m"))
-        open_ = spread.filter((F.col("low") < F.col("high")) & (F.col("m") > done)).select("key")
-        rest = cut_lineage(named.join(open_, "key").filter(F.col("place") >= done))
-        first = rest.filter(F.col("place") < pivots).select("key", F.col("node").alias("p"), F.col("root").alias("p_root"))
-        pairs = rest.join(first, "key").filter("root != p_root").select(*_pairs("node", "p")).distinct()
-        found = cut_lineage(check(cut_lineage(pairs)))
-        if not rest.isEmpty() and not found.isEmpty():
-            links = cut_lineage(links.unionAll(found))
-            groups = connected(links)
-        if rest.isEmpty() or rest.agg(F.max("members")).first()[0] <= pivots:
-            return groups
-        done, pivots = pivots, pivots * 4
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs, in order, join two groups not joined by pairs before."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    keep = np.zeros(len(a), dtype=bool)
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            keep[i] = True
+    return keep
+
+
+def across_groups(lists: DataFrame, groups: DataFrame, nodes: DataFrame, rule: Rule, forest: bool) -> DataFrame:
+    """Pairs of a list that are in different groups and whose sketches may link; with ``forest``, only as many as it
+    takes to join what such pairs join.
+
+    Lists are cut into blocks and blocks met two by two, so a task holds two blocks; pairs are compared there as bits.
+    """
+    named = lists.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter(
+        "low < high").select("key", F.ceil(F.col("size") / LIST_BLOCK).alias("blocks"))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    met = named.join(open_, "key").withColumn("mine", mine).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"),
+                     (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"),
+                     "node", "root").join(nodes.select("node", "n", "level", "own", "above"), "node")
+    met = met.repartition("cell").sortWithinPartitions("cell", "node")
+
+    def compare(rows: pa.RecordBatch) -> pa.RecordBatch:
+        node, root, n, level = (rows.column(c).to_numpy() for c in ("node", "root", "n", "level"))
+        left, right = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
+        found = []
+        for at in range(int(level.min()), int(level.max()) + 1):
+            who = np.flatnonzero((level == at) | (level == at - 1))
+            if len(who) < 2:
+                continue
+            take = pa.array(who)
+            cells = _cells(rows.column("own").take(take), rows.column("above").take(take), level[who], at)
+            for i in range(len(who)):
+                x, ys = who[i], who[i + 1:]
+                fits = (root[ys] != root[x]) & ((left[x] & right[ys]) | (right[x] & left[ys]))
+                ys, other = ys[fits], cells[i + 1:][fits]
+                if len(ys):
+                    apart = np.bitwise_count(other ^ cells[i]).sum(axis=1)
+                    ys = ys[apart <= (n[ys] + n[x]) * (rule.den - rule.num) // (rule.den + rule.num)]
+                    found.append(np.stack((np.minimum(node[ys], node[x]), np.maximum(node[ys], node[x]),
+                                           np.minimum(root[ys], root[x]), np.maximum(root[ys], root[x]))))
+        a, b, ra, rb = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+        keep = _forest(ra, rb) if forest else np.ones(len(a), dtype=bool)
+        return pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            rows = table.to_batches()[0] if table.num_rows else batch
+            cell = rows.column("cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist()]
+            for first, last in zip(cuts, cuts[1:]):
+                yield compare(rows.slice(first, last - first))
+            held = rows.slice(cuts[-1])
+        if held is not None and held.num_rows:
+            yield compare(held)
+
+    return met.mapInArrow(work, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -272,20 +383,22 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     histogram = {r["n"]: r["count"] for r in sets.filter(F.col("n") < LIGHT_END).groupBy("n").count().collect()}
     steps = levels(rule, sets.agg(F.max("n")).first()[0] or 1)
     heavy = heavy_from(rule, histogram, steps)
+    # One exchange serves both uses, which therefore read the same columns.
     entered = entries(docs, rule, steps, heavy).repartition("key")
     shared = entered.groupBy("key").agg(
         F.min("node").alias("pivot"), F.max("node").alias("last"), F.min("n").alias("low"), F.max("n").alias("high"),
         F.max("kind").alias("of")).filter((F.col("pivot") < F.col("last")) & ((F.col("of") < 2) | (F.col("low") < F.col("high"))))
-    met = cut_lineage(entered.join(shared.select("key", "pivot"), "key").select("key", "kind", "node", "pivot").distinct())
+    met = cut_lineage(entered.join(shared.select("key", "pivot"), "key").select("key", "kind", "node", "n", "pivot").distinct())
     sure = met.filter("kind > 0 AND node != pivot").select(*_pairs("node", "pivot")).distinct()
     lists = met.filter("kind = 0").select("key", "node")
+    nodes = cut_lineage(node_texts(lists.select("node").distinct(), reps, docs, rule, steps))
     pairs = met.filter("kind = 0 AND node != pivot").select(*_pairs("node", "pivot")).distinct()
-
-    def check(found: DataFrame) -> DataFrame:
-        return checked(found, reps, docs, rule)
-
-    links = cut_lineage(sure.unionAll(check(cut_lineage(pairs))).distinct())
-    groups = scan_lists(lists, links, check)
+    links = cut_lineage(sure.unionAll(checked(plausible(pairs, nodes, rule), nodes, rule)).distinct())
+    groups = connected(links)
+    for forest in (True, False):
+        found = cut_lineage(across_groups(lists, groups, nodes, rule, forest))
+        links = cut_lineage(links.unionAll(checked(found, nodes, rule)))
+        groups = connected(links)
     owners = reps.join(groups, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     lowest = owners.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut_lineage(owners.join(lowest, "root").select("node", "component_id"))
