@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20  # text worked on at once in a task; a longer text is a slice of its own
+SLICE_BYTES = 1 << 19  # text worked on at once in a task; a longer text is a slice of its own
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[int, np.ndarray] = {}

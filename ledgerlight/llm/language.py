@@ -28,6 +28,8 @@ WIDTH = 16
 TRAIN_DOCS = 2_000
 HELD_BACK = 5  # one in so many of them only calibrates
 EPOCHS, BATCH, RATE = 12, 32, 0.5
+#: Small samples are gone through more often, until so many steps are made.
+LEAST_STEPS = 800
 #: Share of rightly named calibration texts that the rejection bound may reject.
 WRONGLY_REJECTED = 0.01
 UNKNOWN = "und"
@@ -118,9 +120,11 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS, seed: int = 11) -> Model:
     scale = 1 / (vectors[learn].std(axis=0) + 1e-4)
     embed = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     weight, bias = rng.normal(0, 0.1, (WIDTH, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
-    steps, step = EPOCHS * -(-len(learn) // BATCH), 0
-    for _ in range(EPOCHS):
-        for part in np.array_split(rng.permutation(learn), -(-len(learn) // BATCH)):
+    parts = -(-len(learn) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // parts))
+    steps, step = epochs * parts, 0
+    for _ in range(epochs):
+        for part in np.array_split(rng.permutation(learn), parts):
             x = vectors[part] * scale * (1 / np.sqrt(BUCKETS))
             hidden = x @ embed
             scores = hidden @ weight + bias

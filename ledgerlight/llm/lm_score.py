@@ -148,7 +148,7 @@ def _log_scores(row: dict, answers: list, total: int, order: int, min_count: int
         out = np.where(seen, np.log(np.maximum(by_end[n - 1], 1) / np.maximum(context, 1)),
                        out + np.where(place >= n - 1, math.log(BACKOFF), 0.0))
         known[seen] = n - 1
-    return words, np.bincount(owner, weights=out, minlength=len(words))
+    return words, np.bincount(owner, weights=out, minlength=len(words)).astype(np.float64)
 
 
 def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, block_bytes: int = BLOCK_BYTES,

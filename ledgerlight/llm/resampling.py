@@ -148,6 +148,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, grams: tuple[tuple[str, int], ...
         for texts in slices(batches):
             owner, first, second = distinct_buckets(texts, len(model.value) // 2, grams)
             sums = np.bincount(owner, weights=np.maximum(model.value[first], model.value[second]), minlength=len(texts))
+            sums = sums.astype(np.float64)  # numpy counts in whole numbers where there is nothing to count
             yield pa.record_batch([texts.rows.column(0), texts.rows.column(2), pa.array(sums)],
                                   names=["doc_id", "finger", "log_weight"])
 
