@@ -5,7 +5,7 @@ or more, else ``BACKOFF`` times that after a context one word shorter, down to c
 score is the mean logarithm over its words.
 
 Counting is a join by hash. Documents go together in blocks; each block lists its distinct n-grams once, by hash, with
-their number in the block, and remembers which of them stands at each place. The lists meet in partitions of the hash
+their number in the block, and keeps the words of its places, by number. The lists meet in partitions of the hash
 range, where they make up the count table; each list gets its counts back, and each block sums its documents. No key is
 hot, as the commonest word is one entry per block, and neither lists nor tables leave their partitions.
 
@@ -36,7 +36,7 @@ BLOCK_BYTES = 8 << 20
 #: Text whose n-grams meet in one partition of the hash range.
 RANGE_BYTES = 8 << 20
 #: Two n-grams of a corpus share a hash with a chance of 1 in 2 ** SPARE_BITS at most.
-SPARE_BITS = 24
+SPARE_BITS = 20
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
@@ -63,39 +63,49 @@ def unpack_counts(body: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(body[0], -1).T).view(kind).ravel().astype(np.int64)
 
 
+def gram_keys(words: np.ndarray, counts: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
+    """Keys of the n-grams that lie within documents, for n from 1 up, from the keys of the words."""
+    place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+    out = [words]
+    for n in range(2, order + 1):
+        own = gram_hashes(words, n) >> np.uint64(64 - bits)
+        out.append(own[place[n - 1:] >= n - 1])
+    return out
+
+
+def listed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, how often each stands there, and which of them each key is."""
+    turn = np.argsort(keys)
+    first = np.concatenate(([True], np.diff(keys[turn]) != 0)) if len(keys) else np.zeros(0, bool)
+    starts = np.flatnonzero(first)
+    index = np.empty(len(keys), dtype=np.int64)
+    index[turn] = np.cumsum(first) - 1
+    return keys[turn][starts], np.diff(starts, append=len(keys)), index
+
+
 def blocks(docs: DataFrame, order: int, ranges: int, bits: int, block_bytes: int) -> DataFrame:
-    """One row per block: its documents, the n-gram at each place, and its list of n-grams, cut by hash range."""
+    """One row per block: its documents, their words, commonest first, and its list of n-grams, cut by hash range."""
     rows = docs.select("doc_id", "text")
 
     def block(held: list[tuple[pa.Array, np.ndarray, np.ndarray]], name: str) -> pa.RecordBatch:
         ids = pa.concat_arrays([ids for ids, _, _ in held])
         counts = np.concatenate([counts for _, counts, _ in held])
         hashes = np.concatenate([hashes for _, _, hashes in held])
-        # n-grams that reach over the end of a document are left out of the list.
-        place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
-        grams, sizes = [], []
-        for n in range(1, order + 1):
-            whole = place[n - 1:] >= n - 1
-            own = gram_hashes(hashes, n)[whole[:max(len(hashes) - n + 1, 0)]]
-            grams.append(own >> np.uint64(64 - bits))
-            sizes.append(len(own))
-        keys = np.concatenate(grams)
-        turn = np.argsort(keys)
-        first = np.concatenate(([True], np.diff(keys[turn]) != 0)) if len(keys) else np.zeros(0, bool)
-        starts = np.flatnonzero(first)
-        listed, times = keys[turn][starts], np.diff(starts, append=len(keys))
-        index = np.empty(len(keys), dtype=np.int64)
-        index[turn] = np.cumsum(first) - 1
+        words = gram_hashes(hashes, 1) >> np.uint64(64 - bits)
+        vocabulary, times, index = listed(words)
+        common = np.argsort(-times, kind="stable")
+        number = np.empty(len(common), dtype=np.int64)
+        number[common] = np.arange(len(common))
+        keys, times, _ = listed(np.concatenate(gram_keys(words, counts, order, bits)))
         width = (1 << bits) // ranges + 1
-        cuts = np.searchsorted(listed, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(width))
-        lists = [{"part": k, "keys": pack_sorted(listed[a:b]), "times": pack_counts(times[a:b])}
+        cuts = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(width))
+        lists = [{"part": k, "keys": pack_sorted(keys[a:b]), "times": pack_counts(times[a:b])}
                  for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-        ends = np.cumsum([0, *sizes])
         return pa.record_batch(
             [pa.array([name]), pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([pack_counts(counts)], pa.binary()),
-             pa.array([[pack_counts(index[a:b]) for a, b in zip(ends[:-1], ends[1:])]], pa.list_(pa.binary())),
+             pa.array([pack_counts(vocabulary[common].astype(np.int64))], pa.binary()), pa.array([pack_counts(number[index])], pa.binary()),
              pa.array([lists], pa.list_(pa.struct([("part", pa.int64()), ("keys", pa.binary()), ("times", pa.binary())])))],
-            names=["block", "ids", "words", "index", "lists"])
+            names=["block", "ids", "words", "vocabulary", "places", "lists"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, made = [], 0, 0
@@ -110,7 +120,7 @@ def blocks(docs: DataFrame, order: int, ranges: int, bits: int, block_bytes: int
             yield block(held, f"{TaskContext.get().partitionId()}-{made}")
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return binary_text(rows).mapInArrow(work, f"block string, ids array<{kind}>, words binary, index array<binary>, "
+    return binary_text(rows).mapInArrow(work, f"block string, ids array<{kind}>, words binary, vocabulary binary, places binary, "
                                               "lists array<struct<part: bigint, keys: binary, times: binary>>")
 
 
@@ -127,17 +137,20 @@ def answer_lists(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": group["block"], "part": group["part"], "counts": [pack_counts(c) for c in np.split(counts, cuts)]})
 
 
-def _log_scores(row: dict, answers: list, total: int, order: int, min_count: int) -> tuple[np.ndarray, np.ndarray]:
+def _log_scores(row: dict, answers: list, total: int, order: int, min_count: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Words and summed log probability of each document of a block."""
     words = unpack_counts(row["words"])
     counts = [unpack_counts(a["counts"]) for a in sorted(answers, key=lambda a: a["part"])]
     counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(words)), words)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(words) - words, words)
-    by_end = []  # counts of the n-gram that ends at each word
-    for n, body in enumerate(row["index"], 1):
+    grams = gram_keys(unpack_counts(row["vocabulary"]).astype(np.uint64)[unpack_counts(row["places"])], words, order, bits)
+    counts = counts[listed(np.concatenate(grams))[2]]
+    by_end, done = [], 0  # counts of the n-gram that ends at each word
+    for n, keys in enumerate(grams, 1):
         own = np.zeros(len(owner), dtype=np.int64)
-        own[place >= n - 1] = counts[unpack_counts(body)]
+        own[place >= n - 1] = counts[done:done + len(keys)]
+        done += len(keys)
         by_end.append(own)
     out = np.log(by_end[0] / total)
     known = np.zeros(len(owner), dtype=np.int64)  # words of context that the estimate uses
@@ -156,7 +169,8 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, block
     """Per document ``doc_id``, ``n_words``, ``log_sum`` and ``score`` under the counts of all documents."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-size // range_bytes))
-    bits = min(63, max(32, math.ceil(math.log2(max(2, size * order))) + SPARE_BITS))
+    # A word and the blank after it take two bytes or more.
+    bits = min(62, max(32, math.ceil(math.log2(max(2, size * order // 2))) + SPARE_BITS))
     made = cut_lineage(blocks(docs, order, ranges, bits, block_bytes))
     lists = made.select("block", F.explode("lists").alias("l")).select("block", "l.*")
     answers = lists.groupBy("part").applyInPandas(answer_lists, "block string, part long, counts binary")
@@ -164,15 +178,15 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, block
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias("answers"))
     count = F.udf(lambda body: int(unpack_counts(body).sum()), "long")
     total = made.agg(F.sum(count("words"))).first()[0] or 0
-    joined = made.select("block", "ids", "words", "index").join(answers, "block", "left")
+    joined = made.select("block", "ids", "words", "vocabulary", "places").join(answers, "block", "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                row = {c: one.column(c)[0].as_py() for c in ("words", "index", "answers")}
-                words, sums = _log_scores(row, row["answers"] or [], total, order, min_count)
+                row = {c: one.column(c)[0].as_py() for c in ("words", "vocabulary", "places", "answers")}
+                words, sums = _log_scores(row, row["answers"] or [], total, order, min_count, bits)
                 empty = words == 0
                 yield pa.record_batch([
                     one.column("ids").flatten(), pa.array(words), pa.array(sums, mask=empty),
