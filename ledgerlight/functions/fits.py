@@ -18,40 +18,6 @@ FOURIER_ORDER = 10
 YEAR_DAYS = 365.25
 
 
-def fit_ets(y: np.ndarray, periods: int, season: int = SEASON) -> tuple[np.ndarray, float]:
-    """Additive trend and season; forecasts and AIC. Trend only when two seasons are not there.
-
-    All smoothing settings of a grid are run at once, one array element each.
-    """
-    y = np.asarray(y, dtype=float)
-    seasonal = len(y) >= 2 * season
-    rates = np.array([0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.99])
-    slow = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.4, 0.8])
-    a, b, g = (p.ravel() for p in np.meshgrid(rates, slow, slow if seasonal else np.zeros(1), indexing="ij"))
-    m = season if seasonal else 1
-    first = y[:m].mean()
-    trend0 = (y[m:2 * m].mean() - first) / m if len(y) >= 2 * m else 0.0
-    level, trend = np.full_like(a, first - (trend0 * (m + 1) / 2 if seasonal else trend0)), np.full_like(a, trend0)
-    pattern = np.zeros((m, len(a)))
-    if seasonal:
-        whole = len(y) // m * m
-        cycles = y[:whole].reshape(-1, m)
-        pattern += (cycles - cycles.mean(axis=1, keepdims=True)).mean(axis=0)[:, None]
-    sse = np.zeros_like(a)
-    for t, value in enumerate(y):
-        error = value - (level + trend + pattern[t % m])
-        sse += error * error
-        level += trend + a * error
-        trend += a * b * error
-        pattern[t % m] += g * (1 - a) * error
-    best = int(np.argmin(sse))
-    ahead = np.arange(1, periods + 1)
-    cycle = pattern[(len(y) + ahead - 1) % m, best]
-    size = 5 + m if seasonal else 4
-    aic = len(y) * np.log(max(sse[best], 1e-12) / len(y)) + 2 * size
-    return level[best] + ahead * trend[best] + cycle, float(aic)
-
-
 def _lagged(x: np.ndarray, lags: int, start: int) -> np.ndarray:
     return np.column_stack([x[start - i - 1:len(x) - i - 1] for i in range(lags)]) if lags else np.empty((len(x) - start, 0))
 

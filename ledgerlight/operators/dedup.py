@@ -10,11 +10,8 @@ distance can still touch it. A bucket of m near copies thus costs m comparisons,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
-from math import ceil
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +19,6 @@ from ledgerlight.functions import text as tx
 from ledgerlight.session import cut_lineage
 
 THRESHOLD = 0.9
-# Words in more than one in this many word occurrences; there can be no more of them than this.
-FREQUENT_WORDS = 20_000
 SMALL_BUCKET = 64
 PIVOT_ROUNDS = 8
 _SLACK = 1e-9
@@ -41,25 +36,17 @@ def word_sets(df: DataFrame, id_: str, text: str) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(token, id, n): the words of each set that a similar set must share one of."""
-    counts = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    total = counts.agg(F.sum("c")).first()[0] or 0
-    # Counts add up to the total, so fewer than FREQUENT_WORDS words can pass this bar.
-    frequent = counts.where(F.col("c") > total / FREQUENT_WORDS).collect()
-    shared = sets.sparkSession.sparkContext.broadcast({r["w"]: r["c"] for r in frequent})
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = shared.value
-        for batch in batches:
-            tokens = []
-            for words in batch["words"]:
-                keep = len(words) - ceil(threshold * len(words) - _SLACK) + 1
-                tokens.append(sorted(words, key=lambda w: (often.get(w, 0), w))[:keep])
-            yield pd.DataFrame({"id": batch["id"], "n": batch["n"], "tokens": tokens})
-
-    kind = sets.schema["id"].dataType.simpleString()
-    cut_sets = sets.select("id", "n", "words").mapInPandas(cut, f"id {kind}, n int, tokens array<string>")
-    return cut_sets.select(F.explode("tokens").alias("token"), "id", "n")
+    """(token, id, n): the words of each set that a similar set must share one of, the rarest ones.
+
+    Every word has its own place in the order, by its count and then by itself; counts are joined
+    back to the words, and what is gathered per set is the set.
+    """
+    words = sets.select("id", "n", F.explode("words").alias("w"))
+    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    ordered = words.join(counts, "w").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("_o"))
+    keep = F.col("n") - F.ceil(threshold * F.col("n") - _SLACK) + 1
+    first = F.transform(F.slice("_o", F.lit(1), keep.cast("int")), lambda x: x["w"])
+    return ordered.select(F.explode(first).alias("token"), "id", "n")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, floor: float) -> DataFrame:
@@ -143,8 +130,18 @@ def connected_groups(edges: DataFrame) -> DataFrame:
 
 
 def near_copies(df: DataFrame, id_: str, text: str, threshold: float = THRESHOLD, **tuning: int) -> DataFrame:
-    """Edges between texts that are near copies but not the same word set: (a, b, similarity)."""
-    return similar_edges(_representatives(word_sets(df, id_, text)), threshold, **tuning)
+    """(id, group_id, similarity) of every row: the lowest id of its group, and how similar the two texts are.
+
+    One row per text however large a group is. Groups are joined by links of ``threshold`` or
+    more, so a text may be less similar to its group's lowest one. Null for texts without words.
+    """
+    groups = dedup_corpus(df, id_, text, threshold, **tuning).withColumnRenamed(id_, "id")
+    sets = word_sets(df, id_, text)
+    named = groups.join(sets.select("id", F.col("words").alias("_w")), "id", "left").join(
+        sets.select(F.col("id").alias("group_id"), F.col("words").alias("_g")), "group_id", "left")
+    shared = F.size(F.array_intersect("_w", "_g"))
+    similarity = F.when(F.col("_w").isNotNull(), _similar(shared, F.size("_w"), F.size("_g")))
+    return named.select(F.col("id").alias(id_), "group_id", similarity.alias("similarity"))
 
 
 def _representatives(sets: DataFrame) -> DataFrame:

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions import fits
 from ledgerlight.functions.formats import grouped
+from ledgerlight.operators import smoothing
 from ledgerlight.operators import timeseries as ts
 
 # Names a request may give, and the model each stands for; any other name takes the additive one.
 MODELS = {"additive": "additive", "prophet": "additive", "arima": "arima", "ets": "ets", "naive": "naive"}
 POINTS = ("series_id string, model string, step int, ds date, label string, yhat double, yhat_lower double, "
-          "yhat_upper double, aic double, bic double, p int, d int, q int")
+          "yhat_upper double, aic double, bic double, p int, d int, q int, status string")
 # The range a fit may leave a failed candidate with: it is never chosen.
 NO_FIT = float("inf")
 
@@ -29,24 +30,23 @@ def _one(model: str, dates: list, y: np.ndarray, future: list, order: tuple | No
     """Forecast of one series as columns."""
     periods = len(future)
     extra: dict = {}
-    if model == "ets":
-        yhat, aic = fits.fit_ets(y, periods)
-        ends = np.stack([yhat * 0.9, yhat * 1.1])
-        low, high, extra = ends.min(axis=0), ends.max(axis=0), {"aic": aic}
-    elif model == "arima":
-        fit = fits.fit_arima(y, order) if order else None
-        fit = fit or fits.fit_arima(y, fits.DEFAULT_ORDER) or fits.fit_arima(y, (0, 1, 0))
+    if model == "arima":
+        fit, extra = fits.fit_arima(y, order) if order else None, {"status": "fitted"}
+        for other in (fits.DEFAULT_ORDER, (0, 1, 0)):
+            if fit is None:
+                fit, extra = fits.fit_arima(y, other), {"status": f"order {other}: no fit of the one chosen"}
         if fit is None:
             yhat = low = high = np.full(periods, float(np.mean(y)))
+            extra = {"status": "mean of the values: no order fits"}
         else:
             yhat, low, high = fits.predict_arima(y, fit, periods, confidence)
-            extra = {"aic": fit["aic"], "bic": fit["bic"], **dict(zip("pdq", fit["order"]))}
+            extra |= {"aic": fit["aic"], "bic": fit["bic"], **dict(zip("pdq", fit["order"]))}
     elif model == "naive":
         back = min(fits.SEASON, len(y))
         yhat = low = high = np.array([y[len(y) - back + i % back] for i in range(periods)])
     else:
         yhat, low, high = fits.fit_additive(dates, y, future, confidence, holidays)
-    return {"yhat": yhat, "yhat_lower": low, "yhat_upper": high, **extra}
+    return {"status": "fitted", "yhat": yhat, "yhat_lower": low, "yhat_upper": high, **extra}
 
 
 def _points(confidence: float, holidays: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -113,8 +113,22 @@ def _fit(arrays: DataFrame, confidence: float, holidays: bool, order: tuple | No
     known = F.coalesce(F.try_element_at(models, F.col("model")), F.lit("additive"))
     # Fits take their time from the processor, not from bytes, so partitions follow the series.
     tasks = int(arrays.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (arrays.withColumn("model", known).select("series_id", "model", "ds", "y", "future", "order").repartition(tasks, "series_id")
-            .mapInPandas(_points(confidence, holidays), POINTS))
+    named = arrays.withColumn("model", known).select("series_id", "model", "ds", "y", "future", "order")
+    others = named.where("model != 'ets'").repartition(tasks, "series_id").mapInPandas(_points(confidence, holidays), POINTS)
+    return others.unionByName(_smoothed(named.where("model = 'ets'")))
+
+
+def _smoothed(arrays: DataFrame) -> DataFrame:
+    """Points of exponential smoothing, with bounds a tenth off."""
+    steps = smoothing.smooth(arrays).select("series_id", "model", "fit", "status", F.posexplode("future").alias("_pos", "ds"))
+    yhat = smoothing.ahead(F.col("fit"), F.col("_pos") + 1)
+    points = steps.select("*", yhat.alias("yhat"))
+    ends = [F.col("yhat") * 0.9, F.col("yhat") * 1.1]
+    none = F.lit(None)
+    return points.select(
+        "series_id", "model", (F.col("_pos") + 1).alias("step"), "ds", F.concat(F.lit("Period_"), (F.col("_pos") + 1).cast("string")).alias("label"),
+        "yhat", F.least(*ends).alias("yhat_lower"), F.greatest(*ends).alias("yhat_upper"), F.col("fit.aic").alias("aic"),
+        none.cast("double").alias("bic"), *[none.cast("int").alias(c) for c in "pdq"], "status")
 
 
 def forecast(df: DataFrame, freq: str, periods: int, model: str = "additive", confidence: float = 0.95,

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ledgerlight.operators import dedup
 from ledgerlight.operators import documents as docs
 from ledgerlight.plans.registry import query
+from ledgerlight.sources import sinks
+from ledgerlight.streaming.jobs import scratch
 
 # File name by language: two readable kinds, one table kind and one that is refused.
 EXTENSIONS = {"en": ".txt", "de": ".MD", "fr": ".pdf", "es": ".exe"}
@@ -71,6 +73,7 @@ def records(t):
     return out.select("document_id", "title", "content_hash", F.col("size_bytes").cast("bigint").alias("size_bytes"), "mime_type")
 
 
+LETTERS = "etaoinshr"
 FIXED_SQL = """
 WITH win AS (
   SELECT doc_id, source, text, unnest(range(CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 1000 THEN 1
@@ -91,6 +94,22 @@ def recursive(t):
     return docs.chunk_recursive(texts(t)).select("document_id", "chunk_index", "chunk_count", "content")
 
 
+@query("doc3_recursive_rules", r"""
+SELECT doc_id AS document_id, true AS within_size, true AS numbered, true AS from_text, true AS whole
+FROM documents WHERE regexp_matches(text, '\S')
+""")
+def recursive_rules(t):
+    """What holds for chunks however a text is cut: size, numbering, and that they are its passages from head to end."""
+    cut = docs.chunk_recursive(texts(t)).join(t.documents.select(F.col("doc_id").alias("document_id"), "text"), "document_id")
+    body, last = F.regexp_replace("text", r"^\s+|\s+$", ""), F.col("chunk_index") == F.col("chunk_count") - 1
+    return cut.groupBy("document_id").agg(
+        F.bool_and(F.char_length("content") <= docs.CHUNK_SIZE).alias("within_size"),
+        (F.count_distinct("chunk_index") == F.max("chunk_count")).alias("numbered"),
+        F.bool_and(F.contains("text", F.col("content"))).alias("from_text"),
+        (F.bool_and(F.when(F.col("chunk_index") == 0, F.startswith(body, F.col("content"))))
+         & F.bool_and(F.when(last, F.endswith(body, F.col("content"))))).alias("whole"))
+
+
 @query("doc4_chunk_metadata", FIXED_SQL + f"""
 SELECT document_id, chunk_index, CAST(COUNT(*) OVER (PARTITION BY document_id) AS INTEGER) AS chunk_count,
   'doc.v' || document_id AS document_title, 'in/doc.v' || document_id || {EXT_CASE} AS filename, 5 AS n_keys
@@ -125,7 +144,21 @@ def recursive_report(t):
     return docs.chunk_stats(docs.chunk_recursive(base), chars, "recursive")
 
 
-@query("doc6_embed_chunks")
+@query("doc6_embed_chunks", FIXED_SQL + """
+SELECT document_id, chunk_index, [""" + ", ".join(
+    f"CAST(length(content) - length(replace(content, '{c}', '')) AS DOUBLE)" for c in LETTERS) + """] AS embedding FROM chunks
+""")
+def embedded_by_provider(t):
+    """Vectors of a provider, here one that counts letters."""
+    def letters(text):
+        return F.array(*[(F.char_length(text) - F.char_length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
+
+    return docs.embed(docs.chunk_fixed(texts(t)), letters).select("document_id", "chunk_index", "embedding")
+
+
+@query("doc6_hashed_terms", FIXED_SQL + """
+SELECT document_id, chunk_index, 256 AS width, 1.0 AS length FROM chunks
+""")
 def embedded(t):
     vectors = docs.embed(docs.chunk_fixed(texts(t)))
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
@@ -140,12 +173,28 @@ def profile(t):
     return docs.check_dimension(t.embeddings, "all-MiniLM-L6-v2").drop("embedding", "label")
 
 
-@query("doc8_ingest")
+@query("doc8_ingest", FIXED_SQL + f"""
+SELECT document_id, CAST(COUNT(*) AS BIGINT) AS stored_chunks, MAX(CAST(length(content) AS INTEGER)) AS longest_chunk,
+  256 AS width, CAST(NULL AS VARCHAR) AS reason FROM chunks JOIN documents ON doc_id = document_id
+WHERE documents.lang IN ('en', 'de') AND doc_id % 10 <> 3 AND trim(documents.text, E' \\n\\t\\r') <> '' GROUP BY document_id
+UNION ALL
+SELECT doc_id, 0, NULL, NULL, CASE WHEN lang NOT IN ('en', 'de', 'fr') THEN 'unsupported file type: ' || lower({EXT_CASE})
+  WHEN lang = 'fr' THEN 'no extractor for .pdf' WHEN doc_id % 10 = 3 THEN 'not valid UTF-8' ELSE 'no text content' END
+FROM documents WHERE lang NOT IN ('en', 'de') OR doc_id % 10 = 3 OR trim(text, E' \\n\\t\\r') = ''
+""")
 def ingested(t):
-    chunks, _rejected = docs.ingest(files(t))
-    return chunks.groupBy("document_id", "title", "chunk_count").agg(
+    """Files to stored chunks, read back, and the files turned away; every tenth file is broken in its bytes."""
+    broken = files(t).withColumn("content", F.when(F.col("document_id") % 10 == 3, F.concat("content", F.unhex(F.lit("FF"))))
+                                 .otherwise(F.col("content")))
+    chunks, rejected = docs.ingest(broken, strategy="fixed")
+    path = scratch(t.spark, "chunks")
+    sinks.write_chunks(chunks.select("document_id", "chunk_id", "source", "content", "embedding"), path)
+    stored = t.spark.read.parquet(path).groupBy("document_id").agg(
         F.count(F.lit(1)).alias("stored_chunks"), F.max(F.char_length("content")).alias("longest_chunk"),
         F.min(F.size("embedding")).alias("width"))
+    none = F.lit(None).cast("int")
+    return stored.withColumn("reason", F.lit(None).cast("string")).unionByName(rejected.select(
+        "document_id", F.lit(0).cast("long").alias("stored_chunks"), none.alias("longest_chunk"), none.alias("width"), "reason"))
 
 
 @query("src12_drop_documents", FIXED_SQL + """
@@ -181,16 +230,24 @@ e AS (SELECT a, b FROM c WHERE k / (n2 - k) >= 0.9 - 1e-9)
 """
 
 
-@query("jn10_near_copies")
-def near(t):
-    return dedup.near_copies(t.documents, "doc_id", "text").withColumn("similarity", F.round("similarity", 6))
-
-
-@query("dd2_corpus_groups", "WITH RECURSIVE " + COPIES_SQL + r"""
+GROUPS_SQL = "WITH RECURSIVE " + COPIES_SQL + r"""
 , links AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT id AS root, id FROM s UNION SELECT r.root, b.b FROM reach r JOIN links b ON b.a = r.id),
 g AS (SELECT id, MIN(root) AS group_id FROM reach GROUP BY id),
 own AS (SELECT d.doc_id, g.group_id FROM w d JOIN s ON s.w = list_sort(d.w) JOIN g ON g.id = s.id WHERE len(d.w) > 0)
+"""
+
+
+@query("jn10_near_copies", GROUPS_SQL + """
+SELECT d.doc_id, coalesce(o.group_id, d.doc_id) AS group_id,
+  CASE WHEN len(d.w) > 0 THEN round(len(list_intersect(d.w, b.w)) / (len(d.w) + len(b.w) - len(list_intersect(d.w, b.w))), 6) END AS similarity
+FROM w d LEFT JOIN own o USING (doc_id) JOIN w b ON b.doc_id = coalesce(o.group_id, d.doc_id)
+""")
+def near(t):
+    return dedup.near_copies(t.documents, "doc_id", "text").withColumn("similarity", F.round("similarity", 6))
+
+
+@query("dd2_corpus_groups", GROUPS_SQL + """
 SELECT d.doc_id, coalesce(o.group_id, d.doc_id) AS group_id FROM documents d LEFT JOIN own o USING (doc_id)
 """)
 def copies(t):

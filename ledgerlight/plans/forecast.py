@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ledgerlight.operators import forecast as fc
+from ledgerlight.operators import smoothing
 from ledgerlight.operators import timeseries as ts
 from ledgerlight.plans.registry import query
 
@@ -149,9 +150,37 @@ def naive_backtest(t):
     return out.select("series_id", "step", "ds", F.round("actual", 2).alias("actual"), F.round("predicted", 2).alias("predicted"))
 
 
-@query("ts4_ets")
+def ets_sql(train: str, ahead: int) -> str:
+    """CTEs that fit ``train`` (key, y list of two seasons or more, n) and give ``points`` (key, step, yhat, sse, n)."""
+    rates, slow = (str(list(r)) for r in (smoothing.LEVEL_RATES, smoothing.SLOW_RATES))
+    return f"""
+train AS ({train}),
+shape AS (SELECT key, y, n, list_avg(y[1:12]) AS first, (list_avg(y[13:24]) - list_avg(y[1:12])) / 12 AS trend,
+  [list_avg([y[c * 12 + k] - list_avg(y[c * 12 + 1 : c * 12 + 12]) FOR c IN range(0, n // 12)]) FOR k IN range(1, 13)] AS pattern FROM train),
+grid AS (SELECT a, b, g, row_number() OVER (ORDER BY a, b, g) AS place
+  FROM (SELECT unnest({rates}) AS a), (SELECT unnest({slow}) AS b), (SELECT unnest({slow}) AS g)),
+fold AS (
+  SELECT key, place, a, b, g, CAST(0 AS BIGINT) AS i, CAST(first - trend * 13 / 2 AS DOUBLE) AS level, CAST(trend AS DOUBLE) AS trend, pattern, CAST(0 AS DOUBLE) AS sse
+  FROM shape, grid
+  UNION ALL
+  SELECT key, place, a, b, g, i + 1, level + trend + a * e, trend + a * b * e, list_append(pattern[2:12], pattern[1] + g * (1 - a) * e), sse + e * e
+  FROM (SELECT f.*, s.y[f.i + 1] - (f.level + f.trend + f.pattern[1]) AS e FROM fold f JOIN shape s ON s.key = f.key AND f.i < s.n)),
+best AS (SELECT f.* FROM fold f JOIN shape s ON s.key = f.key AND f.i = s.n QUALIFY row_number() OVER (PARTITION BY f.key ORDER BY sse, place) = 1),
+points AS (SELECT key, step, level + step * trend + pattern[(step - 1) % 12 + 1] AS yhat, sse, i AS n
+  FROM (SELECT *, unnest(range(1, {ahead + 1})) AS step FROM best))"""
+
+
+@query("ts4_ets", "WITH RECURSIVE " + MONTHLY_SQL + ", " + ets_sql(
+    "SELECT series_id AS key, list(y ORDER BY i) AS y, max(n) AS n FROM numbered GROUP BY series_id", 12) + """
+SELECT key AS series_id, CAST(step AS INTEGER) AS step, CAST(last_day(CAST(last_ds + to_months(CAST(step AS INTEGER)) AS DATE)) AS DATE) AS ds,
+  ROUND(yhat, 2) AS yhat, ROUND(least(yhat * 0.9, yhat * 1.1), 2) AS yhat_lower, ROUND(greatest(yhat * 0.9, yhat * 1.1), 2) AS yhat_upper,
+  ROUND(p.n * ln(sse / p.n) + 34, 4) AS aic, 'fitted' AS status
+FROM points p JOIN (SELECT series_id, max(ds) AS last_ds FROM numbered GROUP BY series_id) ON key = series_id
+""")
 def ets(t):
-    return fc.forecast_ets(monthly(t), "M", 12)
+    out = fc.forecast_ets(monthly(t), "M", 12)
+    return out.select("series_id", "step", "ds", *[F.round(c, 2).alias(c) for c in ("yhat", "yhat_lower", "yhat_upper")],
+                      F.round("aic", 4).alias("aic"), "status")
 
 
 @query("ts5_arima")
@@ -177,9 +206,15 @@ def dispatch(t):
     return fc.forecast(series, "M", 6, models=series.select("series_id").distinct().withColumn("model", model))
 
 
-@query("ts10_backtest")
+@query("ts10_backtest", "WITH RECURSIVE " + MONTHLY_SQL + ", " + ets_sql(
+    "SELECT series_id AS key, list(y ORDER BY i) AS y, max(n) - 6 AS n FROM numbered WHERE i <= n - 6 GROUP BY series_id", 6) + """
+SELECT series_id, ROUND(AVG(abs(m.y - yhat)), 2) AS mae, ROUND(sqrt(AVG((m.y - yhat) * (m.y - yhat))), 2) AS rmse,
+  ROUND(coalesce(AVG(CASE WHEN m.y <> 0 THEN abs((m.y - yhat) / m.y) END) * 100, 0), 4) AS mape
+FROM points p JOIN numbered m ON m.series_id = p.key AND m.i = p.n + step GROUP BY series_id
+""")
 def held_out(t):
-    return ts.forecast_errors(fc.backtest(monthly(t), "ets"))
+    out = ts.forecast_errors(fc.backtest(monthly(t), "ets"))
+    return out.select("series_id", F.round("mae", 2).alias("mae"), F.round("rmse", 2).alias("rmse"), F.round("mape", 4).alias("mape"))
 
 
 @query("ts12_rolling_backtest")
