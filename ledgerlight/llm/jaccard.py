@@ -174,7 +174,7 @@ def list_keys(elements: np.ndarray, level: int, step: Level) -> np.ndarray:
 
 
 def entries(docs: DataFrame, rule: Rule, steps: list[Level], heavy: int) -> DataFrame:
-    """``key``, ``kind`` (0 a list, else subsets), ``node`` and ``n``: what each set is entered under."""
+    """``key``, ``kind`` (0 a list, else subsets), ``node`` and ``n``, the set's size or the list's level."""
     largest = steps[heavy].low - 1
     lows = np.array([x.low for x in steps])
 
@@ -195,7 +195,7 @@ def entries(docs: DataFrame, rule: Rule, steps: list[Level], heavy: int) -> Data
                 node, at = _node(elements), int(np.searchsorted(lows, len(elements), "right")) - 1
                 for level in (at, at + 1):
                     if level >= heavy:
-                        add(list_keys(elements, level, steps[level]), 0, node, len(elements))
+                        add(list_keys(elements, level, steps[level]), 0, node, level)
                 if at < heavy:
                     for found, kind in subset_keys(elements, rule, largest):
                         add(found, kind, node, len(elements))
@@ -215,7 +215,7 @@ def sketch(elements: np.ndarray, level: int, bits: int) -> bytes:
 
 def sketch_bits(step: Level) -> int:
     """So many cells that few differences fall on one another."""
-    return 1 << max(6, (16 * step.parts - 1).bit_length())
+    return 1 << max(6, (8 * step.parts - 1).bit_length())
 
 
 def node_texts(nodes: DataFrame, reps: DataFrame, docs: DataFrame, rule: Rule, steps: list[Level]) -> DataFrame:
@@ -332,28 +332,24 @@ def across_groups(lists: DataFrame, groups: DataFrame, nodes: DataFrame, rule: R
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"),
                      (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"),
-                     "node", "root").join(nodes.select("node", "n", "level", "own", "above"), "node")
+                     "node", "root", "at").join(nodes.select("node", "n", "level", "own", "above"), "node")
+    met = met.select("cell", "left", "right", "node", "root", "n",
+                     F.when(F.col("at") == F.col("level"), F.col("own")).otherwise(F.col("above")).alias("bits"))
     met = met.repartition("cell").sortWithinPartitions("cell", "node")
 
     def compare(rows: pa.RecordBatch) -> pa.RecordBatch:
-        node, root, n, level = (rows.column(c).to_numpy() for c in ("node", "root", "n", "level"))
+        node, root, n = (rows.column(c).to_numpy() for c in ("node", "root", "n"))
         left, right = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
         found = []
-        for at in range(int(level.min()), int(level.max()) + 1):
-            who = np.flatnonzero((level == at) | (level == at - 1))
-            if len(who) < 2:
-                continue
-            take = pa.array(who)
-            cells = _cells(rows.column("own").take(take), rows.column("above").take(take), level[who], at)
-            for i in range(len(who)):
-                x, ys = who[i], who[i + 1:]
-                fits = (root[ys] != root[x]) & ((left[x] & right[ys]) | (right[x] & left[ys]))
-                ys, other = ys[fits], cells[i + 1:][fits]
-                if len(ys):
-                    apart = np.bitwise_count(other ^ cells[i]).sum(axis=1)
-                    ys = ys[apart <= (n[ys] + n[x]) * (rule.den - rule.num) // (rule.den + rule.num)]
-                    found.append(np.stack((np.minimum(node[ys], node[x]), np.maximum(node[ys], node[x]),
-                                           np.minimum(root[ys], root[x]), np.maximum(root[ys], root[x]))))
+        cells = np.frombuffer(b"".join(rows.column("bits").to_pylist()), dtype=np.uint64).reshape(len(node), -1)
+        for i in range(len(node) - 1):
+            ys = np.arange(i + 1, len(node))
+            ys = ys[(root[ys] != root[i]) & ((left[i] & right[ys]) | (right[i] & left[ys]))]
+            if len(ys):
+                apart = np.bitwise_count(cells[ys] ^ cells[i]).sum(axis=1)
+                ys = ys[apart <= (n[ys] + n[i]) * (rule.den - rule.num) // (rule.den + rule.num)]
+                found.append(np.stack((np.minimum(node[ys], node[i]), np.maximum(node[ys], node[i]),
+                                       np.minimum(root[ys], root[i]), np.maximum(root[ys], root[i]))))
         a, b, ra, rb = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
         keep = _forest(ra, rb) if forest else np.ones(len(a), dtype=bool)
         return pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
@@ -374,6 +370,13 @@ def across_groups(lists: DataFrame, groups: DataFrame, nodes: DataFrame, rule: R
     return met.mapInArrow(work, "a long, b long").distinct()
 
 
+def different(lists: DataFrame) -> DataFrame:
+    """One list of each set of members: near copies agree in most parts and so meet in many lists."""
+    hashes = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"x{seed}") for seed in (0, 1)]
+    members = lists.groupBy("key").agg(F.count("*").alias("size"), *hashes)
+    return lists.join(members.groupBy("size", "x0", "x1").agg(F.min("key").alias("key")).select("key"), "key")
+
+
 def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per document ``doc_id``, ``finger``, ``n_shingles`` and ``component_id``, the least id linked to it in any steps."""
     rule = Rule(width, num, den)
@@ -390,7 +393,7 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
         F.max("kind").alias("of")).filter((F.col("pivot") < F.col("last")) & ((F.col("of") < 2) | (F.col("low") < F.col("high"))))
     met = cut_lineage(entered.join(shared.select("key", "pivot"), "key").select("key", "kind", "node", "n", "pivot").distinct())
     sure = met.filter("kind > 0 AND node != pivot").select(*_pairs("node", "pivot")).distinct()
-    lists = met.filter("kind = 0").select("key", "node")
+    lists = cut_lineage(different(met.filter("kind = 0").select("key", "node", F.col("n").alias("at"))))
     nodes = cut_lineage(node_texts(lists.select("node").distinct(), reps, docs, rule, steps))
     pairs = met.filter("kind = 0 AND node != pivot").select(*_pairs("node", "pivot")).distinct()
     links = cut_lineage(sure.unionAll(checked(plausible(pairs, nodes, rule), nodes, rule)).distinct())
