@@ -122,7 +122,25 @@ def distinct(values: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of each span, from running sums: the length of a span does not matter."""
+    """Hash of the bytes of each span, from running sums: the length of a span does not matter.
+
+    Long data is gone through in parts, so that the sums take little memory.
+    """
+    if len(data) > 2 * SLICE_BYTES and len(starts):
+        out, order, done = np.empty(len(starts), dtype=np.uint64), np.argsort(starts, kind="stable"), 0
+        while done < len(order):
+            low = starts[order[done]]
+            upto = done + int(np.searchsorted(starts[order[done:]], low + SLICE_BYTES))
+            mine = order[done:upto]
+            high = ends[mine].max()
+            if high - low > 2 * SLICE_BYTES:  # a span as long as that is summed by itself
+                high, mine, upto = ends[order[done]], order[done:done + 1], done + 1
+            sums = np.zeros(high - low + 1, dtype=np.uint64)
+            np.cumsum(_BYTE_VALUES[data[low:high]] * powers(int(high - low))[:-1], out=sums[1:])
+            own = (sums[ends[mine] - low] - sums[starts[mine] - low]) * powers(int(high - low), _INVERSE)[starts[mine] - low]
+            out[mine] = mix(own + (ends[mine] - starts[mine]).astype(np.uint64) * np.uint64(_BASE))
+            done = upto
+        return out
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE_VALUES[data] * powers(len(data))[:-1], out=sums[1:])
     # A sum from `start` on carries base ** start; the inverse takes it off, so equal bytes hash alike anywhere.

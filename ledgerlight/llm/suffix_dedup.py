@@ -41,7 +41,7 @@ from ledgerlight.session import cut_lineage, ensure_checkpoint_dir
 
 SPAN, GRAM = 50, 20
 BLOCK_BYTES = 4 << 20
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 4 << 20
 #: An anchor in more documents than this sends its strings out one by one.
 HOT_DOCS = 5_000
 LAST = (1 << 63) - 1
@@ -164,7 +164,7 @@ class Block:
         if len(hot_first):
             count = hot_last - hot_first + 1
             single = np.arange(count.sum()) + np.repeat(hot_first - (np.cumsum(count) - count), count)
-            own = span_sums(self.data, SPAN)[single]
+            own = span_hashes(self.data, single, single + SPAN)
             keys = np.concatenate((keys, own | np.uint64(1 << 63)))
             part = np.concatenate((part, (mix(own) % np.uint64(ranges)).astype(np.int64)))
             first, last = np.concatenate((first, single)), np.concatenate((last, single))
