@@ -34,7 +34,7 @@ from ledgerlight.llm.lm_score import answer_lists, pack_counts, pack_sorted, unp
 from ledgerlight.session import cut_lineage
 
 K1, B = 1.2, 0.75
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 #: Packed queries in one pass over the index.
 GROUP_BYTES = 16 << 20
 RANGE_BYTES = 16 << 20
@@ -52,14 +52,17 @@ def index_shards(docs: DataFrame, ranges: int, shard_bytes: int) -> DataFrame:
         ids = pa.concat_arrays([h[0] for h in held])
         lengths = np.concatenate([h[1] for h in held])
         keys = np.concatenate([h[2] for h in held]) >> np.uint64(64 - KEY_BITS)
-        owner = np.repeat(np.arange(len(lengths)), lengths)
+        held.clear()
         turn = np.argsort(keys, kind="stable")  # by term, then document
-        term_new = np.concatenate(([True], np.diff(keys[turn]) != 0)) if len(keys) else np.zeros(0, bool)
-        pair_new = term_new | np.concatenate(([True], np.diff(owner[turn]) != 0)) if len(keys) else term_new
-        at = np.flatnonzero(pair_new)
-        tf = np.diff(at, append=len(keys))
-        term, doc = (np.cumsum(term_new) - 1)[at], owner[turn][at]
-        terms = keys[turn][term_new]
+        keys = keys[turn]
+        owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[turn]
+        del turn
+        term_new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+        pair_new = term_new | np.concatenate(([True], owner[1:] != owner[:-1])) if len(keys) else term_new
+        terms, at = keys[term_new], np.flatnonzero(pair_new)
+        tf = np.diff(at, append=len(keys)).astype(np.int32)
+        term, doc = (np.cumsum(term_new, dtype=np.int32) - 1)[at], owner[at]
+        del keys, owner, term_new, pair_new, at
         holders = np.bincount(term, minlength=len(terms))
         width = (1 << KEY_BITS) // ranges + 1
         cuts = np.searchsorted(terms, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(width))
@@ -82,7 +85,7 @@ def index_shards(docs: DataFrame, ranges: int, shard_bytes: int) -> DataFrame:
             size += len(texts.data) + 16 * len(texts)
             if size >= shard_bytes:
                 yield shard(held, f"{TaskContext.get().partitionId()}-{made}")
-                held, size, made = [], 0, made + 1
+                size, made = 0, made + 1
         if held:
             yield shard(held, f"{TaskContext.get().partitionId()}-{made}")
 
@@ -102,7 +105,7 @@ class Shard:
         self.by_doc = np.concatenate(([0], np.cumsum(sizes)))
         self.doc_terms = unpack_counts(row["terms"]).astype(np.int32)
         tf = unpack_counts(row["tf"]).astype(np.float64)
-        length = np.repeat(unpack_counts(row["lengths"]), sizes)
+        length = np.repeat(unpack_counts(row["lengths"]).astype(np.int32), sizes)
         self.doc_weights = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean_length, 1e-9)))
         turn = np.argsort(self.doc_terms, kind="stable")
         self.docs = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[turn]
