@@ -238,11 +238,10 @@ def packed_blocks(docs: DataFrame, mixed: Mix, block_words: int = BLOCK_WORDS) -
 
     A document is cut into the parts of its blocks where it stands; a block has a few parts at most.
     """
-    keyed = docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("finger")).dropDuplicates(
-        ["doc_id", "finger"])
-    rows = mixed.rows.filter(F.col("size") > 0).alias("r").join(
-        keyed.alias("d"), F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("r.finger") == F.col("d.finger"))).select(
-        "r.place", "r.source", "r.offset", "r.size", "d.text")
+    # One key that is never null, so that finding repeated rows and joining share one shuffle of the texts.
+    key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("key")
+    keyed = docs.select(key, "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("finger")).dropDuplicates(["key", "finger"])
+    rows = mixed.rows.filter(F.col("size") > 0).select(key, "finger", "place", "source", "offset", "size").join(keyed, ["key", "finger"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in slices(batches):
