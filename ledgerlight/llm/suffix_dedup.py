@@ -40,7 +40,7 @@ from ledgerlight.llm.lm_score import answer_lists, pack_counts, pack_sorted, unp
 from ledgerlight.session import cut_lineage, ensure_checkpoint_dir
 
 SPAN, GRAM = 50, 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 RANGE_BYTES = 4 << 20
 #: An anchor in more documents than this sends its strings out one by one.
 HOT_DOCS = 5_000
@@ -277,6 +277,7 @@ def _resolve(group: pd.DataFrame) -> pd.DataFrame:
                         + np.repeat(before[mine] - (np.cumsum(strings[mine]) - strings[mine]), strings[mine])]
         turns = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
         out.append((pack_counts(values[turns]), pack_counts(np.diff(turns, append=len(values)))))
+    pa.default_memory_pool().release_unused()
     return pd.DataFrame({"block": group["block"], "part": group["part"],
                          "firsts": [a for a, _ in out], "runs": [b for _, b in out]})
 
@@ -290,7 +291,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     ranges = max(1, -(-size // RANGE_BYTES))
     # Anchors that meet by chance only make work; one in a thousand does.
     bits = min(62, max(24, math.ceil(math.log2(max(2, size // 8))) + 10))
-    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (4 * BLOCK_BYTES)))
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (8 * BLOCK_BYTES)))
     made = bucketed(blocks(docs, ranges, bits), "block", buckets)
     lists = made.select("block", F.explode("lists").alias("l")).select("block", "l.*")
     answers = cut_lineage(lists.groupBy("part").applyInPandas(answer_lists, "block string, part long, counts binary"))
@@ -304,6 +305,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
                 row = batch.slice(i, 1).to_pylist()[0]
                 for found in Block(row, ranges, bits).contexts():
                     yield pa.RecordBatch.from_pylist([{"block": row["block"], **found}])
+                pa.default_memory_pool().release_unused()  # blocks are large, and workers live on
 
     contexts = known.mapInArrow(send, "block string, part long, keys binary, lengths binary, earliest binary, bytes binary")
     replies = contexts.groupBy("part").applyInPandas(_resolve, "block string, part long, firsts binary, runs binary")
@@ -328,6 +330,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
                     columns.append(pa.array(kept, pa.binary()))
                     names.append("kept")
                 yield pa.record_batch(columns, names=names)
+                pa.default_memory_pool().release_unused()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return known.join(replies, "block", "left").mapInArrow(
