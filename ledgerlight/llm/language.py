@@ -82,8 +82,11 @@ def held_out(doc_id: Column) -> Column:
 
 def _sample_vectors(docs: DataFrame, limit: int) -> tuple[np.ndarray, list[str]]:
     """Share of each bucket in the subwords of each sample text, and the texts' languages."""
-    sample = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()
-                         & F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(limit)
+    known = docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()
+                        & F.col("text").isNotNull()).withColumn("finger", F.xxhash64("text"))
+    # Ids are cut to the sample first, so that no task meets more texts than the sample has.
+    ids = known.select("doc_id", "finger").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "finger").limit(limit)
+    sample = known.join(F.broadcast(ids), ["doc_id", "finger"], "left_semi").dropDuplicates(["doc_id", "finger"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in slices(batches):
