@@ -40,8 +40,8 @@ from ledgerlight.llm.lm_score import answer_lists, pack_counts, pack_sorted, unp
 from ledgerlight.session import cut_lineage, ensure_checkpoint_dir
 
 SPAN, GRAM = 50, 20
-BLOCK_BYTES = 2 << 20
-RANGE_BYTES = 4 << 20
+BLOCK_BYTES = 4 << 20
+RANGE_BYTES = 2 << 20
 #: An anchor in more documents than this sends its strings out one by one.
 HOT_DOCS = 5_000
 LAST = (1 << 63) - 1
@@ -291,7 +291,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     ranges = max(1, -(-size // RANGE_BYTES))
     # Anchors that meet by chance only make work; one in a thousand does.
     bits = min(62, max(24, math.ceil(math.log2(max(2, size // 8))) + 10))
-    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (8 * BLOCK_BYTES)))
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (4 * BLOCK_BYTES)))
     made = bucketed(blocks(docs, ranges, bits), "block", buckets)
     lists = made.select("block", F.explode("lists").alias("l")).select("block", "l.*")
     answers = cut_lineage(lists.groupBy("part").applyInPandas(answer_lists, "block string, part long, counts binary"))
