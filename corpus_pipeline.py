@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.llm.decontamination import remove_leaks
 from ledgerlight.llm.jaccard import one_of_each
-from ledgerlight.llm.line_chunks import drop_repeated
+from ledgerlight.llm.line_chunks import drop_passages
 from ledgerlight.llm.mixing import mix_sources, packed_blocks
 from ledgerlight.llm.resampling import keep_like_target
 from ledgerlight.session import cut_lineage
@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines that stand earlier in the corpus go from the text."""
-    cleaned = drop_repeated(docs)
+    """Passages of two or more lines that stand earlier in the corpus go from the text."""
+    cleaned = drop_passages(docs)
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(
         F.col("row.n_chars"))}
     return cleaned.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])

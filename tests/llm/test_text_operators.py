@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
+import corpus_pipeline  # noqa: E402
 from fixtures import blank_words, corpus, documents, plain_words  # noqa: E402
 
 from ledgerlight.llm import decontamination, jaccard, line_chunks, suffix_dedup  # noqa: E402
@@ -91,6 +93,57 @@ def test_line_chunks_use_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def brute_passages(texts):
+    seen, out = {}, []
+    for i, text in enumerate(texts):
+        own = (text or "").split("\n")
+        gone = set()
+        for k in range(len(own) - 1):
+            doc, at = seen.setdefault((own[k], own[k + 1]), (i, k))
+            if doc != i or k > at + 1:
+                gone |= {k, k + 1}
+        out.append((None if text is None else "\n".join(x for k, x in enumerate(own) if k not in gone), len(gone)))
+    return out
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_passages_like_brute_force(spark, clash, monkeypatch):
+    if clash:  # a hash for each few windows: only bytes tell them apart, and a window may meet another's owner
+        monkeypatch.setattr(line_chunks.F, "xxhash64", (lambda real: lambda *c: F.pmod(real(*c), F.lit(40)) if len(c) == 2
+                                                        else real(*c))(line_chunks.F.xxhash64))
+    rng = np.random.default_rng(3)
+    lines = [f"line {i}" for i in range(30)]
+    texts = ["\n".join(lines[i] for i in rng.integers(0, 30, rng.integers(1, 60))) for _ in range(20)]
+    texts += [None, "", "\n", "\n\n\n", "one", "one", "a\nb\na\nb", "\n".join(["same line"] * 50), "\n".join(["same line"] * 50)]
+    got = {r["row"]["doc_id"]: r for r in line_chunks.drop_passages(documents(spark, texts)).collect()}
+    want = brute_passages(texts)
+    if clash:
+        assert all(got[i]["n_removed"] <= n for i, (_, n) in enumerate(want)) and any(r["n_removed"] for r in got.values())
+        return
+    for i, text in enumerate(texts):
+        assert (got[i]["text"], got[i]["n_removed"]) == want[i], i
+        assert got[i]["n_lines"] == (0 if text is None else text.count("\n") + 1)
+    assert line_chunks.drop_passages(documents(spark, [])).count() == 0
+
+
+def test_short_passages_go_whole_between_other_neighbours(spark):
+    passages = {n: [f"passage {n} line {k} of it" for k in range(n)] for n in range(2, 9)}
+    texts, ids = [], []
+    for doc in range(3):
+        for n, body in passages.items():
+            texts.append("\n".join([f"own {doc} {n} {k}" for k in range(3)] + body + [f"end {doc} {n} {k}" for k in range(doc)]))
+            ids.append(doc * 100 + n)
+    frame = line_chunks.drop_passages(documents(spark, texts, ids=ids))
+    got = {r["row"]["doc_id"]: r for r in frame.collect()}
+    for i, text in zip(ids, texts):
+        kept = text if i < 100 else "\n".join(x for x in text.split("\n") if not x.startswith("passage"))
+        assert (got[i]["text"], got[i]["n_removed"]) == (kept, 0 if i < 100 else i % 100), i
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    stage = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, documents(spark, texts, ids=ids), "").collect()}
+    assert stage == {i: r["text"] for i, r in got.items()}
+
+
 def test_suffix_order_like_sorting():
     rng = np.random.default_rng(5)
     for trial in range(150):
