@@ -30,8 +30,9 @@ from ledgerlight.session import cut_lineage
 #: word that meets a bad one in one table does not count.
 BUCKETS = 1 << 20
 #: Kinds of n-grams: words without case and punctuation, and words as they stand, alone, in
-#: pairs and as runs of one word.
-GRAMS = (("plain", 1), ("space", 1), ("space", 2), ("space", 3))
+#: pairs and as runs of one word. A run counts under each of these lengths that it has, so that the long runs of junk
+#: are weighed apart from a word that good text has three times.
+GRAMS = (("plain", 1), ("space", 1), ("space", 2), ("space", 3), ("space", 5), ("space", 10), ("space", 20))
 #: Good documents the target model is fitted on, the first by a hash of their id.
 TARGET_SAMPLE = 20_000
 SMOOTHING = 0.5
@@ -50,12 +51,14 @@ def distinct_buckets(texts: Texts, buckets: int, grams: tuple[tuple[str, int], .
     keys = []
     for kind in dict.fromkeys(kind for kind, _ in grams):
         found, hashes = word_hashes(texts, kind, lower=kind == "plain")
+        equal = np.concatenate(([0], np.cumsum(hashes[1:] == hashes[:-1])))  # words like the one before, up to each
         for n in (n for own, n in grams if own == kind):
             where, owner = within(found.before, n)
-            hashed = mix(gram_hashes(hashes, n)[where] + np.uint64(kind == "plain"))
             if n > 2:  # one word over and over is the same thing, whatever the word; other long n-grams are too rare
-                same = np.logical_and.reduce([hashes[where] == hashes[where + k] for k in range(1, n)])
-                hashed, owner = np.zeros(int(same.sum()), np.uint64), owner[same]
+                owner = owner[equal[where + n - 1] - equal[where] == n - 1]
+                hashed = np.repeat(mix(np.array([n], dtype=np.uint64)), len(owner))
+            else:
+                hashed = mix(gram_hashes(hashes, n)[where] + np.uint64(kind == "plain"))
             keys.append((owner.astype(np.uint64) << np.uint64(44)) | (hashed >> np.uint64(20)))
     keys = distinct(np.concatenate(keys))
     first, second = keys & np.uint64((1 << 22) - 1), (keys >> np.uint64(22)) & np.uint64((1 << 22) - 1)

@@ -200,6 +200,29 @@ def test_gumbel_keeps_good_texts(spark):
     assert resampling.resample(docs, labels, k=100).filter("kept").count() == 100
 
 
+def test_long_runs_of_a_word_go_and_triples_stay(spark):
+    rng = random.Random(11)
+    known = [f"word{i}" for i in range(300)]
+    texts, junk = [], set()
+    for i in range(1500):
+        own = [rng.choice(known) for _ in range(rng.randint(5, 80))]
+        if i % 10 == 0:
+            own[rng.randint(0, len(own)):0] = [f"junk{i}"] * rng.randint(12, 60)
+            junk.add(i)
+        elif rng.random() < 0.2:
+            own[rng.randint(0, len(own)):0] = ["very"] * 3
+        texts.append(" ".join(own))
+    # A run ends with its text: the last words of one text and the first of the next are no run.
+    texts += [w for i in range(20) for w in (f"end{i} more " + "same " * 6, "same " * 6 + f"more begin{i}")]
+    labels = spark.createDataFrame([(i, int(i not in junk), 0) for i in range(0, 1500, 2)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in resampling.resample(documents(spark, texts), labels).collect()}
+    assert not any(got[i] for i in junk) and all(got[i] for i in range(1500) if i not in junk)
+    runs = [("space", 10)]
+    frame = documents(spark, texts[1500:])
+    counts, _, _ = resampling.count_models(frame, labels.limit(0), 1 << 12, tuple(runs))
+    assert not counts.any()
+
+
 def test_kth_largest(spark):
     values = [1.0, 5.0, 5.0, -2.0, 7.5, 7.5, 7.5, 0.0]
     frame = spark.createDataFrame([(v,) for v in values], "v double")
