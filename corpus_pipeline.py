@@ -43,11 +43,16 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cleaned.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training mix: blocks of words by output shard."""
+def traced_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training mix: blocks of words by output shard, with the documents of each in ``doc_ids``."""
     return packed_blocks(docs, mix_sources(docs))
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training mix without ``doc_ids``."""
+    return traced_mix(spark, docs, sf_dir).drop("doc_ids")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", quality),
     ("line dedup", lines),
@@ -60,9 +65,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. The mix that comes out tells which documents its rows are made of."""
     docs = _table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = cut_lineage(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return traced_mix(spark, docs, sf_dir)

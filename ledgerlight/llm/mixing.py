@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlight.functions.binding import bind
 from ledgerlight.llm.batches import binary_text, mix, slices, words
 from ledgerlight.session import cut_lineage
 
@@ -236,17 +237,19 @@ def taken_words(mixed: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:
 def packed_blocks(docs: DataFrame, mixed: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The mix itself: one row per slot with ``shard``, ``source``, ``block``, ``n_words`` and ``text``, single-blanked.
 
-    A document is cut into the parts of its blocks where it stands; a block has a few parts at most.
+    ``doc_ids`` has the documents of the text and ``n_words``, the words taken of each, by id, null last. A document is cut
+    into the parts of its blocks where it stands; a block has no more parts than words.
     """
     # One key that is never null, so that finding repeated rows and joining share one shuffle of the texts.
     key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("key")
     keyed = docs.select(key, "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("finger")).dropDuplicates(["key", "finger"])
-    rows = mixed.rows.filter(F.col("size") > 0).select(key, "finger", "place", "source", "offset", "size").join(keyed, ["key", "finger"])
+    rows = mixed.rows.filter(F.col("size") > 0).select(
+        key, "doc_id", "finger", "place", "source", "offset", "size").join(keyed, ["key", "finger"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in slices(batches):
-            place, source, offset = (texts.rows.column(i) for i in (0, 1, 2))
-            whose, blocks, offsets, parts = [], [], [], []
+            place, source, offset, doc_id = (texts.rows.column(i) for i in (0, 1, 2, 3))
+            whose, blocks, offsets, sizes, parts = [], [], [], [], []
             for i, first in enumerate(offset.to_pylist()):
                 own = texts.text(i).split()  # bytes.split cuts at the same blanks
                 for block in range(first // block_words, (first + len(own) - 1) // block_words + 1):
@@ -255,18 +258,36 @@ def packed_blocks(docs: DataFrame, mixed: Mix, block_words: int = BLOCK_WORDS) -
                     whose.append(i)
                     blocks.append(block)
                     offsets.append(first)
+                    sizes.append(len(part))
                     parts.append(b" ".join(part))
             take = pa.array(whose, pa.int64())
             yield pa.record_batch([place.take(take), source.take(take), pa.array(blocks, pa.int64()),
-                                   pa.array(offsets, pa.int64()), pa.array(parts, pa.binary())],
-                                  names=["place", "source", "block", "offset", "part"])
-
-    pieces = binary_text(rows.select("place", "source", "offset", "text")).mapInArrow(
-        cut, "place long, source string, block long, offset long, part binary")
-    blocks = pieces.groupBy("place", "source", "block").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", F.col("part").cast("string").alias("part")))),
-                                 lambda x: x["part"]), " ").alias("text"))
+                                   pa.array(offsets, pa.int64()), doc_id.take(take), pa.array(sizes, pa.int64()),
+                                   pa.array(parts, pa.binary())],
+                                  names=["place", "source", "block", "offset", "doc_id", "size", "part"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    pieces = binary_text(rows.select("place", "source", "offset", "doc_id", "text")).mapInArrow(
+        cut, f"place long, source string, block long, offset long, doc_id {kind}, size long, part binary")
+    blocks = pieces.groupBy("place", "source", "block").agg(F.array_sort(F.collect_list(F.struct(
+        "offset", F.col("part").cast("string").alias("part"), "doc_id", "size"))).alias("parts")).select(
+        "place", "source", "block", F.array_join("parts.part", " ").alias("text"),
+        F.transform("parts", lambda x: F.struct(
+            x["doc_id"].alias("doc_id"), F.greatest(x["offset"] - F.col("block") * block_words, F.lit(0)).alias("from"),
+            x["size"].alias("size"))).alias("parts"))
     short = F.col("length") < F.size(F.split("text", " "))
     return mixed.slots.join(blocks, ["place", "block"]).select(
         "shard", "source", "block", F.col("length").alias("n_words"),
-        F.when(short, F.expr("substring_index(text, ' ', CAST(length AS INT))")).otherwise(F.col("text")).alias("text"))
+        F.when(short, F.expr("substring_index(text, ' ', CAST(length AS INT))")).otherwise(F.col("text")).alias("text"),
+        _taken_of(F.col("parts"), F.col("length")).alias("doc_ids"))
+
+
+def _taken_of(parts: Column, length: Column) -> Column:
+    """``doc_id`` and ``n_words`` of each document with words among the first ``length`` of a block."""
+
+    def sums(used: Column) -> Column:
+        return F.transform(F.array_sort(F.array_distinct(F.transform(used, lambda x: x["doc_id"]))), lambda i: F.struct(
+            i.alias("doc_id"), F.aggregate(F.filter(used, lambda x: x["doc_id"].eqNullSafe(i)), F.lit(0).cast("long"),
+                                           lambda n, x: n + F.least(x["size"], length - x["from"])).alias("n_words")))
+
+    return bind(F.filter(parts, lambda x: x["from"] < length), sums)

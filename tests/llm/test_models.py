@@ -153,6 +153,24 @@ def test_mix_meets_targets_and_reruns_agree(spark, monkeypatch):
     assert [r["taken"] for r in mixing.taken_words(mixing.mix_sources(documents(spark, ["", None]))).collect()] == [0, 0]
 
 
+def test_mix_tells_its_documents(spark):
+    rng = random.Random(5)
+    texts = [" ".join([f"d{i}"] * rng.choice([1, 3, 40, 300])) for i in range(40)] + [None, "", "none " * 9, "again again"]
+    ids = [*range(len(texts) - 2), None, 0]
+    docs = documents(spark, texts, sources=[rng.choice(["a", "b"]) for _ in texts], ids=ids)
+    mixed = mixing.mix_sources(docs)
+    words_of = {f"d{i}": i for i in range(40)} | {"none": None, "again": 0}
+    by_doc = Counter()
+    for b in mixing.packed_blocks(docs, mixed).collect():
+        own = Counter(words_of[w] for w in b["text"].split(" "))
+        assert [tuple(x) for x in b["doc_ids"]] == sorted(own.items(), key=lambda x: (x[0] is None, x[0] or 0))
+        by_doc.update(own)
+    taken = Counter()
+    for r in mixing.taken_words(mixed).collect():
+        taken[r["doc_id"]] += r["taken"]
+    assert by_doc == +taken
+
+
 def test_language_on_held_out_texts(spark):
     rng = random.Random(3)
     parts = {"aa": ["the", "ing", "and", "ou"], "bb": ["sch", "ein", "ü", "ung"], "cc": ["eau", "que", "é", "ment"]}

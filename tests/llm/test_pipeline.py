@@ -34,6 +34,13 @@ def test_stages_take_awkward_rows(spark, sample):
             docs = cut_lineage(stage(spark, docs, sample))
 
 
+def test_result_tells_its_documents(spark, sample):
+    rows = corpus_pipeline.run(spark, sample).collect()
+    known = {r["doc_id"] for r in spark.read.parquet(f"{sample}/documents.parquet").select("doc_id").collect()}
+    assert rows and all(sum(d["n_words"] for d in r["doc_ids"]) == r["n_words"] and r["doc_ids"] for r in rows)
+    assert {d["doc_id"] for r in rows for d in r["doc_ids"]} <= known
+
+
 def test_eleven_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
 
