@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -156,59 +157,76 @@ def fixed_windows(text: Column | str, size: int = CHUNK_SIZE, overlap: int = CHU
     return F.slice(windows, F.lit(1), count.cast("int"))
 
 
-def _pieces(text: str, separator: str) -> list[str]:
-    """Text cut before each separator, which stays at the front of its piece."""
-    if not separator:
-        return list(text)
-    head, *tail = text.split(separator)
-    return [p for p in [head, *(separator + t for t in tail)] if p]
-
-
-def _packed(pieces: list[str], size: int, overlap: int) -> Iterator[str]:
-    """Neighbouring pieces joined up to ``size``; each chunk reuses at most ``overlap`` of the last."""
-    start = length = 0
-    for end, piece in enumerate(pieces):
-        if length + len(piece) > size and end > start:
-            yield "".join(pieces[start:end]).strip()
-            while length > overlap or (length and length + len(piece) > size):
-                length -= len(pieces[start])
-                start += 1
-        length += len(piece)
-    yield "".join(pieces[start:]).strip()
-
-
-def split_recursive(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-                    separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Chunks of at most ``size`` characters, cut at the coarsest separator that does."""
-    at = next(i for i, s in enumerate(separators) if not s or s in text or i == len(separators) - 1)
-    finer = separators[at + 1:]
-    chunks: list[str] = []
-    short: list[str] = []
-
-    def flush() -> None:
-        if short:
-            chunks.extend(c for c in _packed(short, size, overlap) if c)
-            short.clear()
-
-    for piece in _pieces(text, separators[at]):
-        if len(piece) < size:
-            short.append(piece)
-            continue
-        flush()
-        chunks.extend(split_recursive(piece, size, overlap, finer) if finer else [piece])
-    flush()
-    return chunks
+def _packed(lengths: Column, size: int, overlap: int) -> Column:
+    """Spans (``start``, ``length``, ``long``) of neighbouring pieces of the given lengths, packed up to ``size``.
+
+    A piece of ``size`` or more is a span of its own, marked ``long``. The next span starts with as many of the last
+    pieces of the one before as fit in ``overlap`` and beside the piece that did not. One fold over the pieces, whose
+    state is the lengths of the span being filled.
+    """
+    spans = "array<struct<start:int,length:int,long:boolean>>"
+
+    def span(start: Column, length: Column, long: bool) -> Column:
+        return F.array(F.struct(start.alias("start"), length.alias("length"), F.lit(long).alias("long")))
+
+    def state(out: Column, start: Column, length: Column, held: Column) -> Column:
+        return F.struct(out.alias("out"), start.alias("start"), length.alias("length"), held.alias("held"))
+
+    none = F.lit(0)
+    nothing = F.array().cast("array<int>")
+    first = state(F.array().cast(spans), none, none, nothing)
+
+    def shortened(s: Column, piece: Column) -> Column:
+        """What stays of the span for the next one: characters, and how many pieces go from its front."""
+        def too_long(left: Column) -> Column:
+            return (left > overlap) | ((left > 0) & (left + piece > size))
+
+        return F.aggregate(s["held"], F.struct(s["length"].alias("left"), none.alias("gone")), lambda a, x: F.when(
+            too_long(a["left"]), F.struct((a["left"] - x).alias("left"), (a["gone"] + 1).alias("gone"))).otherwise(a))
+
+    def add(s: Column, piece: Column) -> Column:
+        filled = F.when(s["length"] > 0, F.concat(s["out"], span(s["start"], s["length"], False))).otherwise(s["out"])
+        end = s["start"] + s["length"]
+        alone = state(F.concat(filled, span(end, piece, True)), end + piece, none, nothing)
+        fits = state(s["out"], s["start"], s["length"] + piece, F.concat(s["held"], F.array(piece)))
+        cut = bind(shortened(s, piece), lambda k: state(
+            filled, end - k["left"], k["left"] + piece, F.concat(F.slice(s["held"], k["gone"] + 1, F.size(s["held"])), F.array(piece))))
+        return F.when(piece >= size, alone).when((s["length"] > 0) & (s["length"] + piece > size), cut).otherwise(fits)
+
+    return F.aggregate(lengths, first, add, lambda s: F.when(
+        s["length"] > 0, F.concat(s["out"], span(s["start"], s["length"], False))).otherwise(s["out"]))
 
 
 def recursive_chunks(text: Column | str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                      separators: tuple[str, ...] = SEPARATORS) -> Column:
+    """Chunks of at most ``size`` characters, cut at the coarsest separator that does; null for null.
+
+    A text is cut before each of the first separator, which stays at the front of its piece. Short neighbours are packed
+    together; a piece that is still too long is cut by the next separator, one level of the expression for each. The
+    empty separator cuts between any two characters. Chunks are stripped, and empty ones left out.
+    """
     c = F.col(text) if isinstance(text, str) else text
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else split_recursive(t, size, overlap, separators))
+    def stripped(chunks: Column) -> Column:
+        return F.filter(F.transform(chunks, tx.strip), lambda x: x != "")
+
+    def level(whole: Column, at: int) -> Column:
+        if at == len(separators):
+            return F.array(whole)
+        separator = separators[at]
+        if not separator:
+            return stripped(fixed_windows(whole, size, overlap))
+        parts = F.split(whole, re.sub(r"(\W)", r"\\\1", separator), -1)
+        lengths = F.filter(F.transform(parts, lambda p, i: F.char_length(p) + F.when(i > 0, len(separator)).otherwise(0)),
+                           lambda n: n > 0)
+
+        def chunks(s: Column) -> Column:
+            return bind(F.substring(whole, s["start"] + 1, s["length"]), lambda piece: F.when(
+                s["long"], level(piece, at + 1)).otherwise(stripped(F.array(piece))))
+
+        return F.flatten(F.transform(_packed(lengths, size, overlap), chunks))
 
-    return split(c)
+    return F.when(c.isNotNull(), bind(c, lambda whole: level(whole, 0)))
 
 
 def _chunk(df: DataFrame, pieces: Column, document_id: str) -> DataFrame:

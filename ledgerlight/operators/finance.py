@@ -241,22 +241,48 @@ def with_assumptions(df: DataFrame, model: str = "model_type", given: str = "ass
     return df.withColumn("assumptions_used", F.map_concat(kept, own))
 
 
+def sensitivity_of_request(variables: Column, ranges: Column, cf: Column, rate: Column, steps: int = 5) -> Column:
+    """An array of variable and NPVs for every variable of a request that has a range there, in the request's order.
+
+    ``ranges`` maps a variable to its ends, ``low`` and ``high``. As in :func:`sensitivity` only the discount rate moves NPV.
+    """
+    def points(variable: Column, ends: Column) -> Column:
+        width = (ends["high"] - ends["low"]) / max(steps - 1, 1)
+        values = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.when(
+            (i == steps - 1) & (i > 0), ends["high"]).otherwise(ends["low"] + i * width))
+        return F.transform(values, lambda v: npv(cf, F.when(variable == "discount_rate", v).otherwise(rate)))
+
+    ranged = F.filter(variables, lambda v: F.map_contains_key(ranges, v))
+    return F.transform(ranged, lambda v: F.struct(v.alias("variable"), points(v, F.element_at(ranges, v)).alias("npvs")))
+
+
 def run_models(df: DataFrame, model: str = "model_type", cf: str = "cf",
                assumptions: str = "assumptions_used", low: float = 0.08, high: float = 0.15,
-               steps: int = 5) -> DataFrame:
-    """Adds npv, irr, payback_period, dcf_value and the sensitivity grid, by model type."""
+               steps: int = 5, variables: str | None = None, ranges: str | None = None) -> DataFrame:
+    """Adds npv, irr, payback_period, dcf_value and the sensitivity table, by model type.
+
+    A sensitivity request names its ``variables`` (an array) and their ``ranges`` (a map to low and high); one that names
+    neither varies the discount rate from ``low`` to ``high``. ``sensitivity_npvs`` are the NPVs of the first variable.
+    """
     m, c = F.col(model), F.col(cf)
     used = F.col(assumptions)
     rate = F.coalesce(F.try_element_at(used, F.lit("discount_rate")), F.lit(HURDLE_RATE))
     dcf_rate = F.coalesce(F.try_element_at(used, F.lit("discount_rate")), F.lit(0.12))
     growth = F.coalesce(F.try_element_at(used, F.lit("terminal_growth")), F.lit(0.03))
-    grid = F.array(*[F.lit(v) for v in linspace(low, high, steps)])
+    usual = F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"))
+    names, ends = F.array(F.lit("discount_rate")), F.create_map(F.lit("discount_rate"), usual)
+    if variables is not None and ranges is not None:
+        neither = F.col(variables).isNull() & F.col(ranges).isNull()
+        names = F.when(neither, names).otherwise(F.coalesce(variables, F.array().cast("array<string>")))
+        none = F.create_map().cast("map<string,struct<low:double,high:double>>")
+        ends = F.when(neither, ends).otherwise(F.coalesce(F.col(ranges).cast("map<string,struct<low:double,high:double>>"), none))
     solved = (df.withColumn("irr", irr(F.when(m == "irr", c)))
               .withColumn("payback_period", F.when(m == "payback", payback(c)))
               .withColumn("dcf_value", F.when(m == "dcf", dcf(c, dcf_rate, growth)["dcf_value"]))
-              .withColumn("sensitivity_npvs",
-                          F.when(m == "sensitivity", F.transform(grid, lambda r: npv(c, r)))))
-    value = (F.when(m.isin("npv", "sensitivity"), npv(c, rate))
+              .withColumn("sensitivity_table", F.when(m == "sensitivity", sensitivity_of_request(names, ends, c, rate, steps)))
+              .withColumn("sensitivity_npvs", F.get("sensitivity_table", F.lit(0))["npvs"]))
+    asked = (m == "npv") | ((m == "sensitivity") & (F.size("sensitivity_table") > 0))
+    value = (F.when(asked, npv(c, rate))
              .when(m == "irr", npv(c, F.col("irr")))
              .when(m == "dcf", F.col("dcf_value")))
     return solved.withColumn("npv", value)
@@ -283,15 +309,17 @@ def explain_models(df: DataFrame, model: str = "model_type", assumptions: str =
         F.concat(F.lit("DCF Enterprise Value: $"), grouped("dcf_value"), F.lit(".")),
         F.concat(F.lit("Terminal growth assumption: "), percent(growth, 1), F.lit(".")))
     payback_text = lines(F.concat(F.lit("Payback Period: "), plain("payback_period"), F.lit(" years.")))
-    sens_text = lines(
-        F.lit("Sensitivity analysis shows NPV impact of key variables."),
-        F.concat(F.lit("discount_rate: NPV range $"), grouped(F.array_min("sensitivity_npvs"), 0),
-                 F.lit(" to $"), grouped(F.array_max("sensitivity_npvs"), 0), F.lit(".")))
+    def spread(row: Column) -> Column:
+        return F.concat(row["variable"], F.lit(": NPV range $"), grouped(F.array_min(row["npvs"]), 0),
+                        F.lit(" to $"), grouped(F.array_max(row["npvs"]), 0), F.lit("."))
+
+    sens_text = F.concat(lines(F.lit("Sensitivity analysis shows NPV impact of key variables.")),
+                         F.transform("sensitivity_table", spread))
     body = (F.when((m == "npv") & F.col("npv").isNotNull(), npv_text)
             .when((m == "irr") & F.col("irr").isNotNull(), irr_text)
             .when((m == "dcf") & F.col("dcf_value").isNotNull(), dcf_text)
             .when((m == "payback") & F.col("payback_period").isNotNull(), payback_text)
-            .when((m == "sensitivity") & (F.size("sensitivity_npvs") > 0), sens_text)
+            .when((m == "sensitivity") & (F.size("sensitivity_table") > 0), sens_text)
             .otherwise(F.array().cast("array<string>")))
     head = F.array(F.concat(F.upper(m), F.lit(" Analysis Complete.\n")))
     return df.withColumn("explanation", F.array_join(F.concat(head, body), "\n"))

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import fits
@@ -182,21 +182,35 @@ def backtest(df: DataFrame, model: str = "additive", test_periods: int = 6, conf
     return _held_out(arrays, model, confidence, holidays, order)
 
 
+def _rolling_smooth(arrays: DataFrame, cuts: Column, periods: int) -> DataFrame:
+    """Actual and predicted after every cut-off, from one pass over each series."""
+    fitted = smoothing.smooth_at(arrays, cuts)
+    steps = fitted.select("series_id", "cut", "fit", "y", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("step"))
+    return steps.select("series_id", "cut", F.get("y", F.col("cut") + F.col("step") - 1).alias("actual"),
+                        smoothing.ahead(F.col("fit"), F.col("step")).alias("predicted"))
+
+
 def rolling_backtest(df: DataFrame, model: str = "additive", periods: int = 6, order: tuple | None = None) -> DataFrame:
     """Mean errors per series over rolling cut-offs; zeros for series shorter than two horizons.
 
     Cut-offs run back from one horizon before the end by half a horizon, and every training
-    part keeps at least one horizon.
+    part keeps at least one horizon. Exponential smoothing serves all cut-offs from one pass; other models are fitted
+    anew for each.
     """
     arrays = ts.to_arrays(ts.interpolate_time(df)).withColumn("series_id", F.col("series_id").cast("string"))
     step = max(periods // 2, 1)
     cuts = F.sequence(F.size("y") - periods, F.lit(periods), F.lit(-step))
-    # Each cut-off is a series of its own while it is fitted.
-    rows = (arrays.where(F.size("y") >= 2 * periods).select("series_id", "ds", "y", F.explode(cuts).alias("cut"))
-            .withColumn("horizon", F.lit(periods))
-            .withColumn("series_id", F.concat_ws("\u0001", "series_id", F.col("cut").cast("string"))))
-    points = _held_out(rows, model, 0.95, False, order)
-    per_cut = ts.forecast_errors(points).withColumn("series_id", F.split_part("series_id", F.lit("\u0001"), F.lit(1)))
+    long = arrays.where(F.size("y") >= 2 * periods)
+    if MODELS.get(model) == "ets":
+        points = _rolling_smooth(long, cuts, periods)
+    else:
+        # Each cut-off is a series of its own while it is fitted.
+        rows = (long.select("series_id", "ds", "y", F.explode(cuts).alias("cut")).withColumn("horizon", F.lit(periods))
+                .withColumn("series_id", F.concat_ws("\u0001", "series_id", F.col("cut").cast("string"))))
+        held = _held_out(rows, model, 0.95, False, order)
+        points = held.withColumn("cut", F.split_part("series_id", F.lit("\u0001"), F.lit(2)).cast("int")) \
+            .withColumn("series_id", F.split_part("series_id", F.lit("\u0001"), F.lit(1)))
+    per_cut = ts.forecast_errors(points, ("series_id", "cut"))
     means = per_cut.groupBy("series_id").agg(*[F.avg(c).alias(c) for c in ("mae", "rmse", "mape")], F.count(F.lit(1)).alias("cutoffs"))
     return arrays.select("series_id").join(means, "series_id", "left").fillna(0.0, ["mae", "rmse", "mape"]).fillna(0, ["cutoffs"])
 

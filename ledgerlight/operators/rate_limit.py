@@ -191,20 +191,28 @@ def rate_limit(events: DataFrame, key: str = "client_key", ts: str = "ts", id_:
 
 
 def usage(events: DataFrame, window_seconds: int, key: str = "client_key", ts: str = "ts", id_: str = "event_id",
-          stretch: int = 8) -> DataFrame:
+          stretch: int = 8, admitted: DataFrame | None = None) -> DataFrame:
     """Requests of the key in the window up to each request: (id, usage).
 
-    Time is cut into slices of ``stretch`` windows. A slice also receives the last window of
-    the slice before it, so each frame is complete inside its slice and no window function
-    ever holds a whole key.
+    With ``admitted``, a log of the requests that were let through (``key`` and ``ts``), their number in the same window is
+    ``admitted_usage``; log and requests are one sequence, over which a single frame sums each apart. Time is cut into
+    slices of ``stretch`` windows. A slice also receives the last window of the slice before it, so each frame is complete
+    inside its slice and no window function ever holds a whole key.
     """
     window = window_seconds * 1_000_000
     width = window * stretch
-    base = events.select(F.col(key).alias("_key"), F.col(id_), micros(ts).alias("_us"))
+    base = events.select(F.col(key).alias("_key"), F.col(id_), micros(ts).alias("_us"), F.lit(1).alias("_asked"))
+    if admitted is not None:
+        base = base.unionByName(admitted.select(
+            F.col(key).alias("_key"), F.lit(None).cast(events.schema[id_].dataType).alias(id_), micros(ts).alias("_us"),
+            F.lit(0).alias("_asked")))
     own = F.floor(F.col("_us") / F.lit(width))
     tail = F.floor((F.col("_us") + F.lit(window - 1)) / F.lit(width))
     spread = (base.withColumn("_own", own)
               .withColumn("_slice", F.explode(F.array_distinct(F.array(own, tail)))))
     frame = Window.partitionBy("_key", "_slice").orderBy("_us").rangeBetween(-window + 1, 0)
-    return (spread.withColumn("usage", F.count(F.lit(1)).over(frame))
-            .where(F.col("_slice") == F.col("_own")).select(id_, "usage"))
+    counts = {"usage": F.sum("_asked").over(frame)}
+    if admitted is not None:
+        counts["admitted_usage"] = F.count(F.lit(1)).over(frame) - counts["usage"]
+    return (spread.select("*", *[c.alias(name) for name, c in counts.items()])
+            .where((F.col("_slice") == F.col("_own")) & (F.col("_asked") == 1)).select(id_, *counts))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("relational", "finance", "documents", "retrieval", "answers", "evaluation", "telemetry", "forecast")
+AREAS = ("relational", "finance", "documents", "retrieval", "answers", "evaluation", "telemetry", "forecast", "stores")
 
 
 def load_all():

@@ -89,7 +89,46 @@ def fixed(t):
     return docs.chunk_fixed(texts(t)).select("document_id", "chunk_index", "content")
 
 
-@query("doc3_recursive_chunks")
+# One row per state of a text: its pieces' ends at one level of separators, and the piece the next chunk starts with. A
+# piece that is too long becomes a state of its own at the next level; keys sort as the text runs.
+RECURSIVE_SQL = r"""
+WITH RECURSIVE walk(doc_id, key, level, text, b, s, piece) AS (
+  SELECT doc_id, '', 1, text, CAST(NULL AS BIGINT[]), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR) FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, t.key, t.level, t.text, t.b, t.s, t.piece FROM (
+    SELECT doc_id, unnest(CASE
+      WHEN b IS NULL THEN [{'key': key, 'level': level, 'text': text, 'b': cuts, 's': CAST(0 AS BIGINT), 'piece': CAST(NULL AS VARCHAR)}]
+      WHEN b[s + 2] - b[s + 1] >= 1000 THEN [
+        {'key': key || '.' || lpad(CAST(s AS VARCHAR), 7, '0'), 'level': level + 1, 'text': substring(text, b[s + 1] + 1, b[s + 2] - b[s + 1]),
+         'b': CAST(NULL AS BIGINT[]), 's': CAST(0 AS BIGINT), 'piece': CAST(NULL AS VARCHAR)},
+        {'key': key, 'level': level, 'text': text, 'b': b, 's': s + 1, 'piece': CAST(NULL AS VARCHAR)}]
+      ELSE [
+        {'key': key || '.' || lpad(CAST(s AS VARCHAR), 7, '0'), 'level': level, 'text': CAST(NULL AS VARCHAR), 'b': [CAST(0 AS BIGINT)],
+         's': CAST(0 AS BIGINT), 'piece': substring(text, b[s + 1] + 1, b[e + 1] - b[s + 1])},
+        {'key': key, 'level': level, 'text': text, 'b': b, 's': CASE WHEN e = len(b) - 1 OR b[e + 2] - b[e + 1] >= 1000 THEN e
+           ELSE list_filter(range(s + 1, e + 1), lambda k: b[e + 1] - b[k + 1] <= 200 AND (b[e + 1] = b[k + 1] OR b[e + 2] - b[k + 1] <= 1000))[1] END,
+         'piece': CAST(NULL AS VARCHAR)}] END) AS t
+    FROM (SELECT *, coalesce(list_filter(range(s + 1, len(b) - 1), lambda j: b[j + 2] - b[j + 1] >= 1000 OR b[j + 2] - b[s + 1] > 1000)[1], len(b) - 1) AS e,
+            CASE WHEN b IS NULL THEN [0] || list_transform(range(1, len(lens) + 1), lambda i: CAST(list_sum(lens[1:i]) AS BIGINT)) END AS cuts
+          FROM (SELECT *, CASE WHEN b IS NULL THEN list_filter(list_transform(string_split(text, [E'
+
+', E'
+', '. ', ' ', ''][level]),
+                  lambda p, i: CAST(len(p) + CASE WHEN i > 1 THEN len([E'
+
+', E'
+', '. ', ' ', ''][level]) ELSE 0 END AS BIGINT)), lambda n: n > 0) END AS lens
+                FROM walk WHERE b IS NULL OR s < len(b) - 1)))),
+parts AS (SELECT doc_id AS document_id, key, trim(piece, E' 
+	') AS content FROM walk WHERE piece IS NOT NULL),
+chunks AS (SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY key) - 1 AS INTEGER) AS chunk_index,
+  CAST(COUNT(*) OVER (PARTITION BY document_id) AS INTEGER) AS chunk_count, content FROM parts WHERE content <> '')
+"""
+
+
+@query("doc3_recursive_chunks", RECURSIVE_SQL + """
+SELECT document_id, chunk_index, chunk_count, content FROM chunks
+""")
 def recursive(t):
     return docs.chunk_recursive(texts(t)).select("document_id", "chunk_index", "chunk_count", "content")
 
@@ -137,11 +176,17 @@ def report(t):
     return stats.withColumn("avg_chunk_size", F.round("avg_chunk_size", 4)).withColumn("overlap_ratio", F.round("overlap_ratio", 6))
 
 
-@query("doc5_recursive_chunk_report")
+@query("doc5_recursive_chunk_report", RECURSIVE_SQL + """
+, per AS (SELECT c.document_id, COUNT(*) AS n, SUM(length(content)) AS chars, any_value(length(d.text)) AS n_chars
+  FROM chunks c JOIN documents d ON d.doc_id = c.document_id GROUP BY c.document_id)
+SELECT 'recursive' AS strategy, CAST(SUM(n) AS BIGINT) AS chunk_count, ROUND(SUM(chars) / SUM(n), 4) AS avg_chunk_size,
+  ROUND(SUM(greatest(chars - n_chars, 0)) / SUM(chars), 6) AS overlap_ratio FROM per
+""")
 def recursive_report(t):
     base = texts(t)
     chars = base.select("document_id", F.char_length("text").alias("n_chars"))
-    return docs.chunk_stats(docs.chunk_recursive(base), chars, "recursive")
+    stats = docs.chunk_stats(docs.chunk_recursive(base), chars, "recursive")
+    return stats.withColumn("avg_chunk_size", F.round("avg_chunk_size", 4)).withColumn("overlap_ratio", F.round("overlap_ratio", 6))
 
 
 @query("doc6_embed_chunks", FIXED_SQL + """

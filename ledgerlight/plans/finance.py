@@ -214,6 +214,31 @@ def verdicts(t):
     return finance.explain_models(ran).select("project_id", "explanation")
 
 
+@query("fin8_request_ranges", f"""
+WITH {FLOWS_SQL},
+req AS (SELECT c_custkey AS project_id, c_custkey % 3 AS kind, (c_custkey % 7) / 100.0 AS low, (c_custkey % 7) / 100.0 + 0.1 AS high FROM customer),
+v AS (SELECT project_id, unnest(CASE kind WHEN 0 THEN ['discount_rate'] WHEN 1 THEN ['tax_rate', 'discount_rate'] ELSE ['unranged'] END) AS variable,
+    unnest(CASE kind WHEN 0 THEN [1] WHEN 1 THEN [1, 2] ELSE [1] END) AS place, CASE kind WHEN 0 THEN 0.08 ELSE low END AS low, CASE kind WHEN 0 THEN 0.15 ELSE high END AS high FROM req),
+pts AS (SELECT project_id, variable, place, s, SUM(cf / pow(1 + CASE WHEN variable = 'discount_rate' THEN low + s * (high - low) / 4 ELSE 0.1 END, i)) AS npv
+  FROM cfl JOIN v USING (project_id) CROSS JOIN range(5) r(s) WHERE variable <> 'unranged' GROUP BY ALL),
+per AS (SELECT project_id, place, variable || ': NPV range $' || format('{{:,.0f}}', MIN(npv)) || ' to $' || format('{{:,.0f}}', MAX(npv)) || '.' AS line
+  FROM pts GROUP BY project_id, place, variable)
+SELECT p.project_id, E'SENSITIVITY Analysis Complete.\n' || coalesce(E'\nSensitivity analysis shows NPV impact of key variables.\n' || text, '') AS explanation
+FROM (SELECT DISTINCT project_id FROM cfl) p LEFT JOIN (SELECT project_id, string_agg(line, E'\n' ORDER BY place) AS text FROM per GROUP BY project_id) USING (project_id)
+""")
+def request_ranges(t):
+    """Requests that name their variables and ranges, some of them none and some a variable without a range."""
+    key, kind = F.col("project_id"), F.col("project_id") % 3
+    low = (key % 7) / 100.0
+    ends = F.struct(low.alias("low"), (low + 0.1).alias("high"))
+    asked = projects(t).select(
+        "project_id", "cf", F.lit("sensitivity").alias("model_type"), F.create_map().cast("map<string,double>").alias("assumptions"),
+        F.when(kind == 1, F.array(F.lit("tax_rate"), F.lit("discount_rate"))).when(kind == 2, F.array(F.lit("unranged"))).alias("variables"),
+        F.when(kind > 0, F.create_map(F.lit("discount_rate"), ends, F.lit("tax_rate"), ends)).alias("ranges"))
+    ran = finance.run_models(finance.with_assumptions(asked), variables="variables", ranges="ranges")
+    return finance.explain_models(ran).select("project_id", "explanation")
+
+
 def questions(t):
     """A financial question per part, its figures taken from the part's own columns."""
     price = F.round("p_retailprice", 2).cast("decimal(12,2)").cast("string")

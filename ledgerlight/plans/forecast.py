@@ -151,22 +151,23 @@ def naive_backtest(t):
 
 
 def ets_sql(train: str, ahead: int) -> str:
-    """CTEs that fit ``train`` (key, y list of two seasons or more, n) and give ``points`` (key, step, yhat, sse, n)."""
+    """CTEs that fit ``train`` (key, y list, n) and give ``points`` (key, step, yhat, sse, n)."""
     rates, slow = (str(list(r)) for r in (smoothing.LEVEL_RATES, smoothing.SLOW_RATES))
     return f"""
 train AS ({train}),
-shape AS (SELECT key, y, n, list_avg(y[1:12]) AS first, (list_avg(y[13:24]) - list_avg(y[1:12])) / 12 AS trend,
-  [list_avg([y[c * 12 + k] - list_avg(y[c * 12 + 1 : c * 12 + 12]) FOR c IN range(0, n // 12)]) FOR k IN range(1, 13)] AS pattern FROM train),
+shape AS (SELECT *, list_avg(y[1:m]) AS first, CASE WHEN n >= 2 * m THEN (list_avg(y[m + 1:2 * m]) - list_avg(y[1:m])) / m ELSE 0 END AS trend,
+  CASE WHEN m = 1 THEN [CAST(0 AS DOUBLE)] ELSE [list_avg([y[c * 12 + k] - list_avg(y[c * 12 + 1 : c * 12 + 12]) FOR c IN range(0, n // 12)]) FOR k IN range(1, 13)] END AS pattern
+  FROM (SELECT *, CASE WHEN n >= 24 THEN 12 ELSE 1 END AS m FROM train)),
 grid AS (SELECT a, b, g, row_number() OVER (ORDER BY a, b, g) AS place
   FROM (SELECT unnest({rates}) AS a), (SELECT unnest({slow}) AS b), (SELECT unnest({slow}) AS g)),
 fold AS (
-  SELECT key, place, a, b, g, CAST(0 AS BIGINT) AS i, CAST(first - trend * 13 / 2 AS DOUBLE) AS level, CAST(trend AS DOUBLE) AS trend, pattern, CAST(0 AS DOUBLE) AS sse
-  FROM shape, grid
+  SELECT key, m, place, a, b, g, CAST(0 AS BIGINT) AS i, CAST(first - CASE WHEN m = 1 THEN trend ELSE trend * 13 / 2 END AS DOUBLE) AS level,
+    CAST(trend AS DOUBLE) AS trend, pattern, CAST(0 AS DOUBLE) AS sse FROM shape, grid WHERE m > 1 OR g = 0
   UNION ALL
-  SELECT key, place, a, b, g, i + 1, level + trend + a * e, trend + a * b * e, list_append(pattern[2:12], pattern[1] + g * (1 - a) * e), sse + e * e
+  SELECT key, m, place, a, b, g, i + 1, level + trend + a * e, trend + a * b * e, list_append(pattern[2:m], pattern[1] + g * (1 - a) * e), sse + e * e
   FROM (SELECT f.*, s.y[f.i + 1] - (f.level + f.trend + f.pattern[1]) AS e FROM fold f JOIN shape s ON s.key = f.key AND f.i < s.n)),
 best AS (SELECT f.* FROM fold f JOIN shape s ON s.key = f.key AND f.i = s.n QUALIFY row_number() OVER (PARTITION BY f.key ORDER BY sse, place) = 1),
-points AS (SELECT key, step, level + step * trend + pattern[(step - 1) % 12 + 1] AS yhat, sse, i AS n
+points AS (SELECT key, step, level + step * trend + pattern[(step - 1) % m + 1] AS yhat, sse, i AS n
   FROM (SELECT *, unnest(range(1, {ahead + 1})) AS step FROM best))"""
 
 
@@ -206,6 +207,26 @@ def dispatch(t):
     return fc.forecast(series, "M", 6, models=series.select("series_id").distinct().withColumn("model", model))
 
 
+TWO_MODELS_SQL = """
+SELECT f.key AS series_id, 'ets' AS model, CAST(f.step AS INTEGER) AS step, CAST(last_day(CAST(l.ds + to_months(CAST(f.step AS INTEGER)) AS DATE)) AS DATE) AS ds,
+  'Period_' || f.step AS label, ROUND(yhat, 2) AS yhat FROM points f JOIN numbered l ON l.series_id = f.key AND l.i = l.n WHERE length(f.key) % 2 = 0
+UNION ALL
+SELECT l.series_id, 'naive', CAST(step AS INTEGER), CAST(last_day(CAST(l.ds + to_months(CAST(step AS INTEGER)) AS DATE)) AS DATE), 'Period_' || step, ROUND(m.y, 2)
+FROM (SELECT *, unnest(range(1, 7)) AS step FROM numbered WHERE i = n AND length(series_id) % 2 = 1) l
+JOIN numbered m ON m.series_id = l.series_id AND m.i = l.n - least(12, l.n) + (step - 1) % least(12, l.n) + 1
+"""
+
+
+@query("ts8_dispatch_two_models", "WITH RECURSIVE " + MONTHLY_SQL + ", " + ets_sql(
+    "SELECT series_id AS key, list(y ORDER BY i) AS y, max(n) AS n FROM numbered GROUP BY series_id", 6) + TWO_MODELS_SQL)
+def two_models(t):
+    """Every series by the model it is given, here by the length of its name."""
+    series = monthly(t)
+    model = F.when(F.char_length("series_id") % 2 == 0, "ets").otherwise("naive")
+    out = fc.forecast(series, "M", 6, models=series.select("series_id").distinct().withColumn("model", model))
+    return out.select("series_id", "model", "step", "ds", "label", F.round("yhat", 2).alias("yhat"))
+
+
 @query("ts10_backtest", "WITH RECURSIVE " + MONTHLY_SQL + ", " + ets_sql(
     "SELECT series_id AS key, list(y ORDER BY i) AS y, max(n) - 6 AS n FROM numbered WHERE i <= n - 6 GROUP BY series_id", 6) + """
 SELECT series_id, ROUND(AVG(abs(m.y - yhat)), 2) AS mae, ROUND(sqrt(AVG((m.y - yhat) * (m.y - yhat))), 2) AS rmse,
@@ -217,12 +238,32 @@ def held_out(t):
     return out.select("series_id", F.round("mae", 2).alias("mae"), F.round("rmse", 2).alias("rmse"), F.round("mape", 4).alias("mape"))
 
 
-@query("ts12_rolling_backtest")
+@query("ts12_rolling_backtest", "WITH RECURSIVE " + MONTHLY_SQL + """
+, cuts AS (SELECT series_id, unnest(range(max(n) - 12, 11, -6)) AS cut FROM numbered GROUP BY series_id HAVING max(n) >= 24),
+""" + ets_sql("""SELECT {'s': series_id, 'cut': cut} AS key, list(y ORDER BY i) AS y, cut AS n
+  FROM numbered JOIN cuts USING (series_id) WHERE i <= cut GROUP BY series_id, cut""", 12) + """
+, per AS (SELECT p.key.s AS series_id, p.key.cut AS cut, AVG(abs(m.y - yhat)) AS mae, sqrt(AVG((m.y - yhat) * (m.y - yhat))) AS rmse,
+    coalesce(AVG(CASE WHEN m.y <> 0 THEN abs((m.y - yhat) / m.y) END) * 100, 0) AS mape
+  FROM points p JOIN numbered m ON m.series_id = p.key.s AND m.i = p.key.cut + step GROUP BY ALL)
+SELECT s.series_id, ROUND(coalesce(AVG(mae), 0), 2) AS mae, ROUND(coalesce(AVG(rmse), 0), 2) AS rmse, ROUND(coalesce(AVG(mape), 0), 4) AS mape,
+  COUNT(cut) AS cutoffs FROM (SELECT DISTINCT series_id FROM numbered) s LEFT JOIN per USING (series_id) GROUP BY s.series_id
+""")
 def rolling(t):
-    return fc.rolling_backtest(monthly(t), "ets", 12)
-
-
-@query("ts13_forecast_summary")
+    out = fc.rolling_backtest(monthly(t), "ets", 12)
+    return out.select("series_id", F.round("mae", 2).alias("mae"), F.round("rmse", 2).alias("rmse"), F.round("mape", 4).alias("mape"), "cutoffs")
+
+
+@query("ts13_forecast_summary", "WITH RECURSIVE " + MONTHLY_SQL + ", " + ets_sql(
+    """SELECT {'s': series_id, 'held': held} AS key, list(y ORDER BY i) AS y, max(n) - held AS n
+  FROM numbered, (SELECT unnest([0, 6]) AS held) WHERE i <= n - held GROUP BY series_id, held""", 12) + """
+, e AS (SELECT p.key.s AS series_id, AVG(abs(m.y - yhat)) AS mae, sqrt(AVG((m.y - yhat) * (m.y - yhat))) AS rmse
+  FROM points p JOIN numbered m ON m.series_id = p.key.s AND m.i = p.n + step WHERE p.key.held = 6 AND step <= 6 GROUP BY 1),
+f AS (SELECT key.s AS series_id, arg_min(yhat, step) AS next, arg_max(yhat, step) AS last FROM points WHERE key.held = 0 GROUP BY 1)
+SELECT series_id, 'ets' AS model, 'ETS forecast for 12 periods (M).' || E'\\nNext period prediction: ' || format('{:,.2f}', next) || '.' ||
+  E'\\nOverall trend: ' || CASE WHEN last > next THEN 'increasing' ELSE 'decreasing' END || '.' ||
+  E'\\nBacktest MAE: ' || format('{:,.2f}', mae) || E'\\nBacktest RMSE: ' || format('{:,.2f}', rmse) ||
+  E'\\n95% confidence intervals provided.' AS explanation FROM f JOIN e USING (series_id)
+""")
 def explained(t):
     series = monthly(t)
     errors = ts.forecast_errors(fc.backtest(series, "ets"))

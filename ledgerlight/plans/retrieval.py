@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions import text as tx
 from ledgerlight.functions.vectors import cosine, mean_vectors
+from ledgerlight.operators import cells
 from ledgerlight.operators import documents as docs
 from ledgerlight.operators import retrieval as ret
+from ledgerlight.plans.documents import FIXED_SQL, LETTERS
 from ledgerlight.plans.registry import query
+from ledgerlight.session import cut_lineage
+from ledgerlight.streaming.jobs import scratch
 
 QUERY_SQL = """
 WITH parts AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
@@ -57,26 +61,48 @@ def similarity(t):
         "vec_id", F.round(cosine("embedding", "query_vector"), 6).alias("score"))
 
 
-@query("ret2_knn", SCORED_SQL + """
+RET2_SQL = SCORED_SQL + """
 SELECT query_id, chunk_id, rank, ROUND(score, 6) AS score FROM hits
-""")
+"""
+
+
+@query("ret2_knn", RET2_SQL)
 def nearest(t):
     return found(t).withColumn("score", F.round("score", 6))
 
 
-@query("jn5_knn_source_filter", QUERY_SQL + """
+@query("ret2_cells_knn", RET2_SQL)
+def nearest_by_cells(t):
+    """The same search through an index of cells."""
+    index = cells.build_cells(vectors(t), scratch(t.spark, "cells"))
+    return cells.search_cells(label_queries(t), index).hits.withColumn("score", F.round("score", 6))
+
+
+JN5_SQL = QUERY_SQL + """
 scored AS (SELECT q.query_id, e.vec_id AS chunk_id, list_cosine_similarity(qv, CAST(embedding AS DOUBLE[])) AS score
   FROM q, embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE d.source IN ('src1', 'src2', 'src3'))
 SELECT query_id, chunk_id, ROUND(score, 6) AS score,
   CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS INTEGER) AS rank
 FROM scored QUALIFY rank <= 10
-""")
+"""
+
+
+@query("jn5_knn_source_filter", JN5_SQL)
 def nearest_in_sources(t):
     chunks = vectors(t).join(contents(t).select("chunk_id", "source"), "chunk_id")
     return ret.knn(label_queries(t), chunks, 10, where=F.col("source").isin("src1", "src2", "src3")) \
         .withColumn("score", F.round("score", 6))
 
 
+@query("jn5_cells_source_filter", JN5_SQL)
+def nearest_in_sources_by_cells(t):
+    """The filter rules out vectors inside the cells that are read."""
+    chunks = vectors(t).join(contents(t).select("chunk_id", "source"), "chunk_id")
+    index = cells.build_cells(chunks, scratch(t.spark, "cells"))
+    search = cells.search_cells(label_queries(t), index, 10, where=F.col("source").isin("src1", "src2", "src3"))
+    return search.hits.withColumn("score", F.round("score", 6))
+
+
 @query("flt7_metadata_filter", """
 SELECT doc_id, source, lang FROM documents WHERE source IN ('src1', 'src2') AND lang = 'en'
 """)
@@ -176,6 +202,43 @@ def document_chunks(t):
     return docs.embed(docs.chunk_recursive(base)).drop("metadata")
 
 
+def _letters_sql(text: str) -> str:
+    return "[" + ", ".join(f"CAST(length({text}) - length(replace({text}, '{c}', '')) AS DOUBLE)" for c in LETTERS) + "]"
+
+
+@query("ret5_retrieve_fixed", FIXED_SQL.replace("WITH win", "WITH RECURSIVE win") + f"""
+, vec AS (SELECT document_id, document_id || '-' || chunk_index AS chunk_id, content, 'doc ' || document_id AS title, {_letters_sql('content')} AS e FROM chunks),
+q AS (SELECT item_id AS query_id, text AS question, {_letters_sql('text')} AS qv FROM benchmark),
+scored AS (SELECT query_id, question, document_id, chunk_id, title, substring(content, 1, 500) AS chunk_content,
+  round(CASE WHEN list_sum(e) > 0 AND list_sum(qv) > 0 THEN list_cosine_similarity(qv, e) ELSE 0 END, 12) AS score FROM q, vec),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored QUALIFY rank <= 20),
+worded AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(chunk_content), '\\s+'), lambda w: w <> '')) AS w,
+  list_distinct(list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda w: w <> '')) AS qw FROM top WHERE score >= 0.3),
+walk AS (
+  SELECT query_id, 0 AS step, CAST([] AS VARCHAR[][]) AS kept, CAST([] AS VARCHAR[]) AS ids FROM (SELECT DISTINCT query_id FROM worded)
+  UNION ALL
+  SELECT query_id, step + 1, CASE WHEN new THEN list_append(kept, w) ELSE kept END, CASE WHEN new THEN list_append(ids, chunk_id) ELSE ids END
+  FROM (SELECT k.*, h.w, h.chunk_id, h.chunk_id IS NOT NULL AND len(list_filter(k.kept, lambda s: len(s) > 0 AND len(h.w) > 0 AND
+          len(list_intersect(s, h.w)) / (len(s) + len(h.w) - len(list_intersect(s, h.w))) >= 0.9)) = 0 AS new
+        FROM walk k LEFT JOIN worded h ON h.query_id = k.query_id AND h.rank = k.step + 1 WHERE k.step < 20)),
+kept AS (SELECT query_id, unnest(ids) AS chunk_id FROM walk WHERE step = 20),
+rated AS (SELECT w.*, CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, w)) / len(qw) ELSE 0.0 END AS overlap FROM worded w JOIN kept USING (query_id, chunk_id))
+SELECT query_id, chunk_id, document_id, title, ROUND(overlap, 6) AS score,
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, rank) AS INTEGER) AS rank FROM rated QUALIFY rank <= 10
+""".replace("ORDER BY overlap DESC, rank) AS INTEGER) AS rank FROM rated QUALIFY rank <= 10",
+            "ORDER BY overlap DESC, rated.rank) AS INTEGER) AS rank FROM rated QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, rated.rank) <= 10"))
+def retrieved_fixed(t):
+    """Benchmark passages against fixed chunks, through all steps, with counts of letters as vectors."""
+    def letters(text):
+        return F.array(*[(F.char_length(text) - F.char_length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
+
+    base = t.documents.select(F.col("doc_id").alias("document_id"), "text", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"))
+    chunks = cut_lineage(docs.embed(docs.chunk_fixed(base), letters).drop("metadata"))
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), letters(F.col("text")).alias("query_vector"))
+    out = ret.retrieve(asked, chunks, ret.RetrievalConfig(rerank=True))
+    return out.select("query_id", "chunk_id", "document_id", "title", "rank", F.round("score", 6).alias("score"))
+
+
 @query("ret5_retrieve")
 def retrieved(t):
     """Each benchmark passage as a question against every document chunk, through all steps."""

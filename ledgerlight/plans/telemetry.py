@@ -8,7 +8,7 @@ from ledgerlight.functions import maps
 from ledgerlight.operators import audit, rate_limit as limits, reports, telemetry as tel
 from ledgerlight.plans.answers import CONF_SQL, with_texts
 from ledgerlight.plans.registry import query
-from ledgerlight.streaming import jobs
+from ledgerlight.streaming import jobs, ordered
 
 LOG_SQL = """
 k AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
@@ -236,6 +236,44 @@ def admitted_stream(t):
     return jobs.run_available(decided, jobs.scratch(t.spark, "admitted"), jobs.scratch(t.spark, "progress"))
 
 
+@query("str1_rate_limit_in_order", ADMISSION_SQL)
+def admitted_in_order(t):
+    """Requests in any order of files; one row long after them ends the input."""
+    end = jobs.scratch(t.spark, "end")
+    ordered.end_of_input(t.events).write.parquet(end)
+    events = jobs.read_stream(t.spark, f"{t.folder}/events*.parquet", t.events.schema)
+    stream = events.unionAll(jobs.read_stream(t.spark, end, t.events.schema))
+    with ordered.rocksdb_state(t.spark):
+        decided = ordered.rate_limit_in_order(limited(stream), "31 days").where("event_id IS NOT NULL")
+        return jobs.run_available(decided, jobs.scratch(t.spark, "admitted"), jobs.scratch(t.spark, "progress"))
+
+
+@query("str2_usage_of_admitted", f"""
+SELECT li.event_id, COUNT(*) OVER w AS usage, COUNT(*) FILTER (WHERE a.admitted) OVER w AS admitted_usage
+FROM (WITH {LIMITED_SQL} SELECT * FROM li) li JOIN ({ADMISSION_SQL}) a ON a.event_id = li.event_id
+WINDOW w AS (PARTITION BY client_key ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)
+""")
+def usage_of_admitted(t):
+    """Requests and admitted requests of a client in the day up to each request."""
+    asked = limited(t.events)
+    let_through = asked.join(limits.rate_limit(asked).where("admitted").select("event_id"), "event_id")
+    return limits.usage(asked, 86_400, admitted=let_through)
+
+
+@query("str5_audit_groups", """
+SELECT event_id, event_type, ts AS timestamp, CAST(ts AS DATE) AS day, true AS small_group FROM events
+""")
+def audit_grouped(t):
+    """Every event is sent twice and stored once, in groups of at most a hundred."""
+    sent = [jobs.read_stream(t.spark, f"{t.folder}/events*.parquet", t.events.schema) for _ in range(2)]
+    rows = sent[0].unionAll(sent[1]).select("event_id", "event_type", F.col("ts").alias("timestamp"))
+    path = jobs.scratch(t.spark, "audit")
+    jobs.audit_groups_stream(rows, path, jobs.scratch(t.spark, "progress"), available_now=True).awaitTermination()
+    stored = t.spark.read.parquet(path).withColumn("group", F.input_file_name())
+    sizes = stored.groupBy("group").agg((F.count(F.lit(1)) <= jobs.AUDIT_GROUP).alias("small_group"))
+    return stored.join(sizes, "group").select("event_id", "event_type", "timestamp", "day", "small_group")
+
+
 @query("str5_audit_stream", """
 SELECT event_id, event_type, ts AS timestamp, CAST(ts AS DATE) AS day FROM events
 """)
@@ -262,6 +300,32 @@ def telemetry_windows(t):
     return out.withColumn("avg_ms", F.round("avg_ms", 6))
 
 
+@query("str6_window_percentiles", f"""
+WITH {LOG_SQL}
+SELECT CAST(ts AS DATE) AS day, operation, COUNT(*) AS calls, MIN(latency_ms) AS min_ms, MAX(latency_ms) AS max_ms,
+  true AS p50_in_band, true AS p95_in_band, true AS p99_in_band FROM log GROUP BY ALL
+""")
+def percentile_windows(t):
+    """Sketches of hours from the stream, merged into days; whether each percentile has its rank within the error."""
+    stream = jobs.read_stream(t.spark, f"{t.folder}/events*.parquet", t.events.schema)
+    hours = jobs.run_available(jobs.latency_sketches(as_log(stream), window="1 hour"), jobs.scratch(t.spark, "sketches"),
+                               jobs.scratch(t.spark, "progress"))
+    hours = jobs.with_open_windows(hours, log(t), jobs.latency_sketches, window="1 hour")
+    days = jobs.sketch_percentiles(hours.withColumn("day", F.col("window_start").cast("date")), ["day", "operation"])
+    names = [f"p{round(p * 100)}" for p in tel.PERCENTILES]
+    ranks = log(t).withColumn("day", F.col("ts").cast("date")).join(days, ["day", "operation"]).groupBy("day", "operation").agg(
+        *[F.count_if(F.col("latency_ms") < F.col(f"{n}_ms")).alias(f"{n}_below") for n in names],
+        *[F.count_if(F.col("latency_ms") <= F.col(f"{n}_ms")).alias(f"{n}_upto") for n in names])
+    slack = F.lit(jobs.rank_error()) * F.col("calls")
+
+    def in_band(name, p):
+        wanted = F.lit(p) * F.col("calls")
+        return ((F.col(f"{name}_below") <= wanted + slack) & (F.col(f"{name}_upto") >= wanted - slack)).alias(f"{name}_in_band")
+
+    return days.join(ranks, ["day", "operation"]).select(
+        "day", "operation", "calls", "min_ms", "max_ms", *[in_band(n, p) for n, p in zip(names, tel.PERCENTILES)])
+
+
 @query("fn5_sensitive_values", """
 SELECT event_id, user_id || '-' || event_type AS token_after, 'open' AS note_after, true AS token_hidden, true AS note_same FROM events
 """)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 QUESTIONS = ("id string, question string, intent string, expected_sql string, relevant_doc_ids array<string>")
@@ -10,9 +10,12 @@ FILE_ROWS = 1_000_000
 CSV_PREFACE = "# SQL Results"
 
 
-def read_questions(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """A JSON array of labelled questions; fields an item lacks are null or empty."""
-    df = spark.read.schema(QUESTIONS).option("multiLine", True).json(path)
+def read_questions(spark: SparkSession, path: str, limit: int | None = None, lines: bool = False) -> DataFrame:
+    """A JSON array of labelled questions; fields an item lacks are null or empty.
+
+    An array is read by one task a file; with ``lines`` a file has an object per line and is split among tasks.
+    """
+    df = spark.read.schema(QUESTIONS).option("multiLine", not lines).json(path)
     df = df.withColumn("relevant_doc_ids", F.coalesce("relevant_doc_ids", F.array().cast("array<string>")))
     return df if not limit else df.limit(limit)
 
@@ -34,8 +37,9 @@ def write_csv(df: DataFrame, path: str, preface: bool = True, mode: str = "overw
 
     Returns whether rows were written.
     """
-    df.write.mode(mode).option("header", True).csv(path)
-    rows = not df.sparkSession.read.schema(df.schema).option("header", True).csv(path).isEmpty()
+    seen = Observation("written")
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).option("header", True).csv(path)
+    rows = seen.get["rows"] > 0
     if rows and preface:
         spark = df.sparkSession
         spark.createDataFrame([(CSV_PREFACE,)], "value string").coalesce(1).write.mode(mode).text(f"{path}_preface")

@@ -60,26 +60,70 @@ def test_fixed_windows_match_slicing(spark, size, overlap):
         assert row.w == want
 
 
-def test_recursive_split():
+def plain_split(text, size, overlap, separators=docs.SEPARATORS):
+    """Recursive splitting of one text, step by step."""
+    at = next(i for i, s in enumerate(separators) if not s or s in text or i == len(separators) - 1)
+    separator, finer = separators[at], separators[at + 1:]
+    head, *tail = text.split(separator) if separator else list(text) or [""]
+    chunks, held = [], []
+
+    def emit(pieces):
+        if "".join(pieces).strip():
+            chunks.append("".join(pieces).strip())
+
+    for piece in [p for p in [head, *(separator + t for t in tail)] if p]:
+        if len(piece) >= size:
+            emit(held)
+            held = []
+            chunks.extend(plain_split(piece, size, overlap, finer) if finer else [piece])
+            continue
+        if held and len("".join(held)) + len(piece) > size:
+            emit(held)
+            while held and (len("".join(held)) > overlap or len("".join(held)) + len(piece) > size):
+                held.pop(0)
+        held.append(piece)
+    emit(held)
+    return chunks
+
+
+def split(spark, texts, size=1000, overlap=200, separators=docs.SEPARATORS):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    cut = df.select("i", docs.recursive_chunks("text", size, overlap, separators).alias("c"))
+    assert "Python" not in cut._jdf.queryExecution().executedPlan().toString()
+    return [r.c for r in cut.orderBy("i").collect()]
+
+
+def test_recursive_split(spark):
     text = "Chunk 1. " * 100 + "Chunk 2. " * 100
-    chunks = docs.split_recursive(text)
+    chunks, *rest = split(spark, [text, "", "short", "a" * 2500, None, " \n "])
     assert len(chunks) > 1 and all(0 < len(c) <= 1000 for c in chunks)
-    assert docs.split_recursive("") == [] and docs.split_recursive("short") == ["short"]
-    assert docs.split_recursive("a" * 2500, 1000, 200) == ["a" * 1000, "a" * 1000, "a" * 900]
-    assert docs.split_recursive("aa bb cc dd", 5, 3) == ["aa bb", "cc", "dd"]
-    assert docs.split_recursive("one\n\ntwo\n\nthree", 9, 0) == ["one\n\ntwo", "three"]
-    assert docs.split_recursive("aa bb cc dd", 6, 3) == ["aa bb", "bb cc", "cc dd"]
+    assert rest == [[], ["short"], ["a" * 1000, "a" * 1000, "a" * 900], None, []]
+    assert split(spark, ["aa bb cc dd"], 5, 3) == [["aa bb", "cc", "dd"]]
+    assert split(spark, ["one\n\ntwo\n\nthree"], 9, 0) == [["one\n\ntwo", "three"]]
+    assert split(spark, ["aa bb cc dd"], 6, 3) == [["aa bb", "bb cc", "cc dd"]]
 
 
-def test_recursive_split_keeps_every_word():
+def test_recursive_split_keeps_every_word(spark):
     rng = random.Random(2)
+    texts = []
     for _ in range(50):
-        words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 300))]
-        text = "".join(w + rng.choice([" ", " ", " ", ". ", "\n", "\n\n"]) for w in words)
-        chunks = docs.split_recursive(text, 80, 20)
+        words = ["".join(rng.choice("abcdefé") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 300))]
+        texts.append("".join(w + rng.choice([" ", " ", " ", ". ", "\n", "\n\n", "\n\n\n"]) for w in words))
+    for text, chunks in zip(texts, split(spark, texts, 80, 20)):
         assert all(len(c) <= 80 for c in chunks)
         joined = " ".join(chunks)
-        assert all(w in joined for w in words)
+        assert all(w in joined for w in text.replace(". ", " ").split())
+
+
+@pytest.mark.parametrize("size,overlap,separators", [(80, 20, docs.SEPARATORS), (30, 0, docs.SEPARATORS), (25, 24, docs.SEPARATORS),
+                                                     (40, 10, ("|", ".*", " ")), (12, 5, ("",))])
+def test_recursive_split_step_by_step(spark, size, overlap, separators):
+    rng = random.Random(size)
+    texts = []
+    for _ in range(60):
+        words = ["".join(rng.choice("abcdé") for _ in range(rng.choice([1, 3, 8, 30, 100]))) for _ in range(rng.randint(0, 60))]
+        texts.append("".join(w + rng.choice([" ", " ", ". ", "\n", "\n\n", "\n\n\n", "|", ".*", " \t "]) for w in words))
+    assert split(spark, texts, size, overlap, separators) == [plain_split(t, size, overlap, separators) for t in texts]
 
 
 def test_chunks_are_numbered_and_carry_metadata(files):

@@ -106,6 +106,23 @@ def test_models_and_text(spark):
     assert len(text["sensitivity"].sensitivity_npvs) == 5
 
 
+def test_ranges_come_from_the_request(spark):
+    ranges = {"discount_rate": (0.0, 0.1), "tax_rate": (0.2, 0.3)}
+    rows = [("a", ["tax_rate", "discount_rate", "unranged"], ranges), ("b", None, None), ("c", ["x"], ranges), ("d", None, ranges)]
+    df = spark.createDataFrame([(k, "sensitivity", FLOWS, {}, v, r) for k, v, r in rows],
+                               "k string, model_type string, cf array<double>, assumptions map<string,double>, v array<string>, r map<string,struct<low:double,high:double>>")
+    out = finance.explain_models(finance.run_models(finance.with_assumptions(df), variables="v", ranges="r"))
+    got = {r.k: r for r in out.collect()}
+    table = {x.variable: x.npvs for x in got["a"].sensitivity_table}
+    assert list(table) == ["tax_rate", "discount_rate"] and len(set(table["tax_rate"])) == 1
+    assert table["discount_rate"][0] == pytest.approx(sum(FLOWS)) and len(table["discount_rate"]) == 5
+    assert got["a"].explanation.splitlines()[2:] == [
+        "Sensitivity analysis shows NPV impact of key variables.",
+        *[f"{v}: NPV range ${min(n):,.0f} to ${max(n):,.0f}." for v, n in table.items()]]
+    assert [x.variable for x in got["b"].sensitivity_table] == ["discount_rate"] and got["b"].npv is not None
+    assert got["c"].sensitivity_table == [] and got["c"].npv is None and got["d"].sensitivity_table == []
+
+
 def test_params_from_text(spark):
     rows = [("Calculate NPV of cash flows [-100000, 30000, 40000.5] at 10% discount rate",),
             ("Build a DCF model with 15% discount rate and 3% terminal growth",), ("How are we doing?",)]
