@@ -12,8 +12,12 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+# The characters that Unicode counts as white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column | str) -> Column:
-    return F.regexp_replace(_col(text), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_col(text), F.lit(WHITE))
 
 
 def word_set(text: Column | str) -> Column:

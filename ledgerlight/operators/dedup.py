@@ -2,10 +2,12 @@
 
 Exact copies fold into one set first. For the rest any two similar sets share a word among the
 first few of each in one fixed order, rare words first, so sets meet in buckets by such a word
-(a prefix filter, which misses no pair). Large buckets are thinned around pivots before any
+(a prefix filter, which misses no pair). Sizes, the word's places and a bitmap of each set rule
+out most pairs before any words are compared. Large buckets are thinned around pivots before any
 pairs are formed: what lies within the threshold of a pivot joins the pivot's group at once,
 and by the triangle inequality of the Jaccard distance only what lies within twice that
 distance can still touch it. A bucket of m near copies thus costs m comparisons, not m squared.
+What is left of a large bucket is of unlike sets and is split by a second word.
 """
 
 from __future__ import annotations
@@ -16,12 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import text as tx
-from ledgerlight.session import cut_lineage
+from ledgerlight.functions.binding import bind
+from ledgerlight.session import cut_lineage, spread
 
 THRESHOLD = 0.9
 SMALL_BUCKET = 64
 PIVOT_ROUNDS = 8
+BITMAP = 4  # words of 64 bits
 _SLACK = 1e-9
+_BITS = [f"m{i}" for i in range(BITMAP)]
 
 
 def _similar(shared: Column, a: Column, b: Column) -> Column:
@@ -29,24 +34,36 @@ def _similar(shared: Column, a: Column, b: Column) -> Column:
 
 
 def word_sets(df: DataFrame, id_: str, text: str) -> DataFrame:
-    """(id, words, n, signature) of texts with words; equal sets have equal signatures."""
-    words = df.select(F.col(id_).alias("id"), F.array_sort(tx.word_set(text)).alias("words"))
-    return (words.where(F.size("words") > 0)
-            .select("id", "words", F.size("words").alias("n"), F.sha2(F.array_join("words", " "), 256).alias("signature")))
+    """(id, words, n, signature) of texts with words; equal sets have equal signatures.
+
+    They are written once, with the empty ones: a filter in the same plan would cut every text anew.
+    """
+    made = spread(df.select(F.col(id_).alias("id"), F.col(text).alias("text"))).select("id", bind(F.sort_array(tx.word_set("text")), lambda w: F.struct(
+        w.alias("words"), F.size(w).alias("n"), F.sha2(F.array_join(w, " "), 256).alias("signature"))).alias("s"))
+    return cut_lineage(made.select("id", "s.*")).where("n > 0")
 
 
 def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(token, id, n): the words of each set that a similar set must share one of, the rarest ones.
+    """(id, n, m0.., first): the bitmap of each set, and in ``first`` its rarest words, one more than a similar set must
+    share one of.
 
     Every word has its own place in the order, by its count and then by itself; counts are joined
     back to the words, and what is gathered per set is the set.
     """
     words = sets.select("id", "n", F.explode("words").alias("w"))
     counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    ordered = words.join(counts, "w").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("_o"))
-    keep = F.col("n") - F.ceil(threshold * F.col("n") - _SLACK) + 1
-    first = F.transform(F.slice("_o", F.lit(1), keep.cast("int")), lambda x: x["w"])
-    return ordered.select(F.explode(first).alias("token"), "id", "n")
+    bit = F.pmod(F.xxhash64("w"), F.lit(64 * BITMAP))
+    maps = [F.bit_or(F.when(F.floor(bit / 64) == i, F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")))
+                     .otherwise(F.lit(0).cast("long"))).alias(m) for i, m in enumerate(_BITS)]
+    ordered = words.join(counts, "w").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "w"))).alias("_o"), *maps)
+    keep = F.col("n") - F.ceil(threshold * F.col("n") - _SLACK) + 2
+    return ordered.select("id", "n", *_BITS, F.transform(F.slice("_o", F.lit(1), keep.cast("int")), lambda x: x["w"]).alias("first"))
+
+
+def _prefix_rows(prefixes: DataFrame, threshold: float) -> DataFrame:
+    """(token, at, id, n, m0..): a row for each word that a similar set must share one of, and the word's place."""
+    least = (F.col("n") - F.ceil(threshold * F.col("n") - _SLACK) + 1).cast("int")
+    return prefixes.select(F.posexplode(F.slice("first", F.lit(1), least)).alias("at", "token"), "id", "n", *_BITS)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, floor: float) -> DataFrame:
@@ -63,6 +80,26 @@ def _sizes_allow(a: str, b: str, floor: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * floor - _SLACK
 
 
+def _maps_allow(x: str, y: str, floor: float) -> Column:
+    """Whether sizes and bitmaps of two rows leave room for the similarity ``floor``.
+
+    A bit that only one set has stands for a word or more that only it has.
+    """
+    def only(one: str, other: str) -> Column:
+        return reduce(lambda s, t: s + t, [F.bit_count(F.col(f"{one}.{m}").bitwiseAND(F.bitwise_not(F.col(f"{other}.{m}")))) for m in _BITS])
+
+    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
+    shared = F.ceil((a + b) * floor / (1 + floor) - _SLACK)
+    return _sizes_allow(a, b, floor) & (only(x, y) <= a - shared) & (only(y, x) <= b - shared)
+
+
+def _places_allow(x: str, y: str, floor: float) -> Column:
+    """Whether the sets can be similar if the word they meet in is the first they share, as it is in one of their buckets."""
+    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
+    rest = F.least(a - F.col(f"{x}.at"), b - F.col(f"{y}.at"))
+    return rest >= F.ceil((a + b) * floor / (1 + floor) - _SLACK)
+
+
 def similar_edges(sets: DataFrame, threshold: float = THRESHOLD, small: int = SMALL_BUCKET, rounds: int = PIVOT_ROUNDS) -> DataFrame:
     """Edges (a, b, similarity) that connect exactly what the threshold graph connects.
 
@@ -70,7 +107,8 @@ def similar_edges(sets: DataFrame, threshold: float = THRESHOLD, small: int = SM
     pivot and none among themselves.
     """
     reach = 2 * threshold - 1
-    rows = _prefixes(sets, threshold)
+    prefixes = cut_lineage(_prefixes(sets, threshold))
+    rows = _prefix_rows(prefixes, threshold)
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("token")
     rows = cut_lineage(rows.join(shared, "token", "left_semi"))
     edges: list[DataFrame] = []
@@ -79,30 +117,50 @@ def similar_edges(sets: DataFrame, threshold: float = THRESHOLD, small: int = SM
         large = sizes.where(F.col("_c") > small).select("token", "pivot")
         if large.isEmpty():
             break
+        large = cut_lineage(large)
         # One pivot row per bucket meets the bucket's rows; a hot bucket's rows stay spread.
-        pivot_n = sets.select(F.col("id").alias("pivot"), F.col("n").alias("_pn"))
-        met = rows.join(large.join(pivot_n, "pivot"), "token")
-        asked = met.where((F.col("id") != F.col("pivot")) & _sizes_allow("n", "_pn", reach))
-        near = _verified(asked.select(F.col("pivot").alias("a"), F.col("id").alias("b")), sets, reach)
+        pivots = large.join(prefixes.select(F.col("id").alias("pivot"), "n", *_BITS), "pivot").alias("y")
+        met = cut_lineage(rows.alias("x").join(pivots, "token").select(
+            "token", "x.at", "x.id", "x.n", *[f"x.{m}" for m in _BITS], "pivot",
+            (_maps_allow("x", "y", reach) & (F.col("id") != F.col("pivot"))).alias("_may")))
+        near = _verified(met.where("_may").select(F.col("pivot").alias("a"), F.col("id").alias("b")), sets, reach)
         near = cut_lineage(near.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "similarity"))
-        placed = cut_lineage(met.join(near, ["pivot", "id"], "left"))
+        placed = cut_lineage(met.where("_may").join(near, ["pivot", "id"]))
         inside = placed.where(F.col("similarity") >= threshold - _SLACK)
         ring = placed.where(F.col("similarity") < threshold - _SLACK)
         edges.append(near.where(F.col("similarity") >= threshold - _SLACK)
                      .select(F.col("pivot").alias("a"), F.col("id").alias("b"), "similarity"))
-        crossing = (inside.select("token", F.col("id").alias("a"), F.col("n").alias("_na"), F.col("similarity").alias("_sa"))
-                    .join(ring.select("token", F.col("id").alias("b"), F.col("n").alias("_nb"), F.col("similarity").alias("_sb")), "token")
-                    .where((F.abs(F.col("_sa") - F.col("_sb")) <= 1 - threshold + _SLACK) & _sizes_allow("_na", "_nb", threshold)))
+        apart = F.abs(F.col("x.similarity") - F.col("y.similarity")) <= 1 - threshold + _SLACK
+        crossing = inside.alias("x").join(ring.alias("y"), "token").where(apart & _maps_allow("x", "y", threshold)) \
+            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         edges.append(_verified(crossing, sets, threshold))
         done = inside.select("token", "id").unionByName(large.select("token", F.col("pivot").alias("id")))
         rows = cut_lineage(rows.join(done, ["token", "id"], "left_anti"))
-    a, b = rows.select("token", F.col("id").alias("a"), F.col("n").alias("_na")), rows.select("token", F.col("id").alias("b"), F.col("n").alias("_nb"))
-    rest = a.join(b, "token").where((F.col("a") < F.col("b")) & _sizes_allow("_na", "_nb", threshold))
-    edges.append(_verified(rest, sets, threshold))
+    edges.append(_verified(_left_over(rows, prefixes, threshold, small), sets, threshold))
     every = reduce(lambda x, y: x.unionByName(y), edges)
     return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").distinct()
 
 
+def _left_over(rows: DataFrame, prefixes: DataFrame, threshold: float, small: int) -> DataFrame:
+    """Pairs (a, b) of the buckets that may be similar.
+
+    Similar sets share two words among their first ones if that is one more than must have one in common. So the rows of
+    a large bucket are dealt to one bucket for each other word they may share.
+    """
+    sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_c"))
+    large = cut_lineage(sizes.where(F.col("_c") > small).select("token"))
+    if large.isEmpty() or threshold <= 0.5:
+        split = rows.withColumn("second", F.lit(""))
+    else:
+        seconds = rows.join(large, "token").join(prefixes.select("id", "first"), "id").withColumn("second", F.explode("first")) \
+            .where(F.col("second") != F.col("token"))
+        split = rows.join(large, "token", "left_anti").withColumn("second", F.lit("")).unionByName(seconds.drop("first"))
+    x, y = split.alias("x"), split.alias("y")
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.second") == F.col("y.second"))
+    return x.join(y, same & (F.col("x.id") < F.col("y.id")) & _maps_allow("x", "y", threshold) & _places_allow("x", "y", threshold)) \
+        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
 def connected_groups(edges: DataFrame) -> DataFrame:
     """(id, group_id) of every id with an edge, the group being its lowest id.
 
@@ -111,6 +169,7 @@ def connected_groups(edges: DataFrame) -> DataFrame:
     aggregated in parts.
     """
     current = cut_lineage(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct())
+    before = None
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("_m"))
@@ -121,10 +180,11 @@ def connected_groups(edges: DataFrame) -> DataFrame:
         step = cut_lineage(hooked.select(F.col("_m").alias("a"), F.col("v").alias("b"))
                            .unionByName(least.select(F.col("_m").alias("a"), F.col("u").alias("b")))
                            .where(F.col("a") != F.col("b")).distinct())
-        # Both are sets of edges, so equal size and nothing left over means nothing moved.
-        if step.count() == current.count() and step.join(current, ["a", "b"], "left_anti").isEmpty():
+        # Edges only ever move to lower ids, so a round that moves none leaves their number and sum as they were.
+        sums = step.agg(F.count(F.lit(1)), *[F.sum(F.xxhash64(F.lit(i), "a", "b").cast("decimal(38,0)")) for i in (1, 2)]).first()
+        if sums == before:
             break
-        current = step
+        current, before = step, sums
     members = step.select(F.col("b").alias("id"), F.col("a").alias("group_id"))
     return members.unionByName(step.select(F.col("a").alias("id"), F.col("a").alias("group_id")).distinct())
 
@@ -135,19 +195,29 @@ def near_copies(df: DataFrame, id_: str, text: str, threshold: float = THRESHOLD
     One row per text however large a group is. Groups are joined by links of ``threshold`` or
     more, so a text may be less similar to its group's lowest one. Null for texts without words.
     """
-    groups = dedup_corpus(df, id_, text, threshold, **tuning).withColumnRenamed(id_, "id")
     sets = word_sets(df, id_, text)
-    named = groups.join(sets.select("id", F.col("words").alias("_w")), "id", "left").join(
-        sets.select(F.col("id").alias("group_id"), F.col("words").alias("_g")), "group_id", "left")
+    groups = cut_lineage(_grouped(sets, threshold, **tuning))
+    # Words are compared only where a text is no exact copy of its group's lowest one.
+    lowest = groups.join(sets.select(F.col("id").alias("group_id"), F.col("signature").alias("_own")), "group_id")
+    unlike = lowest.where("signature <> _own").select("signature", "group_id").distinct()
+    words = sets.groupBy("signature").agg(F.first("words").alias("words"))
+    both = unlike.join(words.withColumnRenamed("words", "_w"), "signature").join(
+        sets.select(F.col("id").alias("group_id"), F.col("words").alias("_g")), "group_id")
     shared = F.size(F.array_intersect("_w", "_g"))
-    similarity = F.when(F.col("_w").isNotNull(), _similar(shared, F.size("_w"), F.size("_g")))
-    return named.select(F.col("id").alias(id_), "group_id", similarity.alias("similarity"))
+    measured = both.select("signature", "group_id", _similar(shared, F.size("_w"), F.size("_g")).alias("_s"))
+    similar = lowest.join(measured, ["signature", "group_id"], "left").select("id", "group_id", F.coalesce("_s", F.lit(1.0)).alias("similarity"))
+    return (df.select(F.col(id_).alias("id")).join(similar, "id", "left")
+            .select(F.col("id").alias(id_), F.coalesce("group_id", "id").alias("group_id"), "similarity"))
 
 
-def _representatives(sets: DataFrame) -> DataFrame:
-    """Each distinct word set once, under its lowest id."""
-    first = sets.groupBy("signature").agg(F.min("id").alias("id"))
-    return cut_lineage(sets.join(first.select("id"), "id", "left_semi").select("id", "words", "n"))
+def _grouped(sets: DataFrame, threshold: float, **tuning: int) -> DataFrame:
+    """(id, signature, group_id) of every text with words."""
+    first = cut_lineage(sets.groupBy("signature").agg(F.min("id").alias("first_id")))
+    distinct = cut_lineage(sets.join(first.select(F.col("first_id").alias("id")), "id", "left_semi").select("id", "words", "n"))
+    groups = connected_groups(similar_edges(distinct, threshold, **tuning))
+    folded = first.join(groups.withColumnRenamed("id", "first_id"), "first_id", "left") \
+        .select("signature", F.coalesce("group_id", "first_id").alias("group_id"))
+    return sets.select("id", "signature").join(folded, "signature")
 
 
 def dedup_corpus(df: DataFrame, id_: str, text: str, threshold: float = THRESHOLD, **tuning: int) -> DataFrame:
@@ -155,11 +225,6 @@ def dedup_corpus(df: DataFrame, id_: str, text: str, threshold: float = THRESHOL
 
     Texts without words are nobody's copy.
     """
-    sets = word_sets(df, id_, text)
-    first = sets.groupBy("signature").agg(F.min("id").alias("first_id"))
-    groups = connected_groups(similar_edges(_representatives(sets), threshold, **tuning))
-    folded = first.join(groups.withColumnRenamed("id", "first_id"), "first_id", "left") \
-        .select("signature", F.coalesce("group_id", "first_id").alias("group_id"))
-    grouped = sets.select("id", "signature").join(folded, "signature").select("id", "group_id")
+    grouped = _grouped(word_sets(df, id_, text), threshold, **tuning).select("id", "group_id")
     return (df.select(F.col(id_).alias("id")).join(grouped, "id", "left")
             .select(F.col("id").alias(id_), F.coalesce("group_id", "id").alias("group_id")))

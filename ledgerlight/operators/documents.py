@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ledgerlight.functions import text as tx
 from ledgerlight.functions.binding import bind
+from ledgerlight.session import spread
 
 # Limits and formats of an upload.
 MAX_DOCUMENT_BYTES = 50 * 1024 * 1024
@@ -235,10 +236,12 @@ def _chunk(df: DataFrame, pieces: Column, document_id: str) -> DataFrame:
     meta = F.map_concat(F.map_filter("metadata", lambda k, _v: k != "document_title"),
                         F.create_map(F.lit("document_title"), F.col("title"))) \
         if {"metadata", "title"} <= set(df.columns) else F.lit(None).cast("map<string,string>")
-    cut = df.select(document_id, *keep, meta.alias("metadata"), pieces.alias("_pieces"))
-    return (cut.select(document_id, *keep, "metadata", F.size("_pieces").alias("chunk_count"),
-                       F.posexplode("_pieces").alias("chunk_index", "content"))
-            .withColumn("chunk_id", F.concat_ws("-", F.col(document_id).cast("string"), F.col("chunk_index").cast("string"))))
+    # Each chunk carries its number and the count, so the cut stands in the plan once and is worked out once.
+    numbered = bind(pieces, lambda all_: F.transform(all_, lambda x, i: F.struct(
+        F.size(all_).alias("chunk_count"), i.alias("chunk_index"), x.alias("content"))))
+    cut = df.select(document_id, *keep, meta.alias("metadata"), F.explode(numbered).alias("_c"))
+    return cut.select(document_id, *keep, "metadata", "_c.chunk_count", "_c.chunk_index", "_c.content") \
+        .withColumn("chunk_id", F.concat_ws("-", F.col(document_id).cast("string"), F.col("chunk_index").cast("string")))
 
 
 def chunk_fixed(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, text: str = "text",
@@ -248,7 +251,7 @@ def chunk_fixed(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVER
 
 def chunk_recursive(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, text: str = "text",
                     document_id: str = "document_id") -> DataFrame:
-    return _chunk(df, recursive_chunks(text, size, overlap), document_id)
+    return _chunk(spread(df), recursive_chunks(text, size, overlap), document_id)
 
 
 def chunk_stats(chunks: DataFrame, document_chars: DataFrame, strategy: str, document_id: str = "document_id") -> DataFrame:

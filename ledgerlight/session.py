@@ -58,3 +58,13 @@ def cut_lineage(df: DataFrame, into: SparkSession | None = None) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return (into or df.sparkSession).read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows, dealt evenly if the input has fewer partitions than there are slots for tasks.
+
+    A small file is one or two pieces of work however many cores are free. A larger input is left as it lies: moving
+    it would cost more than it brings.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df

@@ -23,13 +23,11 @@ def read_questions(spark: SparkSession, path: str, limit: int | None = None, lin
 def write_chunks(chunks: DataFrame, path: str, mode: str = "append") -> None:
     """Chunk store as Parquet, one folder per source, so a source filter reads only its own.
 
-    Rows are spread by source and a hash of the chunk into as many groups as the largest source
-    needs at ``FILE_ROWS`` a file, so a source holding most chunks is written by many tasks.
+    Rows are rebalanced by source while they are written: sizes are known from the shuffle, small sources share a task, and
+    one that holds most chunks is written by many.
     """
-    largest = chunks.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    writers = max(1, -(-largest // FILE_ROWS))
-    spread = chunks.repartition("source", F.pmod(F.xxhash64("chunk_id"), F.lit(writers)))
-    spread.write.mode(mode).partitionBy("source").parquet(path)
+    spread = chunks.hint("rebalance", "source")
+    spread.write.mode(mode).option("maxRecordsPerFile", FILE_ROWS).partitionBy("source").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, preface: bool = True, mode: str = "overwrite") -> bool:

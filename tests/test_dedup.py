@@ -44,6 +44,25 @@ def test_groups_equal_brute_force(spark, rows, threshold, small, rounds):
     assert got == brute(rows, threshold)
 
 
+@pytest.mark.parametrize("small, rounds", [(2, 0), (2, 1), (64, 0)])
+def test_common_words_do_not_lose_pairs(spark, small, rounds):
+    """Every word is in most sets, so all buckets are large and are split by a second word."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(40)]
+    made = []
+    for i in range(120):
+        words = set(rng.sample(vocabulary, 30)) if i % 3 or not made else set(made[rng.randrange(len(made))][1].split())
+        if i % 3 == 0 and rng.random() < 0.8:
+            words ^= {rng.choice(vocabulary)}
+        made.append((i, " ".join(sorted(words))))
+    df = spark.createDataFrame(made, "id long, text string").repartition(3)
+    got = {r.id: r for r in dedup.near_copies(df, "id", "text", small=small, rounds=rounds).collect()}
+    want = brute(made, 0.9)
+    assert {i: r.group_id for i, r in got.items()} == want
+    sets = {i: set(t.split()) for i, t in made}
+    assert all(abs(r.similarity - len(sets[i] & sets[r.group_id]) / len(sets[i] | sets[r.group_id])) < 1e-9 for i, r in got.items())
+
+
 def test_a_chain_is_one_group(spark):
     edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(40)] + [(100, 101, 1.0)], "a long, b long, similarity double")
     groups = {r.id: r.group_id for r in dedup.connected_groups(edges).collect()}
