@@ -51,8 +51,8 @@ def unpack_sorted(body: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Small non-negative numbers, byte by byte and compressed."""
-    width = 4 if not len(counts) or counts.max() < 1 << 32 else 8
+    """Whole numbers, mostly small ones, byte by byte and compressed."""
+    width = 4 if not len(counts) or (counts.min() >= 0 and counts.max() < 1 << 32) else 8
     raw = counts.astype(np.uint32 if width == 4 else np.uint64).view(np.uint8).reshape(-1, width).T.tobytes()
     return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(raw)
 

@@ -42,6 +42,7 @@ from ledgerlight.session import cut_lineage, ensure_checkpoint_dir
 SPAN, GRAM = 50, 20
 BLOCK_BYTES = 4 << 20
 RANGE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20  # contexts sorted at once in a shard; memory follows this and not the shard
 #: An anchor in more documents than this sends its strings out one by one.
 HOT_DOCS = 5_000
 LAST = (1 << 63) - 1
@@ -246,6 +247,17 @@ def first_documents(data: np.ndarray, size: np.ndarray, earliest: np.ndarray) ->
     return out
 
 
+def pieces(key: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
+    """Contexts in order of key cut into runs of about ``PIECE_BYTES``, none of them within a key.
+
+    Equal strings have equal anchors, so what is sorted together need not be more than that.
+    """
+    heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    turn = (np.cumsum(size) - size)[heads] // PIECE_BYTES
+    cuts = [*heads[np.concatenate(([True], turn[1:] != turn[:-1]))].tolist(), len(key)]
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
 def _resolve(group: pd.DataFrame) -> pd.DataFrame:
     """One shard: the first document of each string of each context of each block, as runs."""
     keys = [unpack_sorted(x) for x in group["keys"]]
@@ -267,8 +279,10 @@ def _resolve(group: pd.DataFrame) -> pd.DataFrame:
     before = np.concatenate(([0], np.cumsum(strings)))
     firsts = np.repeat(least, strings)
     if several.any():
-        own = chosen[several]
-        firsts[np.repeat(several, strings)] = first_documents(_spans(data, end[own] - sizes[own], end[own]), sizes[own], least[several])
+        own, own_least = chosen[several], least[several]
+        found = [first_documents(_spans(data, end[own[a:b]] - sizes[own[a:b]], end[own[a:b]]), sizes[own[a:b]], own_least[a:b])
+                 for a, b in pieces(key[own], sizes[own])]
+        firsts[np.repeat(several, strings)] = np.concatenate(found)
     out, done = [], 0
     for own in keys:
         mine = context[done:done + len(own)]
