@@ -5,6 +5,7 @@ All functions treat a null text as an empty one. Hashes are 64 bits wide and dep
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+LONG_WORD = 32  # bytes; longer words are hashed one by one
 SLICE_BYTES = 1 << 19  # text worked on at once in a task; a longer text is a slice of its own
 
 _BASE = 0x9E3779B97F4A7C15
@@ -157,8 +159,14 @@ def span_sums(data: np.ndarray, length: int) -> np.ndarray:
 
 
 def word_hashes(texts: Texts, kind: str, lower: bool = True) -> tuple[Words, np.ndarray]:
+    """Words and the hash of each. Sums modulo a power of two are equal for some long strings, so those have a digest."""
     found = words(texts, kind)
-    return found, span_hashes(LOWER[texts.data] if lower else texts.data, found.starts, found.ends)
+    data = LOWER[texts.data] if lower else texts.data
+    hashes = span_hashes(data, found.starts, found.ends)
+    for i in np.flatnonzero(found.ends - found.starts > LONG_WORD):
+        digest = hashlib.blake2b(data[found.starts[i]:found.ends[i]].tobytes(), digest_size=8).digest()
+        hashes[i] = int.from_bytes(digest, "little")
+    return found, hashes
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
