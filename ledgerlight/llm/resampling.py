@@ -111,7 +111,7 @@ def count_models(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
 
     schema = "chunk long, body binary, docs long, targets long"
     # A salt sums what many tasks send in two steps; what comes back has the fixed size of the model.
-    parts = binary_text(rows).mapInArrow(count, schema).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(16)))
+    parts = binary_text(rows).mapInArrow(count, schema).withColumn("salt", F.spark_partition_id() % 16)
     first = parts.groupBy("chunk", "salt").applyInPandas(
         lambda group: _packed(add(group)), schema)
     chunks = first.groupBy("chunk").applyInPandas(add, schema).collect()
