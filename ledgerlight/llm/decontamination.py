@@ -198,9 +198,11 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
     """
     automata = build_automata(benchmark, window)
     at = docs.columns.index(text)
+    # Tasks take columns by name, and a name may have a dot; so they go under numbers.
+    plain, body_name = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), f"c{at}"
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in slices(batches, text):
+        for texts in slices(batches, body_name):
             keep, changed, bodies = [], False, []
             nulls = texts.rows.column(at).is_null().to_pylist()
             for i in range(len(texts)):
@@ -215,8 +217,9 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
                 out = out.set_column(at, out.schema.field(at), pa.array(bodies, out.column(at).type))
             yield out.filter(pa.array(keep))
 
-    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text else f.dataType) for f in docs.schema])
-    return binary_text(docs, text).mapInArrow(clean, schema).withColumn(text, F.col(text).cast("string"))
+    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == body_name else f.dataType) for f in plain.schema])
+    cleaned = binary_text(plain, body_name).mapInArrow(clean, schema)
+    return cleaned.withColumn(body_name, F.col(body_name).cast("string")).toDF(*docs.columns)
 
 
 def items_digest(ids: list[str]) -> str:

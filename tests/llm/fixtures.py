@@ -8,13 +8,14 @@ from pyspark.sql import types as T
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
                      T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
                      T.StructField("n_chars", T.LongType()), T.StructField("key", T.StringType()),
-                     T.StructField("part", T.LongType()), T.StructField("node", T.StringType())])
+                     T.StructField("part", T.LongType()), T.StructField("node", T.StringType()),
+                     *[T.StructField(name, T.LongType()) for name in ("mark", "finger", "row", "gone", "hash", "_id", "x.y")]])
 
 
 def documents(spark, texts, langs=None, sources=None, ids=None):
     """Documents with extra columns whose names operators use inside."""
     ids = range(len(texts)) if ids is None else ids
-    rows = [(i, t, langs[k] if langs else "en", sources[k] if sources else "a", None if t is None else len(t), "x", 7, "y")
+    rows = [(i, t, langs[k] if langs else "en", sources[k] if sources else "a", None if t is None else len(t), "x", 7, "y", *range(7))
             for k, (i, t) in enumerate(zip(ids, texts))]
     return spark.createDataFrame(rows, DOCS)
 

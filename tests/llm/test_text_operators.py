@@ -163,12 +163,13 @@ def test_suffix_order_like_sorting():
             assert common[k] == same
 
 
-@pytest.mark.parametrize("hot", [5_000, 2])
-def test_repeats_like_brute_force(spark, hot, monkeypatch):
+@pytest.mark.parametrize("hot,piece,low,step", [(5_000, 1 << 20, 0, 1), (2, 300, -20, 1), (5_000, 300, -(2**40), 2**35)])
+def test_repeats_like_brute_force(spark, hot, piece, low, step, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_DOCS", hot)
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", piece)
     texts = corpus(4, n=40)
     texts += ["é" * 60, "ab" + "é" * 60, "q" * 49, "q" * 49, "q" * 50, "q" * 70, texts[0], texts[0], "\x00\x01" * 40, "z\x00\x01" * 40]
-    ids = [*range(len(texts) - 2), None, len(texts) * 2]
+    ids = [low + step * i for i in range(len(texts) - 2)] + [None, low + step * len(texts) * 2]
     rng = np.random.default_rng(0)
     order = rng.permutation(len(texts))
     docs = documents(spark, [texts[k] for k in order], ids=[ids[k] for k in order]).repartition(3)
@@ -221,6 +222,16 @@ def test_groups_like_brute_force(spark, width, num, light, block, monkeypatch):
     assert got == brute_groups(texts, ids, width, num, 100)
 
 
+@pytest.mark.parametrize("power", [10, 12])
+def test_long_words_are_told_apart(spark, power):
+    """Words whose polynomial hashes modulo a power of two are equal for every base."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << power)]
+    first, second = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    texts = [f"one two {w} three four" for w in (first, second, first)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_groups(documents(spark, texts), 3, 90, 100).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
 def test_one_of_each_keeps_columns_and_clean_texts(spark):
     base = " ".join(f"w{i}" for i in range(100))
     texts = [base, base + " more", "another text with words of its own", None, "", base, None]
