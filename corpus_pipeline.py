@@ -28,8 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of two or more lines that stand earlier in the corpus go from the text."""
     cleaned = drop_passages(docs)
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(
-        F.col("row.n_chars"))}
-    return cleaned.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+        F.col("row")["n_chars"])}
+    return cleaned.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
