@@ -156,11 +156,12 @@ def faithfulness(df: DataFrame, answer: str = "answer") -> DataFrame:
     Needs ``has_sql``, ``has_financial``, ``has_forecast`` and ``documents``, an array of
     structs (document_id, title) cut to the answer's hits.
     """
-    documents = F.coalesce("documents", F.array().cast("array<struct<document_id:string,title:string>>"))
+    named = F.transform("documents", lambda d: F.struct(d["document_id"].cast("string").alias("document_id"), d["title"].alias("title")))
+    documents = F.coalesce(named, F.array().cast("array<struct<document_id:string,title:string>>"))
 
     def valid(citation: Column) -> Column:
         kind, key = citation["type"], citation["id"]
-        in_documents = F.exists(documents, lambda d: (d["document_id"].cast("string") == key) | (d["title"] == key))
+        in_documents = F.exists(documents, lambda d: (d["document_id"] == key) | (d["title"] == key))
         return F.coalesce(
             F.when(kind == "document", in_documents)
             .when(kind == "sql", F.col("has_sql"))

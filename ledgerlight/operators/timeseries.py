@@ -53,21 +53,37 @@ def grid_between(first: Column, last: Column, freq: str) -> Column:
     return F.filter(F.transform(days, lambda d: period_end(d, freq)), lambda d: (d >= first) & (d <= last))
 
 
-def calendar(df: DataFrame, freq: str) -> DataFrame:
-    """(series_id, ds) for every period end between a series' first and last date."""
+def calendar(df: DataFrame, freq: str, block_days: int | None = None) -> DataFrame:
+    """(series_id, ds) for every period end between a series' first and last date.
+
+    With ``block_days`` a span is laid out in stretches of so many days, which tasks share.
+    """
     spans = df.groupBy("series_id").agg(F.min("ds").alias("_first"), F.max("ds").alias("_last"))
+    if block_days:
+        starts = F.sequence("_first", "_last", F.expr(f"INTERVAL {block_days} DAYS"))
+        spans = spans.select("series_id", F.explode(starts).alias("_first"), "_last").repartition("series_id", "_first").withColumn(
+            "_last", F.least("_last", F.date_add("_first", block_days - 1)))
     return spans.select("series_id", F.explode(grid_between(F.col("_first"), F.col("_last"), freq)).alias("ds"))
 
 
-def as_freq(df: DataFrame, freq: str) -> DataFrame:
+def doubled_days(df: DataFrame) -> DataFrame:
+    """(series_id, ds, n): days on which a series has several rows, which have no place on a grid."""
+    return df.groupBy("series_id", "ds").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def as_freq(df: DataFrame, freq: str, doubled: str = "error", block_days: int | None = None) -> DataFrame:
     """The series on its regular grid; only rows exactly on a grid day keep their value.
 
-    Two rows of a series on one day are an error, as which of them counts is not defined.
+    Which of two rows of a series on one day counts is not defined: they are an error, or with ``doubled="gap"`` the day is
+    a gap, and :func:`doubled_days` tells which ones are. ``block_days`` is for series of very many days.
     """
-    twice = F.raise_error(F.lit("a series has two rows on one day; resample it first")).cast("double")
+    if doubled not in ("error", "gap"):
+        raise ValueError(f"doubled days are an error or a gap, not: {doubled}")
+    twice = F.lit(None).cast("double") if doubled == "gap" else \
+        F.raise_error(F.lit("a series has two rows on one day; resample it first")).cast("double")
     unique = df.groupBy("series_id", "ds").agg(F.count(F.lit(1)).alias("_n"), F.max("y").alias("_y"))
     unique = unique.select("series_id", "ds", F.when(F.col("_n") > 1, twice).otherwise(F.col("_y")).alias("y"))
-    return calendar(df, freq).join(unique, ["series_id", "ds"], "left")
+    return calendar(df, freq, block_days).join(unique, ["series_id", "ds"], "left")
 
 
 def resample(df: DataFrame, freq: str, agg: str = "sum") -> DataFrame:
@@ -77,8 +93,42 @@ def resample(df: DataFrame, freq: str, agg: str = "sum") -> DataFrame:
     return calendar(buckets, freq).join(buckets, ["series_id", "ds"], "left")
 
 
-def interpolate_time(df: DataFrame) -> DataFrame:
-    """Fills gaps in proportion to time; after the last value it stays, before the first it is null."""
+def _filled(marked: DataFrame) -> DataFrame:
+    """Values between the known ones ``_before`` and ``_after`` of each row."""
+    b, a = F.col("_before"), F.col("_after")
+    share = F.date_diff(F.col("ds"), b["ds"]) / F.date_diff(a["ds"], b["ds"])
+    return marked.select("series_id", "ds", F.coalesce(F.col("y"), b["y"] + (a["y"] - b["y"]) * share, b["y"]).alias("y"))
+
+
+def _interpolate_blocks(df: DataFrame, block_days: int) -> DataFrame:
+    """The same in blocks of time, which are filled side by side and hand their first and last known value on.
+
+    What is ordered per series is a row per block.
+    """
+    known = F.when(F.col("y").isNotNull(), F.struct("ds", "y"))
+    # Dealt by series and block here, or a join by series alone further up would leave a series in one task.
+    rows = df.withColumn("_block", F.floor(F.unix_date("ds") / block_days)).repartition("series_id", "_block")
+    blocks = rows.groupBy("series_id", "_block").agg(F.min(known).alias("_least"), F.max(known).alias("_most"))
+    earlier = Window.partitionBy("series_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("series_id").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    edges = blocks.select("series_id", "_block", F.last("_most", ignorenulls=True).over(earlier).alias("_from"),
+                          F.last("_least", ignorenulls=True).over(later).alias("_to"))
+    inside = Window.partitionBy("series_id", "_block")
+    back = inside.orderBy("ds").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = inside.orderBy(F.desc("ds")).rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.join(edges, ["series_id", "_block"]).select(
+        "series_id", "ds", "y", F.coalesce(F.last(known, ignorenulls=True).over(back), "_from").alias("_before"),
+        F.coalesce(F.last(known, ignorenulls=True).over(ahead), "_to").alias("_after"))
+    return _filled(marked)
+
+
+def interpolate_time(df: DataFrame, block_days: int | None = None) -> DataFrame:
+    """Fills gaps in proportion to time; after the last value it stays, before the first it is null.
+
+    A series is one task's unless ``block_days`` cuts its time into blocks, for series too long for one.
+    """
+    if block_days:
+        return _interpolate_blocks(df, block_days)
     # Both frames grow with the row; a frame that shrinks would be rebuilt for every row.
     by_series = Window.partitionBy("series_id")
     back = by_series.orderBy("ds").rowsBetween(Window.unboundedPreceding, 0)
@@ -86,10 +136,7 @@ def interpolate_time(df: DataFrame) -> DataFrame:
     known = F.when(F.col("y").isNotNull(), F.struct("ds", "y"))
     marked = df.withColumn("_before", F.last(known, ignorenulls=True).over(back)) \
         .withColumn("_after", F.last(known, ignorenulls=True).over(ahead))
-    b, a = F.col("_before"), F.col("_after")
-    share = F.date_diff(F.col("ds"), b["ds"]) / F.date_diff(a["ds"], b["ds"])
-    filled = F.coalesce(F.col("y"), b["y"] + (a["y"] - b["y"]) * share, b["y"])
-    return marked.select("series_id", "ds", filled.alias("y"))
+    return _filled(marked)
 
 
 def infer_freq(df: DataFrame) -> DataFrame:

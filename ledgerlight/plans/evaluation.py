@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlight.operators import answers as ans
 from ledgerlight.operators import evaluation as ev
 from ledgerlight.plans import answers as asked
 from ledgerlight.plans import retrieval as found
-from ledgerlight.plans.answers import PREDICTED_SQL
-from ledgerlight.plans.questions import CITED_SQL, QUESTIONS_SQL, cited_answers
+from ledgerlight.plans.answers import CONF_SQL, PREDICTED_SQL
+from ledgerlight.plans.questions import CITED_SQL, QUESTIONS_SQL, cited_answers, questions, responses
 from ledgerlight.plans.registry import query
 
 JUDGED_SQL = found.SCORED_SQL + """
@@ -224,3 +225,43 @@ def job(t):
         F.struct(F.lit(2).alias("rank"), F.col("conv_id").cast("string").alias("item_id")))).alias("h")).select("query_id", "h.*")
     out = ev.evaluate(questions, responses, hits)
     return ev.eval_summary(out)
+
+
+HITS_SQL = found.SCORED_SQL.replace("WITH parts AS", ", components AS").replace("FROM parts", "FROM components")
+
+
+@query("ev12_evaluation_of_hits", CONF_SQL + HITS_SQL + f"""
+, {QUESTIONS_SQL}, {PREDICTED_SQL},
+lowest AS (SELECT label, MIN(vec_id) AS v FROM embeddings GROUP BY label),
+hit AS (SELECT l.label, MAX(CASE WHEN h.chunk_id = l.v THEN 1.0 ELSE 0.0 END) AS hit_rate FROM lowest l JOIN hits h ON h.query_id = l.label GROUP BY l.label),
+res AS (SELECT c.value AS latency_ms, c.confidence, p.truth = p.predicted AS routed, hit.hit_rate,
+    (CASE WHEN c.sql_row_count IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN c.has_docs THEN 1 ELSE 0 END) / 2.0 AS faith
+  FROM pred p JOIN conf c ON c.event_id = p.id LEFT JOIN hit ON hit.label = p.id)
+SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE ok) AS passed, ROUND(AVG(CASE WHEN ok THEN 1.0 ELSE 0 END), 6) AS pass_rate,
+  ROUND(AVG(latency_ms), 2) AS avg_latency_ms, ROUND(AVG(confidence), 6) AS avg_confidence, ROUND(AVG(hit_rate), 6) AS retrieval_hit_rate,
+  CAST(NULL AS DOUBLE) AS sql_execution_accuracy, ROUND(AVG(faith), 6) AS answer_faithfulness, ROUND(AVG(CASE WHEN routed THEN 1.0 ELSE 0 END), 6) AS routing_accuracy
+FROM (SELECT *, coalesce(hit_rate, 0.5) >= 0.5 AND faith >= 0.7 AS ok FROM res)
+""")
+def job_over_hits(t):
+    """Questions with their stated intent; intents by the rules, hits by vector search, confidence from the parts of a response.
+
+    The question numbered like a label has that label's first vector as relevant. Every answer makes two claims, one from
+    a table and one from a document, which hold if the response has these parts.
+    """
+    number = F.col("id").cast("string")
+    lowest = t.embeddings.groupBy(F.col("label").alias("id")).agg(F.array(F.min("vec_id").cast("string")).alias("relevant_doc_ids"))
+    stated = questions(t).join(lowest, "id", "left").select(
+        number.alias("id"), "question", "intent", F.coalesce("relevant_doc_ids", F.array().cast("array<string>")).alias("relevant_doc_ids"))
+    routed = asked.predicted(t).select(F.col("id").alias("event_id"), "intent")
+    claims = F.concat(F.lit("Seen in "), F.col("event_type"), F.lit(" [source: sql, q]. As written [source: document, "),
+                      F.col("user_id").cast("string"), F.lit("]!"))
+    given = ans.with_confidence(responses(t)).join(routed, "event_id").select(
+        F.col("event_id").cast("string").alias("id"), "intent", claims.alias("answer"), F.col("value").alias("latency_ms"), "confidence",
+        F.col("sql_row_count").isNotNull().alias("has_sql"), "has_financial", "has_forecast", "documents")
+    hits = found.found(t).select(F.col("query_id").cast("string").alias("query_id"), F.col("chunk_id").cast("string").alias("item_id"), "rank")
+    judged_rows = ev.evaluate(stated, given, hits)
+    routing = judged_rows.agg(F.round(F.avg((F.col("predicted") == F.col("truth")).cast("int")), 6).alias("routing_accuracy"))
+    summary = ev.eval_summary(judged_rows)
+    six = ["pass_rate", "avg_confidence", "retrieval_hit_rate", "answer_faithfulness"]
+    return summary.select("total", "passed", *[F.round(c, 6).alias(c) for c in six], F.round("avg_latency_ms", 2).alias("avg_latency_ms"),
+                          "sql_execution_accuracy", routing.scalar().alias("routing_accuracy"))

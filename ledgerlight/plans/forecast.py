@@ -80,18 +80,27 @@ def bucketed(t):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@query("ts2_interpolation", "WITH " + DAILY_SQL + """
+FILLED_SQL = "WITH " + DAILY_SQL + """
 , g AS (SELECT series_id, ds, y FROM days LEFT JOIN daily USING (series_id, ds)),
 m AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN ds END IGNORE NULLS) OVER b AS d0, last_value(y IGNORE NULLS) OVER b AS y0,
   first_value(CASE WHEN y IS NOT NULL THEN ds END IGNORE NULLS) OVER a AS d1, first_value(y IGNORE NULLS) OVER a AS y1 FROM g
   WINDOW b AS (PARTITION BY series_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
          a AS (PARTITION BY series_id ORDER BY ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT series_id, ds, ROUND(coalesce(y, y0 + (y1 - y0) * ((ds - d0) / (d1 - d0)), y0), 6) AS y FROM m
-""")
+"""
+
+
+@query("ts2_interpolation", FILLED_SQL)
 def interpolated(t):
     return ts.interpolate_time(ts.as_freq(daily(t), "D")).withColumn("y", F.round("y", 6))
 
 
+@query("ts2_interpolation_in_blocks", FILLED_SQL)
+def interpolated_in_blocks(t):
+    """The same with every series laid out and filled in stretches of ninety days."""
+    return ts.interpolate_time(ts.as_freq(daily(t), "D", block_days=90), 90).withColumn("y", F.round("y", 6))
+
+
 @query("ts3_frequency", """
 WITH d AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS series_id, CAST(o_orderdate AS DATE) AS ds FROM orders),
 g AS (SELECT series_id, ds - lag(ds) OVER (PARTITION BY series_id ORDER BY ds) AS gap FROM d),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import maps
-from ledgerlight.operators import audit, rate_limit as limits, reports, telemetry as tel
+from ledgerlight.operators import audit, pages, rate_limit as limits, reports, telemetry as tel
 from ledgerlight.plans.answers import CONF_SQL, with_texts
 from ledgerlight.plans.registry import query
 from ledgerlight.streaming import jobs, ordered
@@ -129,6 +129,37 @@ def page(t):
     return audit.history(t.events.select("event_id", "user_id", "ts", "event_type"), 7, 20, 5, created="ts", tie="event_id")
 
 
+def walked(made, owner, limit, count):
+    """The first ``count`` pages of an owner, each asked for with the end of the one before."""
+    out, cursor = None, None
+    for number in range(count):
+        rows = pages.page_before(made, owner, limit, cursor)
+        last = rows.orderBy("ts", "event_id").first()
+        if last is not None:
+            cursor = (last["ts"], last["event_id"])
+        rows = rows.withColumn("page", F.lit(number))
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+@query("flt11_history_by_key", """
+SELECT event_id, user_id, ts, event_type, CAST((n - 1) // 15 AS INTEGER) AS page FROM (
+  SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE user_id = 7) WHERE n <= 45
+""")
+def page_by_key(t):
+    rows = t.events.select("event_id", "user_id", "ts", "event_type")
+    return walked(pages.write_pages(rows, jobs.scratch(t.spark, "history"), "user_id", "ts", "event_id"), 7, 15, 3)
+
+
+@query("flt13_audit_by_key", """
+SELECT event_id, user_id, ts, event_type, CAST((n - 1) // 40 AS INTEGER) AS page FROM (
+  SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'error') WHERE n <= 80
+""")
+def audited_by_key(t):
+    rows = t.events.select("event_id", "user_id", "ts", "event_type")
+    return walked(pages.write_pages(rows, jobs.scratch(t.spark, "audit"), "event_type", "ts", "event_id"), "error", 40, 2)
+
+
 @query("flt13_audit_query", """
 SELECT event_id, ts AS timestamp, user_id, event_type, severity FROM (
   SELECT *, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity FROM events)

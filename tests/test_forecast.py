@@ -46,6 +46,60 @@ def test_interpolation_follows_time(spark):
     assert got == [None, 10.0, 20.0, 50.0, 50.0]
 
 
+@pytest.mark.parametrize("freq", ["D", "W", "M", "Q", "Y"])
+@pytest.mark.parametrize("block_days", [1, 7, 45, 5000])
+def test_blocks_do_not_change_a_series(spark, freq, block_days):
+    rng = random.Random(block_days)
+    start = dt.date(2020, 1, 5)
+    rows = [(s, start + dt.timedelta(days=d), None if rng.random() < 0.5 else float(rng.randint(0, 99)))
+            for s, n in (("a", 700), ("b", 40), ("c", 1)) for d in range(n) if rng.random() < 0.4 or d in (0, n - 1)]
+    df = spark.createDataFrame(rows, "series_id string, ds date, y double")
+
+    def table(frame):
+        return sorted((r.series_id, r.ds, None if r.y is None else round(r.y, 9)) for r in frame.collect())
+
+    plain, cut = ts.as_freq(df, freq), ts.as_freq(df, freq, block_days=block_days)
+    assert table(plain) == table(cut)
+    assert table(ts.interpolate_time(plain)) == table(ts.interpolate_time(cut, block_days))
+
+
+def test_a_million_points_in_many_tasks(spark, request):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"  # which would put so little data into one task again
+    spark.conf.set(key, "false")
+    request.addfinalizer(lambda: spark.conf.set(key, "true"))
+    days = 1_000_000
+    ends = spark.sql(f"""SELECT 's' AS series_id, DATE '0001-01-01' AS ds, 0D AS y
+        UNION ALL SELECT 's', date_add(DATE '0001-01-01', {days - 1}), {float(days - 1)}D""")
+    filled = ts.interpolate_time(ts.as_freq(ends, "D", block_days=20_000), 20_000)
+    got = filled.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count("*").alias("n"), F.max(F.abs(
+        F.col("y") - F.date_diff("ds", F.expr("DATE '0001-01-01'")))).alias("off")).collect()
+    assert sum(r.n for r in got) == days and len(got) > 1 and max(r.n for r in got) < days / 2 and max(r.off for r in got) < 1e-6
+
+
+def test_doubled_days_may_be_gaps(spark):
+    df = series(spark, [("2024-01-31", 1.0), ("2024-02-29", 7.0), ("2024-02-29", 9.0), ("2024-03-31", 3.0)])
+    assert [(str(r.ds), r.n) for r in ts.doubled_days(df).collect()] == [("2024-02-29", 2)]
+    assert [r.y for r in ts.as_freq(df, "M", doubled="gap").orderBy("ds").collect()] == [1.0, None, 3.0]
+    with pytest.raises(ValueError):
+        ts.as_freq(df, "M", doubled="first")
+
+
+def test_rolling_backtest_like_single_fits(spark, monthly):
+    """One pass over a series gives what a fit of its own gives for every cut-off."""
+    import numpy as np
+
+    from ledgerlight.operators import smoothing
+
+    for n in (1, 2, 5, 23, 24, 25, 60, 61):
+        y = np.array([50 + 3 * math.sin(i) + 0.4 * i + (i * 7919 % 13) for i in range(n)])
+        cuts = [c for c in range(1, n + 1, 3)] + [n]
+        for many, cut in zip(smoothing.fit_at(y, cuts), sorted(set(cuts))):
+            alone = smoothing.fit_at(y[:cut], [cut])[0]
+            assert many["cut"] == alone["cut"] == cut and many["seasonal"] == alone["seasonal"] == (cut >= 24)
+            assert many["pattern"] == pytest.approx(alone["pattern"], abs=1e-8)
+            assert [many[k] for k in ("level", "trend", "sse")] == pytest.approx([alone[k] for k in ("level", "trend", "sse")], rel=1e-7, abs=1e-8)
+
+
 @pytest.mark.parametrize("gap, freq", [(1, "D"), (7, "W"), (30, "M"), (91, "Q"), (365, "A")])
 def test_infer_freq(spark, gap, freq):
     start = dt.date(2020, 1, 1)
