@@ -25,6 +25,7 @@ from ledgerlight.session import cut_lineage
 
 BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
+RANGES = 8192  # of shards, which the driver splits them into
 #: Rows of a source between two running sums. Only these sums are put in order source by source.
 ORDER_ROWS = 2_000
 
@@ -123,42 +124,74 @@ def plan_sources(rows: DataFrame, weights: tuple[float, ...], share: float, most
     return out
 
 
+class Deal(NamedTuple):
+    """Shards ``low`` up to ``high``: slots of each source before them, and in them."""
+
+    low: int
+    high: int
+    before: np.ndarray
+    counts: np.ndarray
+
+
+def halved(deal: Deal, most: int, total: int, shard_slots: int, seed: int) -> Iterator[Deal]:
+    """A range of shards cut in halves until none has more than ``most``, in order.
+
+    The left half's counts are a multinomial draw over what the range has of each source, the right half has the rest; so
+    a shard's counts are what the seed and its place say, wherever they are worked out.
+    """
+    todo = [deal]
+    while todo:
+        d = todo.pop()
+        if d.high - d.low <= most:
+            yield d
+            continue
+        middle = (d.low + d.high) // 2
+        room = min(middle * shard_slots, total) - d.low * shard_slots
+        left = _draw(np.random.default_rng([seed, d.low, d.high]), room, d.counts)
+        todo += [Deal(middle, d.high, d.before + left, d.counts - left), Deal(d.low, middle, d.before, left)]
+
+
 def deal_slots(spark, plans: list[Plan], seed: int, block_words: int = BLOCK_WORDS,
                shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """All slots: ``shard``, ``place`` of the source, ``block`` and ``length``, the words taken from the block's start.
 
-    Source counts per shard are multinomial draws over what each source has left, so all slots are dealt out. A row
-    per shard and source goes to the tasks, which work out the slots.
+    Source counts per shard are multinomial draws over what each source has left, so all slots are dealt out. The driver
+    splits the shards into a bounded number of ranges; tasks split a range further and work out its slots.
     """
     total = sum(p.slots for p in plans)
     counts = np.array([p.slots for p in plans], dtype=np.int64)
-    left, rng, runs = counts.copy(), np.random.default_rng(seed), []
-    for shard in range(-(-total // shard_slots)):
-        drawn = _draw(rng, min(shard_slots, int(left.sum())), left)
-        for place in np.flatnonzero(drawn):
-            runs.append((shard, int(place), int(counts[place] - left[place]), int(drawn[place])))
-        left -= drawn
+    shards = -(-total // shard_slots)
+    whole = Deal(0, shards, np.zeros_like(counts), counts)
+    ranges = list(halved(whole, max(1, -(-shards // RANGES)), total, shard_slots, seed)) if shards else []
     facts = {p.place: (p.blocks, p.size, round(p.target)) for p in plans}
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, int]]:
         for batch in batches:
-            for shard, place, first, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                blocks, size, target = facts[place]
-                at = np.arange(first, first + n)
-                lap, key = at // blocks, mix(np.array([seed * 1_000_003 + place], dtype=np.uint64))
-                full = np.full(n, blocks)
-                # The last block of a source may be short. Where it stands in the order moves what comes after it.
-                block = permuted(at % blocks, full, np.repeat(key, n))
-                length = np.where(block == blocks - 1, size - (blocks - 1) * block_words, block_words)
-                short = block_words - (size - (blocks - 1) * block_words)
-                place_of_last = _place_of_last(blocks, key[0]) if short else blocks
-                before = lap * size + (at % blocks) * block_words - np.where(at % blocks > place_of_last, short, 0)
-                length = np.clip(target - before, 0, length)
-                yield pa.record_batch([pa.array(np.full(n, shard)), pa.array(np.full(n, place)), pa.array(block),
-                                       pa.array(length)], names=["shard", "place", "block", "length"])
-
-    frame = spark.createDataFrame(runs, "shard long, place long, first long, n long")
-    tasks = max(1, min(len(runs), total // 200_000 + 1))
+            for low, high, before, mine in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                known = Deal(low, high, np.array(before, dtype=np.int64), np.array(mine, dtype=np.int64))
+                for d in halved(known, 1, total, shard_slots, seed):
+                    for place in np.flatnonzero(d.counts).tolist():
+                        yield d.low, place, int(d.before[place]), int(d.counts[place])
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, place, first, n in runs(batches):
+            blocks, size, target = facts[place]
+            at = np.arange(first, first + n)
+            lap, key = at // blocks, mix(np.array([seed * 1_000_003 + place], dtype=np.uint64))
+            full = np.full(n, blocks)
+            # The last block of a source may be short. Where it stands in the order moves what comes after it.
+            block = permuted(at % blocks, full, np.repeat(key, n))
+            length = np.where(block == blocks - 1, size - (blocks - 1) * block_words, block_words)
+            short = block_words - (size - (blocks - 1) * block_words)
+            place_of_last = _place_of_last(blocks, key[0]) if short else blocks
+            before = lap * size + (at % blocks) * block_words - np.where(at % blocks > place_of_last, short, 0)
+            length = np.clip(target - before, 0, length)
+            yield pa.record_batch([pa.array(np.full(n, shard)), pa.array(np.full(n, place)), pa.array(block),
+                                   pa.array(length)], names=["shard", "place", "block", "length"])
+
+    frame = spark.createDataFrame([(d.low, d.high, d.before.tolist(), d.counts.tolist()) for d in ranges],
+                                  "low long, high long, before array<long>, counts array<long>")
+    tasks = max(1, min(len(ranges), total // 200_000 + 1))
     out = frame.repartition(tasks).mapInArrow(slots, "shard long, place long, block long, length long")
     return out.filter(F.col("length") > 0)
 

@@ -153,6 +153,18 @@ def test_mix_meets_targets_and_reruns_agree(spark, monkeypatch):
     assert [r["taken"] for r in mixing.taken_words(mixing.mix_sources(documents(spark, ["", None]))).collect()] == [0, 0]
 
 
+@pytest.mark.parametrize("total,sources", [(1, 1), (10, 3), (1003, 5), (64, 2)])
+def test_shards_are_the_same_however_they_are_split(total, sources):
+    counts = np.random.default_rng(total).multinomial(total, np.ones(sources) / sources)
+    shards = -(-total // 8)
+    whole = mixing.Deal(0, shards, np.zeros_like(counts), counts)
+    one = [d for d in mixing.halved(whole, 1, total, 8, 5)]
+    two = [d for part in mixing.halved(whole, max(1, shards // 3), total, 8, 5) for d in mixing.halved(part, 1, total, 8, 5)]
+    assert [(d.low, d.high, *d.before, *d.counts) for d in one] == [(d.low, d.high, *d.before, *d.counts) for d in two]
+    assert [d.low for d in one] == list(range(shards)) and sum(d.counts for d in one).tolist() == counts.tolist()
+    assert all(d.counts.sum() == min(8, total - 8 * d.low) and (d.counts >= 0).all() for d in one)
+
+
 def test_mix_tells_its_documents(spark):
     rng = random.Random(5)
     texts = [" ".join([f"d{i}"] * rng.choice([1, 3, 40, 300])) for i in range(40)] + [None, "", "none " * 9, "again again"]
