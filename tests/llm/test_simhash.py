@@ -14,6 +14,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 from fixtures import blank_words, corpus, documents  # noqa: E402
 
 from ledgerlight.llm import simhash  # noqa: E402
+from ledgerlight.llm.op13 import HASH_SQL, SQL  # noqa: E402
 from ledgerlight.llm.op13 import simhash as query  # noqa: E402
 
 
@@ -67,6 +68,29 @@ def test_groups_like_brute_force(spark, tmp_path):
     assert got == {i: (format(p, "016x"), least[root[p]]) for i, p in prints.items()}
 
 
+def test_checking_sql_hashes_as_the_library_does():
+    import duckdb
+
+    rng = random.Random(1)
+    shingles = ["".join(rng.choice("abcdé ü") for _ in range(n)) for n in range(1, 110)] + ["x" * 500]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE g(s VARCHAR)")
+    con.executemany("INSERT INTO g VALUES (?)", [(s,) for s in shingles])
+    assert dict(con.execute(f"WITH {HASH_SQL} SELECT s, h FROM hashed").fetchall()) == {
+        s: xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles}
+
+
+def test_query_like_its_sql(spark, tmp_path):
+    import duckdb
+
+    docs = documents(spark, corpus(2, n=30), ids=list(range(1000, 1000 + len(corpus(2, n=30))))).select("doc_id", "text")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    got = sorted(map(tuple, query(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(f"SELECT doc_id, fingerprint, component_id FROM ({SQL})").fetchall())
+
+
 @pytest.mark.parametrize("differing", [1, 3, 4])
 @pytest.mark.parametrize("small", [1, 64])
 def test_links_of_dense_clusters(spark, monkeypatch, differing, small):
