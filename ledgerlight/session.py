@@ -5,10 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WRITTEN: list[str] = []  # tables that cut_lineage has written and nobody has removed
+
+
 def build_session(app: str = "ledgerlight", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC timestamps and no web UI.
 
@@ -57,9 +62,28 @@ def cut_lineage(df: DataFrame, into: SparkSession | None = None) -> DataFrame:
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return (into or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tables_removed(spark: SparkSession) -> Iterator[None]:
+    """Removes, at the end, the tables that operators wrote inside the block to cut lineage.
+
+    Results that read them must have been written elsewhere by then. Without it they stay beside the checkpoints, several
+    times the size of the input after a long job.
+    """
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        mine = _WRITTEN[before:]
+        del _WRITTEN[before:]
+        for path in mine:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The same rows, dealt evenly if the input has fewer partitions than there are slots for tasks.
 

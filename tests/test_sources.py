@@ -51,6 +51,22 @@ def test_chunk_store_round_trip(spark, tmp_path):
     assert (row.owner, row.document_title, row.content, len(row.embedding)) == ("me", "t2", "short", docs.HASH_DIMENSION)
 
 
+def test_tables_are_removed_with_their_block(spark, tmp_path):
+    import os
+
+    from ledgerlight import tables_removed
+    from ledgerlight.session import cut_lineage
+
+    outside = cut_lineage(spark.range(3))
+    with tables_removed(spark):
+        inside = cut_lineage(spark.range(5))
+        folder = os.path.dirname(inside.inputFiles()[0].replace("file://", ""))
+        cut_lineage(inside.where("id > 1")).write.parquet(str(tmp_path / "result"))
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder) and outside.count() == 3
+    assert spark.read.parquet(str(tmp_path / "result")).count() == 3
+
+
 def test_csv_sink(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b,c")], ["id", "name"]).coalesce(1)
     assert sinks.write_csv(df, str(tmp_path / "out")) is True
