@@ -5,10 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlight.functions import text as tx
 from ledgerlight.functions.binding import bind
@@ -91,22 +89,41 @@ def decode_text(df: DataFrame, content: str = "content", name: str = "text") ->
         name, F.when(kind.isin(".txt", ".md"), body).when(kind == ".csv", csv_to_markdown_text(F.when(kind == ".csv", body))))
 
 
-@F.pandas_udf(T.StringType())
-def csv_to_markdown_text(texts: pd.Series) -> pd.Series:
-    """A CSV file's text as a Markdown table: header, rule, rows."""
-    import csv
-    import io
+# One field of CSV: quoted, with whatever follows the closing quote, or plain. Possessive, so long fields cost no stack.
+_FIELD = r'(?:"(?:[^"]++|"")*+"?[^,\r\n]*+|[^",\r\n][^,\r\n]*+|)'
 
-    def table(text: str | None) -> str | None:
-        if text is None:
-            return None
-        rows = [r for r in csv.reader(io.StringIO(text)) if r]
-        if not rows:
-            return ""
-        lines = ["| " + " | ".join(r) + " |" for r in rows]
-        return "\n".join([lines[0], "|" + "---|" * len(rows[0]), *lines[1:]])
 
-    return texts.map(table)
+def csv_rows(text: Column | str) -> Column:
+    """CSV text as an array of rows of fields; blank lines are no rows.
+
+    A field that begins with a quote goes to the closing one, line ends and doubled quotes included; a quote elsewhere is
+    a character like any other.
+    """
+    c = F.col(text) if isinstance(text, str) else text
+    records = F.filter(F.regexp_extract_all(c, F.lit(f"({_FIELD}(?:,{_FIELD})*+)"), F.lit(1)), lambda r: r != "")
+    whole = r'(?s)^"((?:[^"]++|"")*+)"?(.*)$'
+
+    def plain(field: Column) -> Column:
+        inside = F.replace(F.regexp_extract(field, whole, 1), F.lit('""'), F.lit('"'))
+        return F.when(F.startswith(field, F.lit('"')), F.concat(inside, F.regexp_extract(field, whole, 2))).otherwise(field)
+
+    # With a comma before it every field begins alike; the comma itself is left out by the group.
+    return F.transform(records, lambda r: F.transform(
+        F.regexp_extract_all(F.concat(F.lit(","), r), F.lit(f",({_FIELD})"), F.lit(1)), plain))
+
+
+def csv_to_markdown_text(text: Column | str) -> Column:
+    """CSV text as a Markdown table whose head is the first row; empty for no rows, null for null."""
+    def line(fields: Column) -> Column:
+        return F.concat(F.lit("| "), F.array_join(fields, " | "), F.lit(" |"))
+
+    def table(rows: Column) -> Column:
+        rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size(F.get(rows, F.lit(0)))))
+        lines = F.transform(rows, line)
+        rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+        return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(F.get(lines, F.lit(0)), rule), rest), "\n")).otherwise("")
+
+    return bind(csv_rows(text), lambda rows: F.when(rows.isNotNull(), table(rows)))
 
 
 def csv_to_markdown(df: DataFrame, file: str, order: str, columns: list[str]) -> DataFrame:

@@ -62,6 +62,19 @@ def markdown(t):
     return docs.csv_to_markdown(t.conversations, "conv_id", "turn", ["turn", "role", "text"])
 
 
+@query("src9_csv_file_to_markdown", r"""
+SELECT conv_id, E'| turn | text |\n|---|---|\n' || string_agg('| ' || turn || ' | ' || text || ' |', E'\n' ORDER BY turn) AS text
+FROM conversations GROUP BY conv_id
+""")
+def markdown_of_files(t):
+    """Conversations as the bytes of CSV files, their texts quoted, and decoded like any other file."""
+    line = F.concat(F.col("turn").cast("string"), F.lit(',"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda r: r["line"])
+    files_ = t.conversations.groupBy("conv_id").agg(F.concat(F.lit("turn,text\r\n"), F.array_join(rows, "\r\n")).alias("csv"))
+    return docs.decode_text(files_.select("conv_id", F.lit("talk.csv").alias("filename"), F.encode("csv", "UTF-8").alias("content"))) \
+        .select("conv_id", "text")
+
+
 @query("doc1_records", f"""
 SELECT doc_id AS document_id, 'doc.v' || doc_id AS title, sha256(text) AS content_hash,
   CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes,
@@ -120,7 +133,8 @@ WITH RECURSIVE walk(doc_id, key, level, text, b, s, piece) AS (
 ', '. ', ' ', ''][level]) ELSE 0 END AS BIGINT)), lambda n: n > 0) END AS lens
                 FROM walk WHERE b IS NULL OR s < len(b) - 1)))),
 parts AS (SELECT doc_id AS document_id, key, trim(piece, E' 
-	') AS content FROM walk WHERE piece IS NOT NULL),
+	
+') AS content FROM walk WHERE piece IS NOT NULL),
 chunks AS (SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY key) - 1 AS INTEGER) AS chunk_index,
   CAST(COUNT(*) OVER (PARTITION BY document_id) AS INTEGER) AS chunk_count, content FROM parts WHERE content <> '')
 """

@@ -40,6 +40,28 @@ def test_scan_and_decode(spark, tmp_path):
     assert rows["t.csv"].text == "| name | note |\n|---|---|\n| ann | x, y |\n| bob | z |"
 
 
+def test_csv_like_the_standard_reader(spark):
+    import csv
+    import io
+
+    rng = random.Random(12)
+    pieces = ["a", "b c", ",", ",", "\n", "\n", "\r\n", '"', '""', '"x, y"', '"two\nlines"', '"say ""hi"""', "é", " ", 'in"side', '"end"more']
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(400)]
+    texts += ["", "\n\n", "one", '""', ",", "a,\n,b", '"open', '"' + "long " * 20_000 + '",z', "h\n" + "x" * 100_000, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = df.select("i", docs.csv_rows("text").alias("rows"), docs.csv_to_markdown_text("text").alias("md"))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        text = texts[r.i]
+        if text is None:
+            assert r.rows is None and r.md is None
+            continue
+        want = [row for row in csv.reader(io.StringIO(text, newline="")) if row]
+        assert r.rows == want, text
+        lines = ["| " + " | ".join(row) + " |" for row in want]
+        assert r.md == ("\n".join([lines[0], "|" + "---|" * len(want[0]), *lines[1:]]) if want else "")
+
+
 def test_records(files):
     row = docs.document_records(files([("in/q3.report.txt", b"abc")])).first()
     assert (row.title, row.size_bytes, row.mime_type) == ("q3.report", 3, "text/plain")
