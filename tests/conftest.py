@@ -11,9 +11,11 @@ SAMPLE = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    # A warehouse of its own: saved tables of an earlier run must not be in the way.
     session = build_session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="4g",
-                            spark__ui__showConsoleProgress="false")
+                            spark__ui__showConsoleProgress="false",
+                            spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
