@@ -47,12 +47,13 @@ def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     """(id, n, m0.., first): the bitmap of each set, and in ``first`` its rarest words, one more than a similar set must
     share one of.
 
-    Every word has its own place in the order, by its count and then by itself; counts are joined
-    back to the words, and what is gathered per set is the set.
+    Words stand for themselves by a hash here, in the order of their counts and then of the hash; counts are joined back
+    to them, and what is gathered per set is the set. Two words of one hash count as one word that is there twice: sets
+    then share no fewer than they do, so no pair is missed, and pairs are compared by their words in the end.
     """
-    words = sets.select("id", "n", F.explode("words").alias("w"))
+    words = sets.select("id", "n", F.explode("words").alias("w")).select("id", "n", F.xxhash64("w").alias("w"))
     counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    bit = F.pmod(F.xxhash64("w"), F.lit(64 * BITMAP))
+    bit = F.pmod("w", F.lit(64 * BITMAP))
     maps = [F.bit_or(F.when(F.floor(bit / 64) == i, F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")))
                      .otherwise(F.lit(0).cast("long"))).alias(m) for i, m in enumerate(_BITS)]
     ordered = words.join(counts, "w").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "w"))).alias("_o"), *maps)
@@ -149,12 +150,13 @@ def _left_over(rows: DataFrame, prefixes: DataFrame, threshold: float, small: in
     """
     sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_c"))
     large = cut_lineage(sizes.where(F.col("_c") > small).select("token"))
+    none = F.lit(0).cast("long")
     if large.isEmpty() or threshold <= 0.5:
-        split = rows.withColumn("second", F.lit(""))
+        split = rows.withColumn("second", none)
     else:
-        seconds = rows.join(large, "token").join(prefixes.select("id", "first"), "id").withColumn("second", F.explode("first")) \
-            .where(F.col("second") != F.col("token"))
-        split = rows.join(large, "token", "left_anti").withColumn("second", F.lit("")).unionByName(seconds.drop("first"))
+        seconds = rows.join(large, "token").join(prefixes.select("id", "first"), "id").select(
+            *rows.columns, F.posexplode("first").alias("_p", "second")).where(F.col("_p") != F.col("at")).drop("_p")
+        split = rows.join(large, "token", "left_anti").withColumn("second", none).unionByName(seconds)
     x, y = split.alias("x"), split.alias("y")
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.second") == F.col("y.second"))
     return x.join(y, same & (F.col("x.id") < F.col("y.id")) & _maps_allow("x", "y", threshold) & _places_allow("x", "y", threshold)) \
