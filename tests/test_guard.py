@@ -113,6 +113,24 @@ def test_cost_gate(spark, sample):
         guard.cost_gate(df, 10)
 
 
+def test_a_join_by_keys_is_not_taken_for_every_pair_of_rows(spark, tmp_path):
+    sources = {}
+    for name, key, n in (("orders", "o_custkey", 60_000), ("customer", "c_custkey", 6_000)):
+        sources[name] = str(tmp_path / name)
+        spark.range(n).selectExpr(f"id AS {key}", "md5(cast(id AS string)) AS word").write.parquet(sources[name])
+
+    def cost(sql):
+        return guard.estimate_cost(guard.guarded_query(spark, sql, sources, max_bytes=None), 1 << 40).size_bytes
+
+    read = cost("SELECT * FROM orders") + cost("SELECT * FROM customer")
+    by_key = cost("SELECT o.word, c.word AS other FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey AND o.word <> c.word")
+    assert by_key <= 4 * read
+    assert cost("SELECT o.word, max(c.word) AS m FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY o.word") <= 4 * read
+    for pairs in ("SELECT o.*, c.* FROM orders o, customer c", "SELECT o.*, c.* FROM orders o JOIN customer c ON o.word < c.word"):
+        assert cost(pairs) > 1000 * read
+    assert guard.run_guarded(spark, "SELECT c_custkey FROM customer", sources, max_rows=6_000).row_count == 6_000
+
+
 def test_row_cap_reports_the_uncut_count(spark):
     rows, count = guard.capped(spark.range(2500), ["id"], 1000)
     assert rows.count() == 1000 and count.first()["row_count"] == 2500
