@@ -195,9 +195,10 @@ def usage(events: DataFrame, window_seconds: int, key: str = "client_key", ts: s
     """Requests of the key in the window up to each request: (id, usage).
 
     With ``admitted``, a log of the requests that were let through (``key`` and ``ts``), their number in the same window is
-    ``admitted_usage``; log and requests are one sequence, over which a single frame sums each apart. Time is cut into
-    slices of ``stretch`` windows. A slice also receives the last window of the slice before it, so each frame is complete
-    inside its slice and no window function ever holds a whole key.
+    ``admitted_usage``; log and requests are one sequence, over which a single frame sums each apart. A request counts up
+    at its time and down a window later, so each count is a running sum and costs the same however many requests a window
+    holds. Time is cut into slices of ``stretch`` windows. A slice also receives the last window of the slice before it, so
+    each sum is complete inside its slice and no window function ever holds a whole key.
     """
     window = window_seconds * 1_000_000
     width = window * stretch
@@ -210,9 +211,14 @@ def usage(events: DataFrame, window_seconds: int, key: str = "client_key", ts: s
     tail = F.floor((F.col("_us") + F.lit(window - 1)) / F.lit(width))
     spread = (base.withColumn("_own", own)
               .withColumn("_slice", F.explode(F.array_distinct(F.array(own, tail)))))
-    frame = Window.partitionBy("_key", "_slice").orderBy("_us").rangeBetween(-window + 1, 0)
-    counts = {"usage": F.sum("_asked").over(frame)}
+    steps = F.explode(F.array(F.struct(F.col("_us").alias("at"), F.lit(1).alias("n")),
+                              F.struct((F.col("_us") + window).alias("at"), F.lit(-1).alias("n"))))
+    # What counts down after the end of a slice has no request there to be counted for.
+    counted = spread.withColumn("_step", steps).where(
+        (F.col("_step.n") == 1) | (F.floor(F.col("_step.at") / F.lit(width)) == F.col("_slice")))
+    frame = Window.partitionBy("_key", "_slice").orderBy("_step.at").rangeBetween(Window.unboundedPreceding, 0)
+    counts = {"usage": F.sum(F.col("_step.n") * F.col("_asked")).over(frame)}
     if admitted is not None:
-        counts["admitted_usage"] = F.count(F.lit(1)).over(frame) - counts["usage"]
-    return (spread.select("*", *[c.alias(name) for name, c in counts.items()])
-            .where((F.col("_slice") == F.col("_own")) & (F.col("_asked") == 1)).select(id_, *counts))
+        counts["admitted_usage"] = F.sum(F.col("_step.n") * (1 - F.col("_asked"))).over(frame)
+    return (counted.select("*", *[c.alias(name) for name, c in counts.items()])
+            .where((F.col("_slice") == F.col("_own")) & (F.col("_asked") == 1) & (F.col("_step.n") == 1)).select(id_, *counts))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlight.operators import rate_limit as limits
+from ledgerlight.operators.guard import within_time
 from ledgerlight.streaming import jobs
 
 
@@ -70,6 +71,30 @@ def test_usage(requests):
     assert got == want
 
 
+def test_usage_of_a_busy_client_is_one_running_sum(spark):
+    # All within one window: a frame summed anew for each request would add billions of times.
+    day = spark.range(300_000).select(F.col("id").alias("event_id"), F.lit("hot").alias("client_key"),
+                                      F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * 0.25)").alias("ts"))
+    got = within_time(spark, lambda: limits.usage(day, 86_400, admitted=day.where("event_id % 2 = 0")).selectExpr(
+        "count_if(usage = event_id + 1)", "count_if(admitted_usage = event_id div 2 + 1)").first(), 15)
+    assert tuple(got) == (300_000, 300_000)
+
+
+def test_usage_counts_equal_times_and_ends_of_windows(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, "k" if i % 3 else None, start + dt.timedelta(seconds=s)) for i, s in enumerate((0, 0, 10, 20, 20, 20, 30, 39, 40, 41, 60, 80, 80, 99))]
+    df = spark.createDataFrame(rows, "event_id long, client_key string, ts timestamp_ntz")
+    log = df.where("event_id % 2 = 0")
+    window = dt.timedelta(seconds=20)
+
+    def count(key, ts, every):
+        return sum(1 for i, k, t in rows if k == key and ts - window < t <= ts and i % every == 0)
+
+    for stretch in (1, 2, 8):
+        got = {r[0]: (r[1], r[2]) for r in limits.usage(df, 20, stretch=stretch, admitted=log).collect()}
+        assert got == {i: (count(k, t, 1), count(k, t, 2)) for i, k, t in rows}
+
+
 def test_stream_equals_batch(spark, requests, tmp_path):
     rows, df = requests
     # Two files in time order, so the second batch starts from the first one's state.
