@@ -318,7 +318,8 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return keep
 
 
-def across_groups(lists: DataFrame, groups: DataFrame, nodes: DataFrame, rule: Rule, forest: bool) -> DataFrame:
+def across_groups(lists: DataFrame, groups: DataFrame, nodes: DataFrame, rule: Rule, forest: bool,
+                  block: int = LIST_BLOCK) -> DataFrame:
     """Pairs of a list that are in different groups and whose sketches may link; with ``forest``, only as many as it
     takes to join what such pairs join.
 
@@ -326,7 +327,7 @@ def across_groups(lists: DataFrame, groups: DataFrame, nodes: DataFrame, rule: R
     """
     named = lists.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter(
-        "low < high").select("key", F.ceil(F.col("size") / LIST_BLOCK).alias("blocks"))
+        "low < high").select("key", F.ceil(F.col("size") / block).alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     met = named.join(open_, "key").withColumn("mine", mine).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -377,7 +378,7 @@ def different(lists: DataFrame) -> DataFrame:
     return lists.join(members.groupBy("size", "x0", "x1").agg(F.min("key").alias("key")).select("key"), "key")
 
 
-def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, block: int = LIST_BLOCK) -> DataFrame:
     """Per document ``doc_id``, ``finger``, ``n_shingles`` and ``component_id``, the least id linked to it in any steps."""
     rule = Rule(width, num, den)
     rows = cut_lineage(describe(docs, width))
@@ -399,7 +400,7 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     links = cut_lineage(sure.unionAll(checked(plausible(pairs, nodes, rule), nodes, rule)).distinct())
     groups = connected(links)
     for forest in (True, False):
-        found = cut_lineage(across_groups(lists, groups, nodes, rule, forest))
+        found = cut_lineage(across_groups(lists, groups, nodes, rule, forest, block))
         links = cut_lineage(links.unionAll(checked(found, nodes, rule)))
         groups = connected(links)
     owners = reps.join(groups, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))

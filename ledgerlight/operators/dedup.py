@@ -1,18 +1,16 @@
 """Near copies across a whole corpus, by Jaccard similarity of word sets.
 
-Exact copies fold into one set first. For the rest any two similar sets share a word among the
-first few of each in one fixed order, rare words first, so sets meet in buckets by such a word
-(a prefix filter, which misses no pair). Sizes, the word's places and a bitmap of each set rule
-out most pairs before any words are compared. Large buckets are thinned around pivots before any
-pairs are formed: what lies within the threshold of a pivot joins the pivot's group at once,
-and by the triangle inequality of the Jaccard distance only what lies within twice that
-distance can still touch it. A bucket of m near copies thus costs m comparisons, not m squared.
-What is left of a large bucket is of unlike sets and is split by a second word.
+Exact copies fold into one set first. The rest meet as in the n-gram join (:mod:`ledgerlight.llm.jaccard`), with words
+for shingles: small sets by their subsets of the size two similar ones share, larger ones by parts, one more of them than
+two similar sets can differ in, so that some part is the same in both. Lists of sets with an equal part hold hardly
+anything but near copies even where every word is common, as the words of a growing corpus become, and a set has as many
+entries as it has parts however large the corpus is. Pairs that meet are checked on their words, and of a large group
+only as many as join it.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +20,6 @@ from ledgerlight.functions.binding import bind
 from ledgerlight.session import cut_lineage, spread
 
 THRESHOLD = 0.9
-SMALL_BUCKET = 64
-PIVOT_ROUNDS = 8
-BITMAP = 4  # words of 64 bits
-_SLACK = 1e-9
-_BITS = [f"m{i}" for i in range(BITMAP)]
 
 
 def _similar(shared: Column, a: Column, b: Column) -> Column:
@@ -43,126 +36,6 @@ def word_sets(df: DataFrame, id_: str, text: str) -> DataFrame:
     return cut_lineage(made.select("id", "s.*")).where("n > 0")
 
 
-def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(id, n, m0.., first): the bitmap of each set, and in ``first`` its rarest words, one more than a similar set must
-    share one of.
-
-    Words stand for themselves by a hash here, in the order of their counts and then of the hash; counts are joined back
-    to them, and what is gathered per set is the set. Two words of one hash count as one word that is there twice: sets
-    then share no fewer than they do, so no pair is missed, and pairs are compared by their words in the end.
-    """
-    words = sets.select("id", "n", F.explode("words").alias("w")).select("id", "n", F.xxhash64("w").alias("w"))
-    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    bit = F.pmod("w", F.lit(64 * BITMAP))
-    maps = [F.bit_or(F.when(F.floor(bit / 64) == i, F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")))
-                     .otherwise(F.lit(0).cast("long"))).alias(m) for i, m in enumerate(_BITS)]
-    ordered = words.join(counts, "w").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "w"))).alias("_o"), *maps)
-    keep = F.col("n") - F.ceil(threshold * F.col("n") - _SLACK) + 2
-    return ordered.select("id", "n", *_BITS, F.transform(F.slice("_o", F.lit(1), keep.cast("int")), lambda x: x["w"]).alias("first"))
-
-
-def _prefix_rows(prefixes: DataFrame, threshold: float) -> DataFrame:
-    """(token, at, id, n, m0..): a row for each word that a similar set must share one of, and the word's place."""
-    least = (F.col("n") - F.ceil(threshold * F.col("n") - _SLACK) + 1).cast("int")
-    return prefixes.select(F.posexplode(F.slice("first", F.lit(1), least)).alias("at", "token"), "id", "n", *_BITS)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, floor: float) -> DataFrame:
-    """(a, b, similarity) of the distinct pairs whose similarity reaches ``floor``."""
-    left = sets.select(F.col("id").alias("a"), F.col("words").alias("_wa"))
-    right = sets.select(F.col("id").alias("b"), F.col("words").alias("_wb"))
-    joined = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("_wa", "_wb"))
-    return (joined.select("a", "b", _similar(shared, F.size("_wa"), F.size("_wb")).alias("similarity"))
-            .where(F.col("similarity") >= floor - _SLACK))
-
-
-def _sizes_allow(a: str, b: str, floor: float) -> Column:
-    return F.least(a, b) >= F.greatest(a, b) * floor - _SLACK
-
-
-def _maps_allow(x: str, y: str, floor: float) -> Column:
-    """Whether sizes and bitmaps of two rows leave room for the similarity ``floor``.
-
-    A bit that only one set has stands for a word or more that only it has.
-    """
-    def only(one: str, other: str) -> Column:
-        return reduce(lambda s, t: s + t, [F.bit_count(F.col(f"{one}.{m}").bitwiseAND(F.bitwise_not(F.col(f"{other}.{m}")))) for m in _BITS])
-
-    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
-    shared = F.ceil((a + b) * floor / (1 + floor) - _SLACK)
-    return _sizes_allow(a, b, floor) & (only(x, y) <= a - shared) & (only(y, x) <= b - shared)
-
-
-def _places_allow(x: str, y: str, floor: float) -> Column:
-    """Whether the sets can be similar if the word they meet in is the first they share, as it is in one of their buckets."""
-    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
-    rest = F.least(a - F.col(f"{x}.at"), b - F.col(f"{y}.at"))
-    return rest >= F.ceil((a + b) * floor / (1 + floor) - _SLACK)
-
-
-def similar_edges(sets: DataFrame, threshold: float = THRESHOLD, small: int = SMALL_BUCKET, rounds: int = PIVOT_ROUNDS) -> DataFrame:
-    """Edges (a, b, similarity) that connect exactly what the threshold graph connects.
-
-    ``sets`` has id, words and n, each set once. Members of a pivot's group get an edge to the
-    pivot and none among themselves.
-    """
-    reach = 2 * threshold - 1
-    prefixes = cut_lineage(_prefixes(sets, threshold))
-    rows = _prefix_rows(prefixes, threshold)
-    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("token")
-    rows = cut_lineage(rows.join(shared, "token", "left_semi"))
-    edges: list[DataFrame] = []
-    for _ in range(rounds):
-        sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_c"), F.min("id").alias("pivot"))
-        large = sizes.where(F.col("_c") > small).select("token", "pivot")
-        if large.isEmpty():
-            break
-        large = cut_lineage(large)
-        # One pivot row per bucket meets the bucket's rows; a hot bucket's rows stay spread.
-        pivots = large.join(prefixes.select(F.col("id").alias("pivot"), "n", *_BITS), "pivot").alias("y")
-        met = cut_lineage(rows.alias("x").join(pivots, "token").select(
-            "token", "x.at", "x.id", "x.n", *[f"x.{m}" for m in _BITS], "pivot",
-            (_maps_allow("x", "y", reach) & (F.col("id") != F.col("pivot"))).alias("_may")))
-        near = _verified(met.where("_may").select(F.col("pivot").alias("a"), F.col("id").alias("b")), sets, reach)
-        near = cut_lineage(near.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "similarity"))
-        placed = cut_lineage(met.where("_may").join(near, ["pivot", "id"]))
-        inside = placed.where(F.col("similarity") >= threshold - _SLACK)
-        ring = placed.where(F.col("similarity") < threshold - _SLACK)
-        edges.append(near.where(F.col("similarity") >= threshold - _SLACK)
-                     .select(F.col("pivot").alias("a"), F.col("id").alias("b"), "similarity"))
-        apart = F.abs(F.col("x.similarity") - F.col("y.similarity")) <= 1 - threshold + _SLACK
-        crossing = inside.alias("x").join(ring.alias("y"), "token").where(apart & _maps_allow("x", "y", threshold)) \
-            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        edges.append(_verified(crossing, sets, threshold))
-        done = inside.select("token", "id").unionByName(large.select("token", F.col("pivot").alias("id")))
-        rows = cut_lineage(rows.join(done, ["token", "id"], "left_anti"))
-    edges.append(_verified(_left_over(rows, prefixes, threshold, small), sets, threshold))
-    every = reduce(lambda x, y: x.unionByName(y), edges)
-    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").distinct()
-
-
-def _left_over(rows: DataFrame, prefixes: DataFrame, threshold: float, small: int) -> DataFrame:
-    """Pairs (a, b) of the buckets that may be similar.
-
-    Similar sets share two words among their first ones if that is one more than must have one in common. So the rows of
-    a large bucket are dealt to one bucket for each other word they may share.
-    """
-    sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_c"))
-    large = cut_lineage(sizes.where(F.col("_c") > small).select("token"))
-    none = F.lit(0).cast("long")
-    if large.isEmpty() or threshold <= 0.5:
-        split = rows.withColumn("second", none)
-    else:
-        seconds = rows.join(large, "token").join(prefixes.select("id", "first"), "id").select(
-            *rows.columns, F.posexplode("first").alias("_p", "second")).where(F.col("_p") != F.col("at")).drop("_p")
-        split = rows.join(large, "token", "left_anti").withColumn("second", none).unionByName(seconds)
-    x, y = split.alias("x"), split.alias("y")
-    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.second") == F.col("y.second"))
-    return x.join(y, same & (F.col("x.id") < F.col("y.id")) & _maps_allow("x", "y", threshold) & _places_allow("x", "y", threshold)) \
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-
-
 def connected_groups(edges: DataFrame) -> DataFrame:
     """(id, group_id) of every id with an edge, the group being its lowest id.
 
@@ -212,11 +85,26 @@ def near_copies(df: DataFrame, id_: str, text: str, threshold: float = THRESHOLD
             .select(F.col("id").alias(id_), F.coalesce("group_id", "id").alias("group_id"), "similarity"))
 
 
+def similar_groups(sets: DataFrame, threshold: float = THRESHOLD, small: int | None = None, rounds: int | None = None) -> DataFrame:
+    """(id, group_id) of every id: the lowest id that links of ``threshold`` or more lead to.
+
+    ``sets`` has id and words. Lists longer than ``small`` are compared in blocks of that size. ``rounds`` has no effect;
+    callers of an earlier form, which thinned buckets in rounds, may still give it.
+    """
+    from ledgerlight.llm.jaccard import LIST_BLOCK, near_groups  # the subpackage may be left out
+
+    rule = Fraction(threshold).limit_denominator(10_000)
+    texts = cut_lineage(sets.select(F.col("id").alias("doc_id"), F.array_join("words", " ").alias("text")))
+    near = near_groups(texts, 1, rule.numerator, rule.denominator, LIST_BLOCK if small is None else small)
+    # An id that has several sets joins their groups.
+    return connected_groups(near.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")))
+
+
 def _grouped(sets: DataFrame, threshold: float, **tuning: int) -> DataFrame:
     """(id, signature, group_id) of every text with words."""
     first = cut_lineage(sets.groupBy("signature").agg(F.min("id").alias("first_id")))
-    distinct = cut_lineage(sets.join(first.select(F.col("first_id").alias("id")), "id", "left_semi").select("id", "words", "n"))
-    groups = connected_groups(similar_edges(distinct, threshold, **tuning))
+    distinct = sets.join(first.select(F.col("first_id").alias("id")), "id", "left_semi").select("id", "words")
+    groups = similar_groups(distinct, threshold, **tuning)
     folded = first.join(groups.withColumnRenamed("id", "first_id"), "first_id", "left") \
         .select("signature", F.coalesce("group_id", "first_id").alias("group_id"))
     return sets.select("id", "signature").join(folded, "signature")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from ledgerlight.llm import jaccard
 from ledgerlight.operators import dedup
 
 
@@ -67,3 +68,29 @@ def test_a_chain_is_one_group(spark):
     edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(40)] + [(100, 101, 1.0)], "a long, b long, similarity double")
     groups = {r.id: r.group_id for r in dedup.connected_groups(edges).collect()}
     assert groups == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_entries_of_a_set_do_not_grow_with_the_corpus(spark, monkeypatch):
+    """Every word is in most sets: a bucket by words would hold nearly all of them, however many they are."""
+    made, real = [], jaccard.entries
+
+    def entries(*args):
+        made.append(real(*args))
+        return made[-1]
+
+    monkeypatch.setattr(jaccard, "entries", entries)
+    rng, vocabulary = random.Random(9), [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join(rng.sample(vocabulary, 70))) for i in range(160)]
+    counts = []
+    for n in (80, 160):
+        df = spark.createDataFrame(rows[:n], "id long, text string")
+        assert {r.id: r.group_id for r in dedup.dedup_corpus(df, "id", "text").collect()} == brute(rows[:n], 0.9)
+        counts.append(made[-1].count())
+    assert counts[1] <= 2.2 * counts[0]
+
+
+def test_a_repeated_id_hides_no_link(spark):
+    one, other = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    rows = [(1, " ".join(one)), (2, " ".join(other)), (2, " ".join([*one[1:], "x"]))]
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert {(r.id, r.group_id) for r in dedup.dedup_corpus(df, "id", "text").collect()} == {(1, 1), (2, 1)}
