@@ -143,3 +143,13 @@ def test_stream_equals_batch(spark, tmp_path):
     for r in docs.ingest(files, strategy="fixed")[0].collect():
         batch.setdefault(r.document_id, []).append(r.content)
     assert {k: sorted(v) for k, v in held.items()} == {k: sorted(v) for k, v in batch.items()}
+
+
+def test_batches_go_by_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "BATCH_BYTES", 2500)
+    for i in range(6):
+        put(str(tmp_path / "in" / "1"), f"{i}.txt", f"{i} text ".encode() * 125)
+    ledger, held, rejects = run(spark, tmp_path)
+    assert [s for _f, s in ledger] == ["new"] * 6 and len(held) == 6 and not rejects
+    batches = ingest.ingested(spark, str(tmp_path / "out")).ledger().select("batch").distinct().count()
+    assert 2 <= batches <= 3
