@@ -238,3 +238,8 @@ def test_one_of_each_keeps_columns_and_clean_texts(spark):
     kept = jaccard.one_of_each(documents(spark, texts))
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 4, 6] and kept.columns == documents(spark, []).columns
     assert jaccard.one_of_each(documents(spark, [])).count() == 0
+
+
+def test_chunks_meet_by_digest_and_no_text_is_sorted(spark):
+    plan = line_chunks.drop_repeated(documents(spark, ["a\nb", "a\nb"]))._jdf.queryExecution().executedPlan().toString()
+    assert "first_body" not in plan and "ShuffledHashJoin" in plan
