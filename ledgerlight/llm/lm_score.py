@@ -76,11 +76,13 @@ def gram_keys(words: np.ndarray, counts: np.ndarray, order: int, bits: int) -> l
 def listed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct keys in order, how often each stands there, and which of them each key is."""
     turn = np.argsort(keys)
-    first = np.concatenate(([True], np.diff(keys[turn]) != 0)) if len(keys) else np.zeros(0, bool)
+    keys = keys[turn]
+    first = np.ones(len(keys), dtype=bool)
+    np.not_equal(keys[1:], keys[:-1], out=first[1:])
     starts = np.flatnonzero(first)
-    index = np.empty(len(keys), dtype=np.int64)
-    index[turn] = np.cumsum(first) - 1
-    return keys[turn][starts], np.diff(starts, append=len(keys)), index
+    index = np.empty(len(keys), dtype=np.int32)
+    index[turn] = np.cumsum(first, dtype=np.int32) - 1
+    return keys[starts], np.diff(starts, append=len(keys)), index
 
 
 def blocks(docs: DataFrame, order: int, ranges: int, bits: int, block_bytes: int) -> DataFrame:
@@ -91,7 +93,9 @@ def blocks(docs: DataFrame, order: int, ranges: int, bits: int, block_bytes: int
         ids = pa.concat_arrays([ids for ids, _, _ in held])
         counts = np.concatenate([counts for _, counts, _ in held])
         hashes = np.concatenate([hashes for _, _, hashes in held])
+        held.clear()  # a block's arrays are many times its text, so none is kept beyond its use
         words = gram_hashes(hashes, 1) >> np.uint64(64 - bits)
+        del hashes
         vocabulary, times, index = listed(words)
         common = np.argsort(-times, kind="stable")
         number = np.empty(len(common), dtype=np.int64)
