@@ -150,3 +150,14 @@ def test_a_window_without_values(spark):
     df = spark.createDataFrame([("a", START, None)], "operation string, ts timestamp, latency_ms double")
     row = jobs.sketch_percentiles(jobs.latency_sketches(df), ["operation"]).first()
     assert (row.calls, row.min_ms, row.p50_ms, row.max_ms) == (0, None, None, None)
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_clients_share_buckets_of_state(spark, requests, tmp_path, buckets, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKETS", buckets)
+    schema = write_files(spark, requests, str(tmp_path / "in"), 4, [2, 0, 3, 1])
+    limited(ordered.end_of_input(spark.createDataFrame(requests, REQUEST))).coalesce(1).write.parquet(str(tmp_path / "in" / "99"))
+    with ordered.rocksdb_state(spark):
+        out = jobs.run_available(ordered.rate_limit_in_order(jobs.read_stream(spark, str(tmp_path / "in" / "*"), schema, 1), "4000 seconds"),
+                                 str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert decisions(out) == brute(requests, 4, 150)
