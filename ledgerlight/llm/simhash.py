@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.llm.batches import LOWER, binary_text, slices, words
 from ledgerlight.llm.components import connected
-from ledgerlight.session import cut_lineage
+from ledgerlight.session import cut_lineage, sized
 
 BITS = 64
 SEED = 42
@@ -137,47 +137,68 @@ def near_links(distinct: DataFrame, differing: int = 3) -> DataFrame:
 
     Not all such pairs, but enough that the same fingerprints are connected. Every link is a true one.
     """
+    return _linked(distinct, differing)[0]
+
+
+def _linked(distinct: DataFrame, differing: int) -> tuple[DataFrame, DataFrame]:
+    """The links, and ``node``, ``root`` of the groups they make. What is connected once is not connected anew."""
     spark = distinct.sparkSession
     key = ["mask", "value"]
-    index = _indexed(distinct, _kinds(variants(list(range(BITS)), 0, differing)))
+    first = variants(list(range(BITS)), 0, differing)
+    index, rows = _indexed(distinct, _kinds(first)), distinct.count() * len(first)
     found: list[DataFrame] = []
+    open_links: list[tuple[DataFrame, int]] = []  # found, but not in `roots` yet, and how many
+    roots = None
+
+    def add(pairs: DataFrame, a: str, b: str, most: int) -> None:
+        links = pairs.filter(_near(a, b, differing)).select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
+        found.append(cut_lineage(sized(links, most)))
+        open_links.append((found[-1], found[-1].count()))
 
-    def add(pairs: DataFrame, a: str, b: str) -> None:
-        found.append(cut_lineage(pairs.filter(_near(a, b, differing)).select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()))
+    def connect() -> DataFrame:
+        known = [] if roots is None else [roots.select(F.col("node").alias("a"), F.col("root").alias("b"))]
+        most = sum(n for _, n in open_links) + sum(k.count() for k in known)
+        out = connected(_union(known + [links for links, _ in open_links]), most=most)
+        open_links.clear()
+        return out
 
     while True:
-        buckets = cut_lineage(index.groupBy(*key).agg(
+        buckets = cut_lineage(sized(index.groupBy(*key).agg(
             F.min("finger").alias("least"), F.max("finger").alias("most"), F.count("*").alias("n"),
-            F.max("bit").alias("bit"), F.min("side").alias("low"), F.max("side").alias("high")).filter(
+            F.max("bit").alias("bit"), F.min("side").alias("low"), F.max("side").alias("high")), rows).filter(
             "n > 1 and (bit = 0 or low != high)"))
-        add(buckets, "least", "most")
+        add(buckets, "least", "most", buckets.count())
         shared = index.join(buckets.filter("n > 2").select(*key, "least", "n"), key)
-        members = cut_lineage(shared)
-        add(members, "finger", "least")
-        roots = connected(_union(found))
+        members = cut_lineage(sized(shared, rows))
+        rows = members.count()
+        add(members, "finger", "least", rows)
+        roots = connect()
         placed = members.join(roots, members["finger"] == roots["node"], "left").drop("node").withColumn(
             "root", F.coalesce("root", "finger"))
-        placed = cut_lineage(placed)
-        apart = placed.groupBy(*key).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-        left = cut_lineage(placed.join(apart.select(*key), key))
+        placed = cut_lineage(sized(placed, rows))
+        apart = sized(placed.groupBy(*key).agg(F.min("root").alias("low"), F.max("root").alias("high")), rows).filter("low != high")
+        left = cut_lineage(sized(placed.join(apart.select(*key), key), rows))
         few = F.bit_count("open") <= FEW_BITS
         light = left.filter((F.col("n") <= SMALL_BUCKET) | few)
         one, other = light.alias("x"), light.alias("y")
         add(one.join(other, (F.col("x.mask") == F.col("y.mask")) & (F.col("x.value") == F.col("y.value"))
                      & (F.col("x.finger") < F.col("y.finger")) & (F.col("x.root") != F.col("y.root"))
                      & ((F.col("x.bit") == 0) | (F.col("x.side") != F.col("y.side"))))
-            .select(F.col("x.finger").alias("p"), F.col("y.finger").alias("q")), "p", "q")
+            .select(F.col("x.finger").alias("p"), F.col("y.finger").alias("q")), "p", "q", left.count() * SMALL_BUCKET)
         heavy = left.filter((F.col("n") > SMALL_BUCKET) & ~few).select("mask", "bit", "open", "finger")
-        kinds = heavy.select("mask", "bit", "open").distinct().collect()  # as many as the index has bucket kinds
+        kinds = heavy.groupBy("mask", "bit", "open").count().collect()  # as many as the index has bucket kinds
         if not kinds:
-            return _union(found)
+            return _union(found), connect() if open_links[0][1] else roots
         finer = [(k["mask"], inner) for k in kinds
                  for inner in variants([p for p in range(BITS) if k["open"] >> p & 1], k["mask"], differing)]
         cuts = spark.createDataFrame([(outer, *inner) for outer, inner in finer],
                                      "outer long, mask long, bit long, open long")
-        rows = heavy.select(F.col("mask").alias("outer"), "finger").distinct().join(F.broadcast(cuts), "outer")
-        index = cut_lineage(rows.select("mask", "bit", "open", F.col("finger").bitwiseAND(F.col("mask")).alias("value"),
-                                        (F.col("finger").bitwiseAND(F.col("bit")) != 0).alias("side"), "finger").distinct())
+        inner = sized(heavy.select(F.col("mask").alias("outer"), "finger").distinct(), rows).join(F.broadcast(cuts), "outer")
+        most = sum(k["count"] for k in kinds) * (len(finer) // len(kinds) + 1)
+        index = cut_lineage(sized(inner.select(
+            "mask", "bit", "open", F.col("finger").bitwiseAND(F.col("mask")).alias("value"),
+            (F.col("finger").bitwiseAND(F.col("bit")) != 0).alias("side"), "finger").distinct(), most))
+        rows = index.count()
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -196,10 +217,11 @@ def near_fingerprints(docs: DataFrame, n: int = 3, differing: int = 3, doc_id: s
     """
     column = F.col(f"`{doc_id}`")
     rows = cut_lineage(fingerprints(docs, column, F.col(f"`{text}`"), n).withColumn("part", F.spark_partition_id()))
-    classes = cut_lineage(rows.groupBy("finger").agg(F.min("doc_id").alias("first")))
-    groups = connected(near_links(classes, differing)).withColumnRenamed("node", "finger")
-    rooted = cut_lineage(classes.join(groups, "finger", "left").withColumn("root", F.coalesce("root", "finger")))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    placed = cut_lineage(rooted.join(firsts, "root").select("finger", "component"))
-    by_part = rows.select("finger", "part").distinct().join(placed, "finger")
-    return rows.join(by_part, ["finger", "part"]).select("doc_id", "finger", "component")
+    most = rows.count()
+    classes = cut_lineage(sized(rows.groupBy("finger").agg(F.min("doc_id").alias("first")), most))
+    groups = _linked(classes, differing)[1].withColumnRenamed("node", "finger")
+    rooted = cut_lineage(sized(classes.join(groups, "finger", "left"), most).withColumn("root", F.coalesce("root", "finger")))
+    firsts = sized(rooted.groupBy("root").agg(F.min("first").alias("component")), most)
+    placed = cut_lineage(sized(rooted.join(firsts, "root").select("finger", "component"), most))
+    by_part = sized(rows.select("finger", "part").distinct(), most).join(placed, "finger")
+    return sized(rows.join(by_part, ["finger", "part"]), most).select("doc_id", "finger", "component")

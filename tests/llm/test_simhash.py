@@ -13,6 +13,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 
 from fixtures import blank_words, corpus, documents  # noqa: E402
 
+from ledgerlight import session  # noqa: E402
 from ledgerlight.llm import simhash  # noqa: E402
 from ledgerlight.llm.op13 import HASH_SQL, SQL  # noqa: E402
 from ledgerlight.llm.op13 import simhash as query  # noqa: E402
@@ -139,3 +140,32 @@ def test_missing_ids_equal_rows_and_nothing(spark):
 def test_odd_column_names(spark):
     docs = documents(spark, ["a b c", "x"]).withColumnRenamed("text", "a.b").withColumn("finger", F.lit(1))
     assert simhash.near_fingerprints(docs, text="a.b").count() == 2
+
+
+def test_groups_in_few_files_without_merging_by_adaptive_execution(spark):
+    """Small tables make no task a partition: a session of many partitions that are never merged is to end as well."""
+    rng = random.Random(7)
+    centre, texts = [f"w{rng.randrange(900)}" for _ in range(60)], []
+    for _ in range(150):
+        own = list(centre)
+        own[rng.randrange(60)] = f"v{rng.randrange(900)}"
+        texts.append(" ".join(own))
+    docs = documents(spark, texts + texts[:20])
+    plain = {i: plain_fingerprint(t) for i, t in enumerate(texts + texts[:20])}
+    root = plain_components(set(plain.values()))
+    least = {}
+    for i, p in plain.items():
+        least[root[p]] = min(i, least.get(root[p], i))
+    before, files, held = len(session._WRITTEN), [], {"spark.sql.shuffle.partitions": "60",
+                                                      "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r["component"] for r in simhash.near_fingerprints(docs).collect()}
+        files = [len(spark.read.parquet(p).inputFiles()) for p in session._WRITTEN[before:]]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {i: least[root[p]] for i, p in plain.items()}
+    assert len(files) > 5 and max(files) <= spark.sparkContext.defaultParallelism
