@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.batches import binary_text, gram_hashes, slices, word_hashes
+from ledgerlight.llm.batches import binary_text, distinct, gram_hashes, slices, word_hashes
 from ledgerlight.session import cut_lineage
 
 ORDER = 2
@@ -37,6 +37,7 @@ BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 8 << 20
 #: Two n-grams of a corpus share a hash with a chance of 1 in 2 ** SPARE_BITS at most.
 SPARE_BITS = 20
+LOOKUP = 1 << 17  # keys looked up at once
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
@@ -85,6 +86,23 @@ def listed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[starts], np.diff(starts, append=len(keys)), index
 
 
+def tallied(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order and how often each stands there. Sorts the array itself: no other of its size is made."""
+    keys.sort()
+    first = np.ones(len(keys), dtype=bool)
+    np.not_equal(keys[1:], keys[:-1], out=first[1:])
+    starts = np.flatnonzero(first)
+    return keys[starts], np.diff(starts, append=len(keys))
+
+
+def looked_up(values: np.ndarray, among: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The value beside each key among the distinct ones, which ascend and hold all keys; places are found by parts."""
+    out = np.empty(len(keys), dtype=values.dtype)
+    for a in range(0, len(keys), LOOKUP):
+        out[a:a + LOOKUP] = values[np.searchsorted(among, keys[a:a + LOOKUP])]
+    return out
+
+
 def blocks(docs: DataFrame, order: int, ranges: int, bits: int, block_bytes: int) -> DataFrame:
     """One row per block: its documents, their words, commonest first, and its list of n-grams, cut by hash range."""
     rows = docs.select("doc_id", "text")
@@ -98,16 +116,21 @@ def blocks(docs: DataFrame, order: int, ranges: int, bits: int, block_bytes: int
         del hashes
         vocabulary, times, index = listed(words)
         common = np.argsort(-times, kind="stable")
-        number = np.empty(len(common), dtype=np.int64)
-        number[common] = np.arange(len(common))
-        keys, times, _ = listed(np.concatenate(gram_keys(words, counts, order, bits)))
+        number = np.empty(len(common), dtype=np.int32)
+        number[common] = np.arange(len(common), dtype=np.int32)
+        places = pack_counts(number[index])
+        del index, number
+        every = np.concatenate(gram_keys(words, counts, order, bits))
+        del words
+        keys, times = tallied(every)
+        del every
         width = (1 << bits) // ranges + 1
         cuts = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(width))
         lists = [{"part": k, "keys": pack_sorted(keys[a:b]), "times": pack_counts(times[a:b])}
                  for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
         return pa.record_batch(
             [pa.array([name]), pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([pack_counts(counts)], pa.binary()),
-             pa.array([pack_counts(vocabulary[common].astype(np.int64))], pa.binary()), pa.array([pack_counts(number[index])], pa.binary()),
+             pa.array([pack_counts(vocabulary[common].astype(np.int64))], pa.binary()), pa.array([places], pa.binary()),
              pa.array([lists], pa.list_(pa.struct([("part", pa.int64()), ("keys", pa.binary()), ("times", pa.binary())])))],
             names=["block", "ids", "words", "vocabulary", "places", "lists"])
 
@@ -115,7 +138,9 @@ def blocks(docs: DataFrame, order: int, ranges: int, bits: int, block_bytes: int
         held, size, made = [], 0, 0
         for texts in slices(batches):
             found, hashes = word_hashes(texts, "space")
-            held.append((texts.rows.column(0), found.counts, hashes))
+            ids = texts.rows.column(0)
+            # A copy: a slice would keep the whole batch, its texts included, until the block is full.
+            held.append((ids.take(pa.array(np.arange(len(ids)))), found.counts, hashes))
             size += len(texts.data) + 16 * len(texts)
             if size >= block_bytes:
                 yield block(held, f"{TaskContext.get().partitionId()}-{made}")
@@ -131,13 +156,17 @@ def blocks(docs: DataFrame, order: int, ranges: int, bits: int, block_bytes: int
 def answer_lists(group: pd.DataFrame) -> pd.DataFrame:
     """The count table of one hash range, and each block's counts from it, in the order of its list."""
     lists = [unpack_sorted(k) for k in group["keys"]]
+    cuts = np.cumsum([len(x) for x in lists])[:-1]
     keys = np.concatenate(lists)
+    del lists
     turn = np.argsort(keys)
-    first = np.concatenate(([True], np.diff(keys[turn]) != 0))
+    keys = keys[turn]
+    first = np.concatenate(([True], keys[1:] != keys[:-1]))
+    del keys
     totals = np.add.reduceat(np.concatenate([unpack_counts(t) for t in group["times"]])[turn], np.flatnonzero(first))
-    counts = np.empty(len(keys), dtype=np.int64)
-    counts[turn] = totals[np.cumsum(first) - 1]
-    cuts = np.cumsum([len(x) for x in lists])[:-1]
+    counts = np.empty(len(turn), dtype=np.int64)
+    counts[turn] = totals[np.cumsum(first, dtype=np.int32) - 1]
+    del turn, totals
     return pd.DataFrame({"block": group["block"], "part": group["part"], "counts": [pack_counts(c) for c in np.split(counts, cuts)]})
 
 
@@ -149,13 +178,14 @@ def _log_scores(row: dict, answers: list, total: int, order: int, min_count: int
     owner = np.repeat(np.arange(len(words)), words)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(words) - words, words)
     grams = gram_keys(unpack_counts(row["vocabulary"]).astype(np.uint64)[unpack_counts(row["places"])], words, order, bits)
-    counts = counts[listed(np.concatenate(grams))[2]]
-    by_end, done = [], 0  # counts of the n-gram that ends at each word
-    for n, keys in enumerate(grams, 1):
+    among = distinct(np.concatenate(grams))
+    by_end = []  # counts of the n-gram that ends at each word
+    for n in range(1, order + 1):
         own = np.zeros(len(owner), dtype=np.int64)
-        own[place >= n - 1] = counts[done:done + len(keys)]
-        done += len(keys)
+        own[place >= n - 1] = looked_up(counts, among, grams[n - 1])
+        grams[n - 1] = None
         by_end.append(own)
+    del among, counts
     out = np.log(by_end[0] / total)
     known = np.zeros(len(owner), dtype=np.int64)  # words of context that the estimate uses
     for n in range(2, order + 1):

@@ -4,9 +4,11 @@ import math
 import os
 import random
 import sys
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +67,32 @@ def test_urls_by_mined_rules(spark):
     assert all(not any(a < b for a in kept) for b in kept)
 
 
+def peak_of(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_lm_lists_and_scores_hold_few_arrays():
+    """Per n-gram of a hash range and per word of a block, beside what is read and returned."""
+    rng = np.random.default_rng(1)
+    keys = [np.unique(rng.integers(0, 1 << 50, 100_000, dtype=np.uint64)) for _ in range(8)]
+    group = pd.DataFrame({"block": list("abcdefgh"), "part": 0, "keys": [lm_score.pack_sorted(k) for k in keys],
+                          "times": [lm_score.pack_counts(np.ones(len(k), np.int64)) for k in keys]})
+    assert peak_of(lambda: lm_score.answer_lists(group)) < 40 * sum(map(len, keys))
+    counts = np.full(200, 1000)
+    words = (rng.zipf(1.3, 200_000) % 30_000).astype(np.uint64) << np.uint64(20)
+    vocabulary, _, places = lm_score.listed(words)
+    times = lm_score.listed(np.concatenate(lm_score.gram_keys(words, counts, 2, 50)))[1]
+    row = {"words": lm_score.pack_counts(counts), "vocabulary": lm_score.pack_counts(vocabulary.astype(np.int64)),
+           "places": lm_score.pack_counts(places)}
+    answers = [{"part": 0, "counts": lm_score.pack_counts(times)}]
+    assert peak_of(lambda: lm_score._log_scores(row, answers, len(words), 2, 2, 50)) < 95 * len(words)
+
+
 @pytest.mark.parametrize("order,block", [(2, 8 << 20), (3, 3000)])
 def test_lm_scores_like_brute_force(spark, order, block):
     texts = corpus(8, n=30, vocabulary=60)
