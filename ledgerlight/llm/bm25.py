@@ -3,10 +3,13 @@
 A shard is a run of documents with its own index. How many documents hold a term is counted over all shards, so every
 shard scores by the same statistics and the best k of all shards are the best k.
 
-A query meets a shard term by term, rarest first. What the terms still to come can add to any document is bounded by
-their largest weights. As soon as that is less than the k-th best sum so far, only documents whose sum plus bound
-reaches it can be among the best; the bound is then taken anew for each block of documents from the largest weights in
-the block, and what is left is scored in full. Nothing that could be among the best is passed over.
+A task goes through its shards one after another and keeps the best k of each query so far, so a shard only has to name
+what beats the k-th of the shards before, and a task gives k rows a query however many shards it has. What some terms can
+add to any document is bounded by their largest weights: if that is less than the k-th best score, documents without the
+other terms are passed over, and if few are near with them, only those are scored. Otherwise the postings of all rarer
+terms are summed. Common terms are kept as columns, in blocks of documents of like length: a block is bounded by its
+largest weights and by its longest vector (Cauchy-Schwarz), and only blocks that may reach the k-th best score are
+multiplied with the queries at hand. What is left is scored in full. Nothing that could be among the best is passed over.
 
 Queries are packed and sent to the shards in groups of bounded size; each group is one pass over the index.
 
@@ -24,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,9 +42,16 @@ SHARD_BYTES = 32 << 20
 #: Packed queries in one pass over the index.
 GROUP_BYTES = 16 << 20
 RANGE_BYTES = 16 << 20
-#: Terms in more than one document in so many are kept as columns over all documents of the shard.
-COMMON = 8
+#: Terms in more than one document in so many are kept as columns over all documents of the shard, as far as there is room.
+COMMON = 16
+COLUMN_BYTES = 64 << 20
 BLOCK_DOCS = 64
+#: Queries that meet a shard together, and sums held for them.
+QUERIES_AT_ONCE = 128
+SUMS_AT_ONCE = 1 << 20
+POSTING = np.dtype([("doc", np.int32), ("weight", np.float32)])
+#: Lists of so many postings are read together.
+SHORT_LIST = 64
 KEY_BITS = 60
 
 
@@ -95,112 +106,193 @@ def index_shards(docs: DataFrame, ranges: int, shard_bytes: int) -> DataFrame:
               "tf binary, lists array<struct<part: bigint, keys: binary, times: binary>>")
 
 
+class Queries(NamedTuple):
+    ids: list
+    ends: np.ndarray  # where each query's words end
+    keys: np.ndarray
+    idf: np.ndarray
+
+
+class Best:
+    """The best k documents of each query among the shards that a task has gone through, by score, then id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.scores = np.zeros((queries, k))  # descending; 0 where a place is free
+        self.places = np.full((queries, k), -1, dtype=np.int64)
+        self.ids = None
+
+    def begin(self, ids: pa.Array) -> int:
+        """Adds a shard's ids; its documents are placed behind those of the shards before."""
+        first = 0 if self.ids is None else len(self.ids)
+        self.ids = ids if self.ids is None else pa.concat_arrays([self.ids, ids])
+        return first
+
+    def add(self, q: int, places: np.ndarray, scores: np.ndarray) -> None:
+        k = self.k
+        scores, places = np.concatenate((self.scores[q], scores)), np.concatenate((self.places[q], places))
+        order = np.argsort(-scores, kind="stable")
+        last = scores[order[k - 1]]
+        if len(order) > k and last > 0 and scores[order[k]] == last:  # ids decide among equals
+            above, equal = order[scores[order] > last], order[scores[order] == last]
+            by_id = pc.array_sort_indices(self.ids.take(pa.array(places[equal])), null_placement="at_end").to_numpy()
+            order = np.concatenate((above, equal[by_id]))
+        self.scores[q], self.places[q] = scores[order[:k]], places[order[:k]]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the query, place and score, for each document found."""
+        found = self.scores > 0
+        return np.repeat(np.arange(len(found)), found.sum(axis=1)), self.places[found], self.scores[found]
+
+
 class Shard:
-    """The index of one shard as arrays: postings by term, terms by document, bounds, and columns of common terms."""
+    """The index of one shard as arrays: postings by term, terms by document, columns of common terms, and bounds.
 
-    def __init__(self, row: dict, mean_length: float):
-        self.keys = np.concatenate([unpack_sorted(x["keys"]) for x in row["lists"]]) if row["lists"] else np.zeros(0, np.uint64)
-        sizes = unpack_counts(row["sizes"])
+    Weights are what a term of a query adds to a document's score. Documents stand in order of length, so that a block's
+    are alike.
+    """
+
+    def __init__(self, row: dict, queries: Queries, mean_length: float):
+        keys = np.concatenate([unpack_sorted(x["keys"]) for x in row["lists"]]) if row["lists"] else np.zeros(0, np.uint64)
+        self.term = _found(keys, queries.keys)
+        known = self.term >= 0
+        idf = np.zeros(len(keys))
+        idf[self.term[known]] = queries.idf[known]
+        sizes, lengths = unpack_counts(row["sizes"]), unpack_counts(row["lengths"])
         self.n = len(sizes)
+        self.place = np.argsort(lengths, kind="stable")
+        turned = np.empty(self.n, dtype=np.int32)
+        turned[self.place] = np.arange(self.n, dtype=np.int32)
         self.by_doc = np.concatenate(([0], np.cumsum(sizes)))
         self.doc_terms = unpack_counts(row["terms"]).astype(np.int32)
         tf = unpack_counts(row["tf"]).astype(np.float64)
-        length = np.repeat(unpack_counts(row["lengths"]).astype(np.int32), sizes)
+        length = np.repeat(lengths.astype(np.int32), sizes)
         self.doc_weights = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean_length, 1e-9)))
+        del tf, length
+        self.doc_weights *= idf[self.doc_terms]
         turn = np.argsort(self.doc_terms, kind="stable")
-        self.docs = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[turn]
-        self.weights = self.doc_weights[turn].astype(np.float32)
-        counts = np.bincount(self.doc_terms, minlength=len(self.keys))
+        docs, weights = np.repeat(turned, sizes)[turn], self.doc_weights[turn]
+        del turn
+        self.postings = np.empty(len(docs), dtype=POSTING)
+        self.postings["doc"], self.postings["weight"] = docs, weights
+        counts = np.bincount(self.doc_terms, minlength=len(keys))
         self.starts = np.concatenate(([0], np.cumsum(counts)))
-        self.most = np.maximum.reduceat(self.weights, self.starts[:-1]) if len(self.keys) else np.zeros(0, np.float32)
-        # Weights are rounded to single precision; bounds are raised to make up for it.
-        self.most = self.most * np.float32(1 + 1e-6)
-        common = np.flatnonzero(counts * COMMON > self.n)
-        self.column = np.full(len(self.keys), -1, dtype=np.int64)
+        self.most = np.maximum.reduceat(weights, self.starts[:-1]) if len(keys) else np.zeros(0)
+        blocks = -(-self.n // BLOCK_DOCS)
+        common = np.flatnonzero((counts * COMMON > self.n) & (idf > 0))
+        room = COLUMN_BYTES // (4 * blocks * BLOCK_DOCS)
+        common = np.sort(common[np.argsort(-counts[common], kind="stable")[:room]])
+        self.column = np.full(len(keys), -1, dtype=np.int64)
         self.column[common] = np.arange(len(common))
-        self.columns = np.zeros((len(common), -(-self.n // BLOCK_DOCS) * BLOCK_DOCS), dtype=np.float32)
+        # By block, then term, then document.
+        self.columns = np.zeros((blocks, len(common), BLOCK_DOCS), dtype=np.float32)
+        squares = np.zeros(blocks * BLOCK_DOCS)
         for i, t in enumerate(common):
             own = slice(self.starts[t], self.starts[t + 1])
-            self.columns[i, self.docs[own]] = self.weights[own]
-        self.block_most = self.columns.reshape(len(common), -1, BLOCK_DOCS).max(axis=2) * np.float32(1 + 1e-6)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Index of each key among the shard's terms, or -1."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
-
-    def best(self, terms: np.ndarray, idf: np.ndarray, k: int) -> np.ndarray:
-        """Documents that may be among the best k, all of those that are included."""
-        column = self.column[terms]
-        rare = np.flatnonzero(column < 0)
-        rare = rare[np.argsort(-idf[rare], kind="stable")]
-        sums = np.zeros(self.n)
-        bound_common = float((idf * self.most[terms])[column >= 0].sum())
-        bounds = idf[rare] * self.most[terms[rare]]
-        rest = np.concatenate((np.cumsum(bounds[::-1])[::-1], [0.0])) + bound_common
-        done, least = 0, 0.0
-        postings = self.starts[terms[rare] + 1] - self.starts[terms[rare]]
-        reach = np.cumsum(postings)
-        while done < len(rare):
-            # So many terms at a time as have about as many postings as the shard has documents.
-            upto = max(done + 1, int(np.searchsorted(reach, (reach[done - 1] if done else 0) + self.n, "right")))
-            part, n = rare[done:upto], postings[done:upto]
-            where = np.arange(n.sum()) + np.repeat(self.starts[terms[part]] - (np.cumsum(n) - n), n)
-            sums += np.bincount(self.docs[where], weights=self.weights[where] * np.repeat(idf[part], n), minlength=self.n)
-            done = upto
-            least = float(np.partition(sums, self.n - k)[self.n - k]) if self.n >= k else 0.0
-            if rest[done] < least:
-                break
-        slack = 1e-5 * (1.0 + least + bound_common)
-        left = np.flatnonzero(sums + rest[done] >= least - slack)
-        shared = np.flatnonzero(column >= 0)
-        if len(shared):
-            in_block = idf[shared].astype(np.float32) @ self.block_most[column[shared]]
-            tail = rest[done] - bound_common
-            left = left[sums[left] + tail + in_block[left // BLOCK_DOCS] >= least - slack]
-            full = sums[left] + idf[shared].astype(np.float32) @ self.columns[np.ix_(column[shared], left)]
-            if len(left) > k:  # sums of the common terms are known now; what is open is the tail
-                least = max(least, float(np.partition(full, len(full) - k)[len(full) - k]))
-            left = left[full + tail >= least - slack]
-        return left
-
-    def score(self, doc: int, terms: np.ndarray, idf: np.ndarray) -> float:
-        """The score in double precision, terms in order of their hash: the same in any shard."""
-        own = slice(self.by_doc[doc], self.by_doc[doc + 1])
-        at = np.minimum(np.searchsorted(terms, self.doc_terms[own]), len(terms) - 1)
-        same = terms[at] == self.doc_terms[own]
-        return float(np.round((idf[at[same]] * self.doc_weights[own][same]).sum(), 6))
+            self.columns[docs[own] // BLOCK_DOCS, i, docs[own] % BLOCK_DOCS] = weights[own]
+            squares[docs[own]] += weights[own] ** 2 / idf[t]
+        self.idf_common = idf[common].astype(np.float32)
+        self.block_most = np.ascontiguousarray(self.columns.max(axis=2).T) if len(common) else np.zeros((0, blocks), np.float32)
+        self.block_norm = np.sqrt(squares.reshape(blocks, BLOCK_DOCS).max(axis=1, initial=0.0))
+        self.asked = np.zeros(len(keys), dtype=bool)  # terms of the query at hand
+        # Weights are in single precision: a sum of so many of them may be off by this part of it.
+        self.error = 1e-5 + 1e-7 * len(common)
 
+    def sums(self, terms: np.ndarray) -> np.ndarray:
+        """What the postings of the terms add to each document."""
+        first, n = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
+        few, postings = n <= SHORT_LIST, self.postings.view(np.int64)
+        short = n[few]
+        where = np.arange(short.sum()) + np.repeat(first[few] - (np.cumsum(short) - short), short)
+        spans = zip(first[~few].tolist(), (first + n)[~few].tolist())
+        own = np.concatenate([postings[where], *(postings[a:b] for a, b in spans)]).view(POSTING)
+        return np.bincount(own["doc"], own["weight"], minlength=self.n)
 
-class Queries(NamedTuple):
-    ids: list
-    ends: np.ndarray  # where each query's words end
-    keys: np.ndarray
-    idf: np.ndarray
+    def score(self, places: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """Scores in double precision, terms in order of their hash: the same in any shard."""
+        self.asked[terms] = True
+        out = np.zeros(len(places))
+        for i, (a, b) in enumerate(zip(self.by_doc[places].tolist(), self.by_doc[places + 1].tolist())):
+            out[i] = self.doc_weights[a:b][self.asked[self.doc_terms[a:b]]].sum()
+        self.asked[terms] = False
+        return np.round(out, 6)
+
+    def search(self, first: int, queries: list[np.ndarray], best: Best, offset: int) -> None:
+        """Brings the best documents of some queries, given by their terms, up to date with this shard's documents."""
+        k, count, blocks = best.k, len(queries), len(self.columns)
+        least = best.scores[first:first + count, k - 1]
+        reach = least - self.error * (1 + least)
+        reach[least == 0] = 0
+        sums = np.zeros((count, blocks * BLOCK_DOCS), dtype=np.float32)
+        asks = np.zeros((count, len(self.idf_common)), dtype=np.float32)
+        open_ = np.ones(count, dtype=bool)
+
+        def keep(i: int, near: np.ndarray) -> None:
+            if len(near):
+                scores = self.score(self.place[near], queries[i])
+                good = (scores > 0) & (scores >= least[i])
+                best.add(first + i, offset + self.place[near[good]], scores[good])
+
+        for i, terms in enumerate(queries):
+            column = self.column[terms]
+            rare, shared = terms[column < 0], column[column >= 0]
+            most = self.most[rare]
+            turn = np.argsort(-most, kind="stable")
+            rare = rare[turn]
+            # What terms from each place on can add; those that cannot lift a document by themselves need not be read
+            # if few documents are near with the others.
+            rest = np.concatenate((np.cumsum(most[turn][::-1])[::-1], [0.0])) + self.most[terms[column >= 0]].sum()
+            needed = int(np.argmax(rest < reach[i])) if rest[-1] < reach[i] else len(rare)
+            if not len(terms) or rest[0] < reach[i]:
+                open_[i] = False
+                continue
+            own = self.sums(rare[:needed])
+            if rest[needed] < reach[i]:
+                near = np.flatnonzero(own + rest[needed] >= reach[i])
+                if len(near) <= 2 * k:
+                    keep(i, near)
+                    open_[i] = False
+                    continue
+                own += self.sums(rare[needed:])
+            sums[i, :self.n] = own
+            asks[i, shared] = 1
+        bound = np.minimum(asks @ self.block_most, np.sqrt(asks @ self.idf_common)[:, None] * self.block_norm)
+        bound = bound * (1 + self.error) + sums.reshape(count, blocks, BLOCK_DOCS).max(axis=2)
+        alive = (bound >= reach[:, None]) & (bound > 0) & open_[:, None]
+        for j, own in enumerate(alive.T):
+            span = slice(j * BLOCK_DOCS, (j + 1) * BLOCK_DOCS)
+            if own.all():
+                sums[:, span] += asks @ self.columns[j]
+            else:
+                sums[~own, span] = -1
+                if own.any():
+                    sums[own, span] += asks[own] @ self.columns[j]
+        for i in np.flatnonzero(open_):
+            near = np.flatnonzero(sums[i] >= reach[i]) if reach[i] > 0 else np.flatnonzero(sums[i] > 0)
+            if len(near) > 2 * k:
+                values = sums[i, near]
+                kth = float(np.partition(values, len(near) - k)[len(near) - k])
+                near = near[values >= kth - 2 * self.error * (1 + kth)]
+            keep(i, near)
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Index of each wanted key among the ascending ones, or -1."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
 
 
-def _search(row: dict, queries: Queries, mean_length: float, k: int) -> tuple[list, list, list]:
-    shard = Shard(row, mean_length)
-    term = shard.find(queries.keys)
-    asked, docs, scores = [], [], []
-    for q, (a, b) in enumerate(zip([0, *queries.ends[:-1]], queries.ends)):
-        known = term[a:b] >= 0
-        if not known.any():
-            continue
-        terms, idf = term[a:b][known], queries.idf[a:b][known]
-        left = shard.best(terms, idf, k)
-        exact = np.array([shard.score(int(d), terms, idf) for d in left])
-        order = np.lexsort((left, -exact))
-        # Ids decide among equals, and are not in order of place: all that equal the k-th go on.
-        order = order[exact[order] >= exact[order[min(k, len(order)) - 1]]] if len(order) else order
-        for d in order:
-            if exact[d] > 0:
-                asked.append(q)
-                docs.append(int(left[d]))
-                scores.append(float(exact[d]))
-    return asked, docs, scores
+def _search(row: dict, ids: pa.Array, queries: Queries, mean_length: float, best: Best) -> None:
+    offset = best.begin(ids)
+    shard = Shard(row, queries, mean_length)
+    starts = [0, *queries.ends]
+    size = max(1, min(QUERIES_AT_ONCE, SUMS_AT_ONCE // max(shard.n, 1)))
+    for first in range(0, len(queries.ids), size):
+        last = min(first + size, len(queries.ids))
+        terms = [shard.term[a:b] for a, b in zip(starts[first:last], starts[first + 1:last + 1])]
+        shard.search(first, [t[t >= 0] for t in terms], best, offset)
 
 
 def top_documents(docs: DataFrame, asks: Column, k: int = 10, shard_bytes: int = SHARD_BYTES,
@@ -253,23 +345,27 @@ def top_documents(docs: DataFrame, asks: Column, k: int = 10, shard_bytes: int =
             [r["query_id"] for r in rows], np.cumsum([len(x) for x in keys]).tolist(), np.concatenate(keys or [np.zeros(0, np.uint64)]), idf))
 
         def search(batches: Iterator[pa.RecordBatch], queries=queries) -> Iterator[pa.RecordBatch]:
+            best = Best(len(queries.value.ids), k)
             for batch in batches:
                 for i in range(batch.num_rows):
-                    row = batch.slice(i, 1).to_pylist()[0]
-                    ask, place, score = _search(row, queries.value, mean_length, k)
-                    ids = batch.column("ids").slice(i, 1).flatten()
-                    yield pa.record_batch([pa.array([queries.value.ids[q] for q in ask], ids.type), pa.array(ask, pa.int64()),
-                                           ids.take(pa.array(place, pa.int64())), pa.array(score, pa.float64())],
-                                          names=["query_id", "ask", "doc_id", "score"])
+                    row = batch.drop_columns(["ids"]).slice(i, 1).to_pylist()[0]
+                    _search(row, batch.column("ids").slice(i, 1).flatten(), queries.value, mean_length, best)
+            if best.ids is not None:
+                ask, place, score = best.rows()
+                yield pa.record_batch([pa.array([queries.value.ids[q] for q in ask], best.ids.type), pa.array(ask, pa.int64()),
+                                       best.ids.take(pa.array(place, pa.int64())), pa.array(score, pa.float64())],
+                                      names=["query_id", "ask", "doc_id", "score"])
 
         found_schema = T.StructType([T.StructField("query_id", kind), T.StructField("ask", T.LongType()),
                                      T.StructField("doc_id", kind), T.StructField("score", T.DoubleType())])
-        found = made.select("block", "ids", "lists", "lengths", "sizes", "terms", "tf").mapInArrow(search, found_schema)
+        # A task a slot: each gives its best k of all its shards, so that rows follow the queries and not the shards.
+        found = made.select("block", "ids", "lists", "lengths", "sizes", "terms", "tf").coalesce(
+            spark.sparkContext.defaultParallelism).mapInArrow(search, found_schema)
         found = found.withColumn("ask", F.col("ask") + (g << 40))
         out = found if out is None else out.unionAll(found)
     if out is None:
         return docs.select(F.col("doc_id").alias("query_id"), F.lit(0).alias("rank"), "doc_id", F.lit(0.0).alias("score")).limit(0)
-    # A query's rows are the best k of each shard, and what equals the k-th.
+    # A query's rows are the best k of each task's shards.
     order = Window.partitionBy("ask").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "doc_id", "score")
