@@ -243,3 +243,18 @@ def test_one_of_each_keeps_columns_and_clean_texts(spark):
 def test_chunks_meet_by_digest_and_no_text_is_sorted(spark):
     plan = line_chunks.drop_repeated(documents(spark, ["a\nb", "a\nb"]))._jdf.queryExecution().executedPlan().toString()
     assert "first_body" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_chunks_of_one_hash_are_told_apart_by_their_bytes(spark, monkeypatch):
+    real, digest = line_chunks.F.xxhash64, line_chunks.F.sha2
+    texts = ["\n".join(f"text {i % 7} line {k}" for k in range(40)) for i in range(10)]
+    texts += ["x\ny", "x\ny", "z\ny", None, "one"]
+    docs = documents(spark, texts)
+    want = {r["row"]["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in line_chunks.drop_repeated(docs).collect()}
+    assert want[6][2] == want[10][2] == want[12][2] == 0 and want[11][2] == 2 and all(want[i][2] > 30 for i in (7, 8, 9))
+    # One hash, then two, for all bodies: whichever way bodies are hashed, equal hashes are not equal bodies.
+    for few in (1, 2):
+        monkeypatch.setattr(line_chunks.F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(few)))
+        monkeypatch.setattr(line_chunks.F, "sha2", lambda c, bits: digest(F.pmod(real(c), F.lit(few)).cast("string"), bits))
+        got = {r["row"]["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in line_chunks.drop_repeated(docs).collect()}
+        assert got == want
