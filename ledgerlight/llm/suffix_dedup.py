@@ -10,7 +10,7 @@ strings of ``SPAN`` bytes always meet in one:
    documents go out one by one, each to the shard of its own hash, so no anchor fills a shard.
 3. A shard sorts the suffixes of contexts that share an anchor with another one. Suffixes next to each other with a
    common prefix of SPAN or more are equal strings, whose first document is the least of their contexts'. An anchor with
-   a single context has nothing to be compared with.
+   a single context has nothing to be compared with, nor have strings at a context's ends whose hash no other string has.
 4. Each block gets back the first document of each string and works out its documents' bytes.
 
 Documents are kept in blocks of text in a table bucketed by block, so only hashes, contexts and answers are shuffled.
@@ -34,17 +34,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.batches import SLICE_BYTES, binary_text, mix, slices, span_hashes, span_sums
+from ledgerlight.llm.batches import binary_text, mix, slices, span_hashes, span_sums
 from ledgerlight.llm.induced_sort import BREAK, END, FIRST, sorted_suffixes
 from ledgerlight.llm.lm_score import answer_lists, pack_counts, pack_sorted, unpack_counts, unpack_sorted
 from ledgerlight.session import cut_lineage, ensure_checkpoint_dir
 
 SPAN, GRAM = 50, 20
 BLOCK_BYTES = 4 << 20
-RANGE_BYTES = 2 << 20
+#: Text whose anchors meet in one shard. Each block sends a row to each shard, so few shards are few rows; but a small input
+#: has ``LEAST_RANGES`` of them, unless each would hold less than ``LEAST_BYTES``.
+RANGE_BYTES, LEAST_RANGES, LEAST_BYTES = 16 << 20, 64, 2 << 20
+WINDOW_BYTES = 1 << 17  # text whose anchors are looked for at once: its arrays stay in the processor's cache
 PIECE_BYTES = 1 << 20  # contexts sorted at once in a shard; memory follows this and not the shard
-#: An anchor in more documents than this sends its strings out one by one.
-HOT_DOCS = 5_000
+#: An anchor in more documents than this, whose contexts would fill a piece, sends its strings out one by one.
+HOT_DOCS = 15_000
 LAST = (1 << 63) - 1
 
 
@@ -63,26 +66,30 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
         have *= 2
     if have < wide:
         least = np.minimum(least[:have - wide], least[wide - have:])
-    place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[:len(place)]
-    inside = np.flatnonzero(np.arange(SPAN, len(place) + SPAN) <= starts[owner + 1])
-    if not len(inside):
-        return np.zeros(0, np.uint64), empty, empty, empty
-    place, owner = place[inside], owner[inside]
-    new = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]))))
-    return grams[place[new]], inside[new], inside[np.append(new[1:], len(inside)) - 1], owner[new]
+    new = np.ones(len(least), dtype=bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        if b - a >= SPAN:
+            new[a] = True
+        new[max(a, b - SPAN + 1):b] = False  # strings that would end in the next text
+    first = np.flatnonzero(new)
+    owner = np.searchsorted(starts, first, "right") - 1
+    last = np.minimum(np.append(first[1:], len(least)) - 1, starts[owner + 1] - SPAN)
+    return grams[(least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)], first, last, owner
 
 
 def block_anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     """The same for a block, some texts at a time."""
     out, first = [], 0
     while first < len(starts) - 1:
-        last = min(max(first + 1, int(np.searchsorted(starts, starts[first] + SLICE_BYTES, "right")) - 1), len(starts) - 1)
+        last = min(max(first + 1, int(np.searchsorted(starts, starts[first] + WINDOW_BYTES, "right")) - 1), len(starts) - 1)
         base = starts[first]
         keys, a, b, owner = anchors(data[base:starts[last]], starts[first:last + 1] - base)
         out.append((keys, a + base, b + base, owner + first))
         first = last
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else anchors(data, starts)
+    found = tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else anchors(data, starts)
+    # Anchors have the least hashes around, so most would meet in the first shards if these went by the hash itself.
+    return mix(found[0]), *found[1:]
 
 
 def _squeeze(raw: bytes) -> bytes:
@@ -103,7 +110,7 @@ def blocks(docs: DataFrame, ranges: int, bits: int) -> DataFrame:
         starts = np.concatenate(([0], np.cumsum(np.concatenate([h[2] for h in held]))))
         keys, _, _, owner = block_anchors(data, starts)
         keys >>= np.uint64(64 - bits)
-        turn = np.lexsort((owner, keys))
+        turn = np.argsort(keys, kind="stable")  # owners go up as they are
         keys, owner = keys[turn], owner[turn]
         new_key = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
         new_pair = new_key | np.concatenate(([True], owner[1:] != owner[:-1])) if len(keys) else new_key
@@ -151,12 +158,14 @@ class Block:
         self.order = np.array([LAST if i is None else int(i) for i in self.ids], dtype=np.int64)
         self.starts = np.concatenate(([0], np.cumsum(unpack_counts(row["lengths"]))))
         self.data = np.frombuffer(_open(row["data"]), dtype=np.uint8)
-        listed = np.concatenate([unpack_sorted(x["keys"]) for x in row["lists"]] or [np.zeros(0, np.uint64)])
         answers = sorted(row["answers"] or [], key=lambda a: a["part"])
         holders = np.concatenate([unpack_counts(a["counts"]) for a in answers] or [np.zeros(0, np.int64)])
         keys, first, last, owner = block_anchors(self.data, self.starts)
         keys = keys >> np.uint64(64 - bits)
-        held = holders[np.searchsorted(listed, keys)] if len(listed) else holders
+        turn = np.argsort(keys)
+        listed = np.empty(len(keys), dtype=np.int64)  # place of each key among the distinct ones, which are the block's list
+        listed[turn] = np.cumsum(np.diff(keys[turn], prepend=keys[turn][:1]) != 0)
+        held = holders[listed]
         shared, hot = (held > 1) & (held <= HOT_DOCS), held > HOT_DOCS
         width = (1 << bits) // ranges + 1
         part = (keys[shared] // np.uint64(width)).astype(np.int64)
@@ -164,7 +173,7 @@ class Block:
             keys[shared], first[shared], last[shared], owner[shared], first[hot], last[hot], owner[hot])
         if len(hot_first):
             count = hot_last - hot_first + 1
-            single = np.arange(count.sum()) + np.repeat(hot_first - (np.cumsum(count) - count), count)
+            single = _places(hot_first, count)
             own = span_hashes(self.data, single, single + SPAN)
             keys = np.concatenate((keys, own | np.uint64(1 << 63)))
             part = np.concatenate((part, (mix(own) % np.uint64(ranges)).astype(np.int64)))
@@ -201,15 +210,15 @@ class Block:
             inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             gone = firsts[inner + np.repeat(before[self.context], count)] < np.repeat(self.order[self.owner], count)
             at = (inner + np.repeat(self.first, count))[gone]
-            np.add.at(marks, at, 1)
-            np.add.at(marks, at + SPAN, -1)
+            marks[at] += 1  # a string has one anchor, so no place comes twice
+            marks[at + SPAN] -= 1
         return np.cumsum(marks[:-1]) > 0
 
 
 def _spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The bytes of spans, end to end."""
     size = end - begin
-    return data[np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)]
+    return data[_places(begin, size)]
 
 
 def first_documents(data: np.ndarray, size: np.ndarray, earliest: np.ndarray) -> np.ndarray:
@@ -258,6 +267,23 @@ def pieces(key: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:]))
 
 
+def _places(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` numbers from ``begin`` up, one run after the other."""
+    return np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
+
+
+def _comparable(data: np.ndarray, begin: np.ndarray, strings: np.ndarray) -> np.ndarray:
+    """Of the strings of contexts, in order: whether another one has the same hash. All others stand alone."""
+    at = _places(begin, strings)
+    hashes = span_hashes(data, at, at + SPAN)
+    turn = np.argsort(hashes)
+    same = hashes[turn][1:] == hashes[turn][:-1]
+    out = np.zeros(len(at), dtype=bool)
+    out[turn[1:][same]] = True
+    out[turn[:-1][same]] = True
+    return out
+
+
 def _resolve(group: pd.DataFrame) -> pd.DataFrame:
     """One shard: the first document of each string of each context of each block, as runs."""
     keys = [unpack_sorted(x) for x in group["keys"]]
@@ -274,23 +300,40 @@ def _resolve(group: pd.DataFrame) -> pd.DataFrame:
     context[turn] = np.cumsum(new) - 1
     least, chosen = np.minimum.reduceat(earliest[turn], heads), turn[heads]
     kinds = np.bincount((np.cumsum(new_key) - 1)[heads])  # contexts of each anchor
-    several = kinds[(np.cumsum(new_key) - 1)[heads]] > 1
+    several = np.flatnonzero(kinds[(np.cumsum(new_key) - 1)[heads]] > 1)
     strings = sizes[chosen] - SPAN + 1
-    before = np.concatenate(([0], np.cumsum(strings)))
-    firsts = np.repeat(least, strings)
-    if several.any():
-        own, own_least = chosen[several], least[several]
-        found = [first_documents(_spans(data, end[own[a:b]] - sizes[own[a:b]], end[own[a:b]]), sizes[own[a:b]], own_least[a:b])
-                 for a, b in pieces(key[own], sizes[own])]
-        firsts[np.repeat(several, strings)] = np.concatenate(found)
+    # A context is one run of strings that have its own first document, unless some stand in others too.
+    runs, values, lengths = np.ones(len(chosen), dtype=np.int64), least, strings
+    if len(several):
+        own, count = chosen[several], strings[several]
+        firsts = np.repeat(least[several], count)
+        before = np.cumsum(count) - count
+        met = np.flatnonzero(_comparable(data, end[own] - sizes[own], count))
+        holder = np.searchsorted(before, met, "right") - 1
+        cuts = np.flatnonzero(np.concatenate(([True], holder[1:] != holder[:-1]))) if len(met) else met
+        # Of each context, from the first to the last such string.
+        low, high, holder = met[cuts], met[np.append(cuts[1:], len(met)) - 1] if len(met) else met, holder[cuts]
+        begin = (end[own] - sizes[own])[holder] + low - before[holder]
+        size = high - low + SPAN
+        for a, b in pieces(key[own][holder], size) if len(met) else ():
+            firsts[_places(low[a:b], size[a:b] - SPAN + 1)] = first_documents(
+                _spans(data, begin[a:b], begin[a:b] + size[a:b]), size[a:b], least[several][holder[a:b]])
+        new_run = np.concatenate(([True], firsts[1:] != firsts[:-1]))
+        new_run[before] = True
+        run_at = np.flatnonzero(new_run)
+        runs[several] = np.add.reduceat(new_run, before, dtype=np.int64)
+        values, lengths = np.repeat(least, runs), np.repeat(strings, runs)
+        where = _places((np.cumsum(runs) - runs)[several], runs[several])
+        values[where], lengths[where] = firsts[run_at], np.diff(run_at, append=len(firsts))
+    first_run = np.cumsum(runs) - runs
     out, done = [], 0
     for own in keys:
         mine = context[done:done + len(own)]
         done += len(own)
-        values = firsts[np.arange(strings[mine].sum())
-                        + np.repeat(before[mine] - (np.cumsum(strings[mine]) - strings[mine]), strings[mine])]
-        turns = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-        out.append((pack_counts(values[turns]), pack_counts(np.diff(turns, append=len(values)))))
+        which = _places(first_run[mine], runs[mine])
+        value = values[which]
+        turns = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+        out.append((pack_counts(value[turns]), pack_counts(np.add.reduceat(lengths[which], turns))))
     pa.default_memory_pool().release_unused()
     return pd.DataFrame({"block": group["block"], "part": group["part"],
                          "firsts": [a for a, _ in out], "runs": [b for _, b in out]})
@@ -302,7 +345,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     ``doc_id`` is a whole number.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, -(-size // RANGE_BYTES))
+    ranges = max(1, -(-size // RANGE_BYTES), min(LEAST_RANGES, -(-size // LEAST_BYTES)))
     # Anchors that meet by chance only make work; one in a thousand does.
     bits = min(62, max(24, math.ceil(math.log2(max(2, size // 8))) + 10))
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (4 * BLOCK_BYTES)))
@@ -310,15 +353,15 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     lists = made.select("block", F.explode("lists").alias("l")).select("block", "l.*")
     answers = cut_lineage(lists.groupBy("part").applyInPandas(answer_lists, "block string, part long, counts binary"))
     by_block = answers.groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias("answers"))
-    known = made.withColumn("lists", F.transform("lists", lambda x: F.struct(x["part"].alias("part"), x["keys"].alias("keys")))).join(
-        by_block, "block", "left")
+    known = made.drop("lists").join(by_block, "block", "left")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                for found in Block(row, ranges, bits).contexts():
-                    yield pa.RecordBatch.from_pylist([{"block": row["block"], **found}])
+                found = [{"block": row["block"], **x} for x in Block(row, ranges, bits).contexts()]
+                if found:
+                    yield pa.RecordBatch.from_pylist(found)
                 pa.default_memory_pool().release_unused()  # blocks are large, and workers live on
 
     contexts = known.mapInArrow(send, "block string, part long, keys binary, lengths binary, earliest binary, bytes binary")
@@ -334,7 +377,9 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
                 gone = own.removed(row["replies"] or [])
                 totals = np.concatenate(([0], np.cumsum(gone)))
                 rise = gone.copy()
-                rise[1:] &= ~gone[:-1] | np.isin(np.arange(1, len(gone)), own.starts)
+                rise[1:] &= ~gone[:-1]
+                heads = own.starts[:-1][np.diff(own.starts) > 0]
+                rise[heads] = gone[heads]
                 spans = np.concatenate(([0], np.cumsum(rise)))
                 kept = [own.data[a:b][~gone[a:b]].tobytes() for a, b in zip(own.starts[:-1], own.starts[1:])]
                 columns = [one.column("ids").flatten(), pa.array(np.diff(own.starts)), pa.array(np.diff(totals[own.starts])),

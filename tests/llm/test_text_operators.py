@@ -5,6 +5,7 @@ import os
 import sys
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from fixtures import blank_words, corpus, documents, plain_words  # noqa: E402
 
 from ledgerlight.llm import decontamination, jaccard, line_chunks, suffix_dedup  # noqa: E402
 from ledgerlight.llm.induced_sort import sorted_suffixes  # noqa: E402
+from ledgerlight.llm.lm_score import pack_counts, pack_sorted, unpack_counts  # noqa: E402
 
 
 @pytest.mark.parametrize("window,chunk", [(10, 100_000), (3, 20)])
@@ -186,6 +188,33 @@ def test_repeats_like_brute_force(spark, hot, piece, low, step, monkeypatch):
     assert suffix_dedup.remove_repeats(documents(spark, [])).count() == 0
 
 
+def test_anchors_are_dealt_evenly_to_shards():
+    data = np.random.default_rng(1).integers(97, 123, 400_000).astype(np.uint8)
+    keys = suffix_dedup.block_anchors(data, np.arange(0, 400_001, 4_000))[0]
+    held = np.bincount((keys >> np.uint64(60)).astype(np.int64), minlength=16)
+    assert held.max() < 1.2 * held.mean() and held.min() > 0.8 * held.mean()
+
+
+def test_strings_that_stand_alone_are_not_sorted(monkeypatch):
+    rng, sorted_bytes, real = np.random.default_rng(2), [], suffix_dedup.first_documents
+    monkeypatch.setattr(suffix_dedup, "first_documents", lambda data, *x: (sorted_bytes.append(len(data)), real(data, *x))[1])
+    noise = [rng.bytes(20) for _ in range(8)]
+    gram, passage = rng.bytes(20), rng.bytes(52)
+    # Of each block a context of two anchors: one stands between other bytes everywhere, the other in 52 equal ones.
+    held = [(noise[2 * k] + gram + noise[2 * k + 1], noise[k][:k] + passage + noise[k][k:8]) for k in range(3)]
+    earliest = [(7, 5), (2, 9), (4, 4)]
+    group = pd.DataFrame({
+        "block": [str(k) for k in range(3)], "part": 0, "keys": [pack_sorted(np.array([11, 12], np.uint64))] * 3,
+        "lengths": [pack_counts(np.array([len(x) for x in own])) for own in held],
+        "earliest": [pack_counts(np.array(e)) for e in earliest],
+        "bytes": [suffix_dedup._squeeze(b"".join(own)) for own in held]})
+    firsts = {r.block: np.repeat(unpack_counts(r.firsts), unpack_counts(r.runs)).tolist()
+              for r in suffix_dedup._resolve(group).itertuples()}
+    for k, (alone, own) in enumerate(earliest):
+        assert firsts[str(k)] == [alone] * 11 + [own] * k + [4] * 3 + [own] * (8 - k)
+    assert sum(sorted_bytes) == 3 * 52
+
+
 def brute_groups(texts, ids, width, num, den):
     sets = []
     for text in texts:
